@@ -53,62 +53,163 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _GOLD)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, at least n of each."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        odd = 0xD1342543DE82EF95
+        size = 1 << max(16, (n - 1).bit_length())
+        both = []
+        for base in (odd, pow(odd, -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        _POWERS[0] = tuple(both)
+    return _POWERS[0]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, by differences of a running polynomial."""
+    power, inverse = _powers(len(data) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64))
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+
+
+def blanks(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
 class PieceEncoder:
-    """Token ids of whole texts by the tokenizers library, with a bounded cache of pieces.
+    """Token ids of whole texts by the tokenizers library, with a bounded table of pieces.
 
-    Texts are cut only where a run of white space follows another character. The byte-level pre-tokenizer never
+    Texts are cut only where a run of ASCII white space follows another character. The byte-level pre-tokenizer never
     makes a token across such a place and only looks ahead for white space, so the ids of the pieces, joined, are
-    the ids of the text. Special strings hold no white space and so stay whole. New pieces are encoded many at a
-    time as one text and told apart by the byte lengths of their tokens.
+    the ids of the text. Special strings hold no white space and so stay whole. Texts with other white space
+    are encoded whole. New pieces are encoded many at a time as one text and told apart by the byte lengths of their
+    tokens. Pieces are found in an open-addressing table by a 64-bit hash; `limit` pieces are held at most.
     """
 
-    PIECE = re.compile(r"\s*\S+|\s+")
+    OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.mask = (1 << (2 * limit).bit_length()) - 1
         self.size = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.size[k] = len(token)  # a character stands for a byte
         for k, token in self.tokenizer.get_added_tokens_decoder().items():
             self.size[k] = len(token.content.encode())
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        joinable, apart = [], []
-        for p in new:
-            (joinable if p[0].isspace() and not p[-1].isspace() else apart).append(p)
-        for at in range(0, len(joinable), 512):
-            part = joinable[at : at + 512]
-            (raw,) = self._ids([whole := "".join(part)])
-            ends = np.cumsum(self.size[np.frombuffer(raw, "<u4")])
-            wanted = np.cumsum(list(map(len, part if whole.isascii() else map(str.encode, part))))
-            last = np.searchsorted(ends, wanted)
-            if last[-1] < len(ends) and np.array_equal(ends[last], wanted):
-                bounds = [0, *(4 * last + 4).tolist()]
-                self.known.update(zip(part, (raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
+        self.first = np.zeros(self.mask + 1, np.int64)  # of the piece's ids in store
+        self.count = np.zeros(self.mask + 1, np.int32)
+        self.store, self.n_store, self.n_pieces = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each hash or, where it isn't in the table, a free slot; and whether it is there."""
+        slot = (hashes & np.uint64(self.mask)).astype(np.int64)
+        there = np.zeros(len(hashes), bool)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            held = self.keys[slot[todo]]
+            there[todo] = hit = held == hashes[todo]
+            todo = todo[~hit & (held != 0)]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        return slot, there
+
+    def _add(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        todo = np.arange(len(hashes))
+        while len(todo):
+            slot, _ = self._slots(hashes[todo])
+            _, one = np.unique(slot, return_index=True)  # of pieces that meet in a free slot, one takes it
+            won = todo[one]
+            self.keys[slot[one]], self.first[slot[one]], self.count[slot[one]] = hashes[won], first[won], count[won]
+            todo = np.delete(todo, one)
+        self.n_pieces += len(hashes)
+
+    def _keep(self, ids: np.ndarray) -> int:
+        while self.n_store + len(ids) > len(self.store):
+            self.store = np.append(self.store, np.zeros_like(self.store))
+        self.store[self.n_store : self.n_store + len(ids)] = ids
+        self.n_store += len(ids)
+        return self.n_store - len(ids)
+
+    def _learn(self, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        joinable = blanks(data[starts]) & ~blanks(data[ends - 1])
+        order, apart = np.flatnonzero(joinable), [np.flatnonzero(~joinable)]
+        first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for at in range(0, len(order), 512):
+            own = order[at : at + 512]
+            (ids,) = self._ids([b"".join([raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]).decode()])
+            sizes = np.cumsum(self.size[ids])
+            wanted = np.cumsum(ends[own] - starts[own])
+            last = np.searchsorted(sizes, wanted)
+            if last[-1] < len(sizes) and np.array_equal(sizes[last], wanted):
+                begin = np.append(0, last[:-1] + 1)
+                first[own], count[own] = self._keep(ids) + begin, last + 1 - begin
             else:
-                apart += part
+                apart.append(own)
+        apart = np.concatenate(apart)
         for at in range(0, len(apart), 1024):
-            part = apart[at : at + 1024]
-            self.known.update(zip(part, self._ids(part), strict=True))
+            own = apart[at : at + 1024]
+            for k, ids in zip(own.tolist(), self._ids([raw[starts[k] : ends[k]].decode() for k in own.tolist()]), strict=True):
+                first[k], count[k] = self._keep(ids), len(ids)
+        self._add(hashes, first, count)
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        cut = [self.PIECE.findall(t) if t else [] for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        if new := set().union(*cut).difference(self.known):
-            self._learn(new)
-        find, end = self.known.__getitem__, np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(find, pieces)) + end, "<u4") for pieces in cut]
+        whole = [k for k, t in enumerate(texts) if t and not t.isascii() and self.OTHER_SPACE.search(t)]
+        odd = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True)) if whole else {}
+        parts = [b"" if not t or k in odd else t.encode() for k, t in enumerate(texts)]
+        raw = b"".join(parts)
+        data = np.frombuffer(raw, np.uint8)
+        begins = np.append(0, np.cumsum(list(map(len, parts))))
+        blank = blanks(data)
+        new = blank & np.append(True, ~blank[:-1])[: len(data)]
+        new[begins[:-1][np.diff(begins) > 0]] = True
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        hashes = span_hashes(data, starts, ends)
+        hashes[hashes == 0] = 1
+        if self.n_pieces > self.limit:
+            self._clear()
+        slot, there = self._slots(hashes)
+        if not there.all():
+            missing = np.flatnonzero(~there)
+            _, once = np.unique(hashes[missing], return_index=True)
+            own = missing[np.sort(once)]
+            self._learn(raw, data, starts[own], ends[own], hashes[own])
+            slot[missing], _ = self._slots(hashes[missing])
+        count = self.count[slot].astype(np.int64)
+        bounds = np.append(0, np.cumsum(count))
+        ids = self.store[np.repeat(self.first[slot] - bounds[:-1], count) + np.arange(bounds[-1])]
+        cuts = bounds[np.searchsorted(starts, begins)]
+        end = np.array([end_id], "<u4")
+        return [np.append(odd[k] if k in odd else ids[a:b], end).astype("<u4") for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
 
 
 @functools.cache
 def piece_encoder(path: str) -> PieceEncoder:
-    """One for each Python worker, whose tasks share the cache."""
+    """One for each Python worker, whose tasks share the table."""
     return PieceEncoder(path)
 
 
