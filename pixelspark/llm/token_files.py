@@ -28,8 +28,32 @@ HEAD = np.dtype([("low", "<u4"), ("count", "<u2"), ("exceptions", "<u2"), ("widt
 NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id in the index
 
 
-def pack_block(ids: np.ndarray) -> bytes:
-    """One block of 1 to BLOCK unsigned 32-bit ids."""
+def pack_blocks(ids: np.ndarray) -> list[bytes]:
+    """The blocks of unsigned 32-bit ids; all hold BLOCK ids but the last. Blocks of one width are packed together."""
+    whole = len(ids) // BLOCK
+    out: list[bytes] = [b""] * whole
+    if whole:
+        rows = ids[: whole * BLOCK].reshape(whole, BLOCK)
+        low = rows.min(axis=1)
+        rest = rows - low[:, None]
+        at = np.partition(rest, k := (BLOCK - 1) * PERCENTILE // 100, axis=1)[:, k]
+        width = np.ceil(np.log2(at.astype(np.float64) + 1)).astype(np.int64)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            part = rest[own]
+            bits = np.unpackbits(np.ascontiguousarray(part, "<u4").view(np.uint8).reshape(-1, 4), axis=1, count=w, bitorder="little")
+            packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
+            odd = part >> np.uint32(w) if w < 32 else np.zeros_like(part)
+            for k, b in enumerate(own.tolist()):
+                where = np.flatnonzero(odd[k])
+                head = np.array([(int(low[b]), BLOCK, len(where), w)], dtype=HEAD).tobytes()
+                out[b] = head + packed[k].tobytes() + where.astype("<u2").tobytes() + part[k][where].astype("<u4").tobytes()
+    if len(ids) > whole * BLOCK:
+        out.append(_pack_part(ids[whole * BLOCK :]))
+    return out
+
+
+def _pack_part(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = ids.astype(np.uint32) - np.uint32(low)
     width = int(np.partition(rest, k := (len(rest) - 1) * PERCENTILE // 100)[k]).bit_length()
@@ -72,9 +96,8 @@ class Writer:
 
     def _flush(self, n: int) -> None:
         ids = np.concatenate(self.held) if self.held else np.empty(0, "<u4")
-        for k in range(0, n, BLOCK):
+        for raw in pack_blocks(ids[:n]):
             self.starts.append(self.at)
-            raw = pack_block(ids[k : min(n, k + BLOCK)])
             self.out.write(raw)
             self.at += len(raw)
         self.held, self.n_held = [ids[n:]], len(ids) - n
