@@ -108,15 +108,16 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.mask = (1 << (2 * limit).bit_length()) - 1
         self.size = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.size[k] = len(token)  # a character stands for a byte
         for k, token in self.tokenizer.get_added_tokens_decoder().items():
             self.size[k] = len(token.content.encode())
-        self._clear()
+        self._clear(0)
 
-    def _clear(self) -> None:
+    def _clear(self, need: int) -> None:
+        """Empty the table, at least twice as large as what it may get."""
+        self.mask = (1 << (2 * max(self.limit, need)).bit_length()) - 1
         self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
         self.first = np.zeros(self.mask + 1, np.int64)  # of the piece's ids in store
         self.count = np.zeros(self.mask + 1, np.int32)
@@ -190,12 +191,14 @@ class PieceEncoder:
         ends = np.append(starts[1:], len(data))[: len(starts)]
         hashes = span_hashes(data, starts, ends)
         hashes[hashes == 0] = 1
-        if self.n_pieces > self.limit:
-            self._clear()
         slot, there = self._slots(hashes)
-        if not there.all():
-            missing = np.flatnonzero(~there)
+        missing = np.flatnonzero(~there)
+        if len(missing):
             _, once = np.unique(hashes[missing], return_index=True)
+            if self.n_pieces + len(once) > self.limit:
+                self._clear(len(hashes))
+                missing = np.arange(len(hashes))
+                _, once = np.unique(hashes, return_index=True)
             own = missing[np.sort(once)]
             self._learn(raw, data, starts[own], ends[own], hashes[own])
             slot[missing], _ = self._slots(hashes[missing])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.llm.common import WORD_PATTERN, written
 
-LEAF, FAN, EPS = 50_000, 64, 1e-9
+LEAF, FAN, EPS = 2_000, 64, 1e-9
 STATE = "doc_id long, source string, size long, n long, source_size long, target double, whole int, part double, node long, draw double"
 
 

@@ -1,0 +1,36 @@
+import corpus_pipeline
+from pixelspark.llm import near_duplicates
+
+
+def test_stages_keep_columns_and_clean_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, sf)
+        assert after.columns == docs.columns, name
+        if name == "toxicity":
+            assert 0.7 * before.count() < after.count() <= before.count()
+        if name == "ngram_jaccard":
+            groups = near_duplicates.join_components(before).collect()
+            assert sorted(r.doc_id for r in after.collect()) == sorted({r.component_id for r in groups})
+        if name == "secrets":
+            assert after.count() == before.count()
+        before = after
+    total = corpus_pipeline.STAGES[-1][1](spark, before, sf)
+    assert total.selectExpr("sum(length)").first()[0] > 0
+
+
+def test_repeated_and_null_ids(spark, sf, awkward, nothing):
+    kept = corpus_pipeline.one_of_each_group(spark, awkward, sf)
+    assert kept.columns == awkward.columns
+    # 5 (twice) and 7 are one group of equal shingles; the rest stand alone
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 4, 5, 6, 8]
+    mixed = corpus_pipeline.mix_sources(spark, awkward, sf)
+    assert mixed.columns == awkward.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0
+
+
+def test_run(spark, sf):
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0 and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
