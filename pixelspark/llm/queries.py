@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pixelspark.llm.licenses import OP6_SQL, op6_license_scan
+from pixelspark.llm.media import op5_image_copies
 from pixelspark.llm.mixing import op4_mix
 from pixelspark.llm.near_duplicates import OP7_SQL, op7_jaccard_join
 from pixelspark.llm.packing import op1_pack
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_line_frequency": op3_line_frequency,
     "op4_mix": op4_mix,
+    "op5_image_copies": op5_image_copies,
     "op6_license_scan": op6_license_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scan": op8_secret_scan,

@@ -191,7 +191,8 @@ def redact(docs: DataFrame, rate: float = 0.01, mask: str = "[SECRET]") -> DataF
 
     clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["pos"] + 1, F.length("_text"))))
     kept = F.when(F.size("_all") > 0, clean).otherwise(F.col(clash["text"]))
-    out = [kept.alias(c) if c == "text" else F.length(kept).cast("long").alias(c) if c == "n_chars" else F.col(own).alias(c) for c, own in clash.items()]
+    size = lambda own: F.when(F.size("_all") > 0, F.length(kept).cast("long")).otherwise(F.col(own))
+    out = [(kept if c == "text" else size(own) if c == "n_chars" else F.col(own)).alias(c) for c, own in clash.items()]
     return df.select(*out)
 
 
