@@ -238,8 +238,8 @@ def grid_clusters_joins(spark, sf):
     return clustering.components_sql(_hits(spark, sf), RADIUS, WINDOW, order="packet_idx")
 
 
-@query(f"""with recursive {HITS_SQL}, {EDGES}, both as (select file, ext_tdc, a, b from edges union all select file, ext_tdc, b, a from edges), core as (select file, ext_tdc, a from both group by all having count(*) >= 2),
-  ce as (select e.* from both e join core p on p.file = e.file and p.ext_tdc = e.ext_tdc and p.a = e.a join core q on q.file = e.file and q.ext_tdc = e.ext_tdc and q.a = e.b),
+@query(f"""with recursive {HITS_SQL}, {EDGES}, sym as (select file, ext_tdc, a, b from edges union all select file, ext_tdc, b, a from edges), core as (select file, ext_tdc, a from sym group by all having count(*) >= 2),
+  ce as (select e.* from sym e join core p on p.file = e.file and p.ext_tdc = e.ext_tdc and p.a = e.a join core q on q.file = e.file and q.ext_tdc = e.ext_tdc and q.a = e.b),
   r(file, ext_tdc, a, b) as (select file, ext_tdc, a, a from core union select r.file, r.ext_tdc, r.a, ce.b from r join ce on ce.file = r.file and ce.ext_tdc = r.ext_tdc and ce.a = r.b),
   lab as (select file, ext_tdc, a packet_idx, min(b) cluster from r group by all)
   select file, ext_tdc, packet_idx, cluster from lab""")
@@ -250,8 +250,8 @@ def dbscan_cores(spark, sf):
     return _least(hits.join(core, ["file", "ext_tdc", "packet_idx"]))
 
 
-@query(f"""with {HITS_SQL}, {EDGES}, both as (select file, ext_tdc, a, b from edges union all select file, ext_tdc, b, a from edges), core as (select file, ext_tdc, a from both group by all having count(*) >= 2),
-  reached as (select file, ext_tdc, a packet_idx from core union select e.file, e.ext_tdc, e.b from both e join core c on c.file = e.file and c.ext_tdc = e.ext_tdc and c.a = e.a)
+@query(f"""with {HITS_SQL}, {EDGES}, sym as (select file, ext_tdc, a, b from edges union all select file, ext_tdc, b, a from edges), core as (select file, ext_tdc, a from sym group by all having count(*) >= 2),
+  reached as (select file, ext_tdc, a packet_idx from core union select e.file, e.ext_tdc, e.b from sym e join core c on c.file = e.file and c.ext_tdc = e.ext_tdc and c.a = e.a)
   select file, ext_tdc, packet_idx from hits where not exists (select 1 from reached r where r.file = hits.file and r.ext_tdc = hits.ext_tdc and r.packet_idx = hits.packet_idx)""")
 def dbscan_noise(spark, sf):
     """Hits that no cluster reaches."""

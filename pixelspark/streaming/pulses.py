@@ -77,7 +77,7 @@ def values(chips: DataFrame) -> DataFrame:
 def assemble_batch(packets: DataFrame, period: int) -> DataFrame:
     """The same machine over a bounded table, flushed at the end: what a stream gives once all has come."""
 
-    def run(keys: tuple, table):
+    def run(keys, table):
         import pyarrow as pa
 
         table = table.sort_by("packet_idx")

@@ -82,8 +82,9 @@ def test_stream_reads_new_files(spark, tmp_path):
     for k in range(3):
         tpx3.write_packets(str(tmp_path / f"{k}.tpx3"), [H(0), tdc(1000), hit(1100 + k), tdc(2000), tdc(3000)])
     out = []
-    query = tpx3.stream_packets(spark, str(tmp_path), 1).writeStream.foreachBatch(lambda df, n: out.extend(r.tof for r in ordering.read_hits(df).collect())).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.awaitTermination(120)
+    query = tpx3.stream_packets(spark, str(tmp_path), 1).writeStream.foreachBatch(lambda df, n: out.extend(r.tof for r in ordering.read_hits(df).collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
     assert sorted(out) == [100, 101, 102]
 
 
