@@ -161,6 +161,24 @@ def in_polygon(x: Column, y: Column, vertices: tuple[tuple[float, float], ...])
     return inside
 
 
+def distance_to_edge(p: tuple[float, float], a: tuple[float, float], b: tuple[float, float]) -> float:
+    """From a point to the nearest point of a segment."""
+    length = math.dist(a, b) ** 2
+    t = 0.0 if length == 0 else max(0.0, min(1.0, sum((p[k] - a[k]) * (b[k] - a[k]) for k in (0, 1)) / length))
+    return math.dist(p, [a[k] + t * (b[k] - a[k]) for k in (0, 1)])
+
+
+def is_convex(points: tuple[tuple[float, float], ...]) -> bool:
+    """Whether all bends of a closed polygon go the same way."""
+    bends = set()
+    for k, (x, y) in enumerate(points):
+        (px, py), (nx, ny) = points[k - 1], points[(k + 1) % len(points)]
+        bend = (x - px) * (ny - y) - (y - py) * (nx - x)
+        if bend:
+            bends.add(bend > 0)
+    return len(bends) < 2
+
+
 def _span(a: float, b: float, limit: int) -> tuple[int, int]:
     clamp = lambda v: int(max(0, min(limit, v)))
     return clamp(math.floor(min(a, b))), clamp(math.ceil(max(a, b)))

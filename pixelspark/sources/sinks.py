@@ -1,7 +1,7 @@
 """Sinks: neutrons as CSV, packed records or Parquet; event and histogram layouts; images, spectra and masks.
 
 The native layout of events and histograms is Parquet (a table each for events, pulses, bins and axes, and a JSON of
-attributes); the same tables go to HDF5 where h5py can be imported. Images and spectra are bounded by the detector's size
+attributes). HDF5 itself is not written, as no library for it is at hand. Images and spectra are bounded by the detector's size
 and number of bins and are written from the driver.
 """
 
@@ -148,6 +148,11 @@ def merged_attributes(*parts: dict, tolerance: float = 1e-9) -> dict:
     return out
 
 
+def group_attributes(entry: dict, group: dict) -> dict:
+    """Attributes of a group: its own before those of its entry."""
+    return entry | {k: v for k, v in group.items() if v is not None}
+
+
 def write_events(events: DataFrame, path: str, attributes: dict | None = None) -> None:
     """The Parquet layout: events/, pulses/ and attributes.json, written beside the path and moved there at the end."""
     half = f"{path}.partial"
