@@ -7,13 +7,14 @@ similarity of 3/4. The search is exact, in these steps, each a streaming pass ov
    share at least l of them (l of the smaller partner). Shingles that no other class sends are dropped; of the others
    each class keeps its rarest, as many as needed to share at least one with every partner. A class that shares too few
    has no partner and leaves. A shared passage is frequent and so falls away unless it is most of a text.
-2. Pivots. Within the classes that keep a shingle, each is paired with the smallest one of fitting size; a class's two
+2. Pivots. Within the classes of a size that keep a shingle, each is paired with the one of the smallest hash; a class's two
    most frequent pivots are verified against it. This ties groups of copies together with a few pairs per class.
 3. Signature trees. Of the shingles whose classes are still in different components, those of the same classes count
    once. Their classes are dealt into nodes by size; a pair of nodes goes on unless it is in one component already or
    the sizes don't fit. In the task every node becomes a tree whose nodes hold the OR of the members' token bitmaps, size
    range and greatest bitmap loss; the dual traversal drops pairs whose largest possible overlap is too small or that one
-   component holds, and what is left at the leaves is verified on the full sets.
+   component holds, and what is left at the leaves is verified on the full sets. Two passes take the best pair of each
+   member only, which joins what belongs together; the last pass takes every pair that is left.
 4. Components by alternating large-star and small-star steps, cut by tables in the shared folder.
 
 Nothing is emitted for all pairs of a group: members of one component are not compared again, and a group's other
@@ -224,23 +225,25 @@ def rarest(rows: DataFrame) -> DataFrame:
 
 
 def pivots(rows: DataFrame) -> DataFrame:
-    """a, b: each class with its two most frequent pivots."""
+    """a, b: each class with its two most frequent pivots. A shingle's pivot is the class of the smallest number (a hash) among
+    those of a size class, so a group of copies agrees on few pivots."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        h, pivot, size = None, None, 0
+        h, pivot = None, None
         for batch in batches:
             a, b = [], []
-            for g, i, n in zip(batch.column("h").to_pylist(), batch.column("id").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if g != h or 3 * n > 4 * size:
-                    h, pivot, size = g, i, n
+            for g, c, i in zip(batch.column("h").to_pylist(), batch.column("c").to_pylist(), batch.column("id").to_pylist(), strict=True):
+                if (g, c) != h:
+                    h, pivot = (g, c), i
                 elif i != pivot:
                     a.append(i)
                     b.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition("h").sortWithinPartitions("h", "n", "id")
+    size = F.floor(F.log(F.col("n").cast("double")) * (2 / np.log(4 / 3)))
+    dealt = rows.select("h", size.alias("c"), "id").repartition("h").sortWithinPartitions("h", "c", "id")
     counted = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k"))
     best = Window.partitionBy("a").orderBy(F.col("k").desc(), "b")
     return counted.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b")
@@ -342,9 +345,13 @@ def may_link(x: tuple, y: tuple) -> bool:
     return 7 * most >= 3 * (x[2] + y[2])
 
 
-def dual(one: Tree, two: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids that may link, by traversing both trees at once; the same tree twice gives each pair once."""
+def dual(one: Tree, two: Tree, best_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids that may link, by traversing both trees at once; the same tree twice gives each pair once.
+
+    best_only: of each member's pairs the one of the largest possible similarity.
+    """
     alone = one is two
+    found = [(np.zeros(len(t.n)), np.zeros(len(t.n), np.int64)) for t in ((one,) if alone else (one, two))]
     stack = [(len(one.levels) - 1, 0, len(two.levels) - 1, 0)]
     while stack:
         d, k, e, j = stack.pop()
@@ -360,19 +367,31 @@ def dual(one: Tree, two: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             good &= (3 * one.n[a][:, None] <= 4 * two.n[b][None, :]) & (3 * two.n[b][None, :] <= 4 * one.n[a][:, None])
             if alone and k == j:
                 good &= np.triu(np.ones(good.shape, bool), 1)
-            p, q = np.nonzero(good)
-            if len(p):
+            if not good.any():
+                continue
+            if not best_only:
+                p, q = np.nonzero(good)
                 yield one.ids[a][p], two.ids[b][q]
+                continue
+            like = np.where(good, most / size, 0.0)
+            for (score, mate), at, ids, table in ((found[0], a, two.ids[b], like), (found[-1], b, one.ids[a], like.T)):
+                top = table.argmax(axis=1)
+                value = table[np.arange(len(top)), top]
+                up = value > score[at]
+                score[at][up], mate[at][up] = value[up], ids[top[up]]
         elif e == 0 or d > e:
             stack += [(d - 1, c, e, j) for c in one.children(d, k)]
         elif d == 0 or e > d:
             stack += [(d, k, e - 1, c) for c in two.children(e, j)]
         else:
             stack += [(d - 1, c, e - 1, f) for c in one.children(d, k) for f in two.children(e, j) if not alone or k != j or f >= c]
+    for (score, mate), tree in zip(found, (one, two), strict=False):
+        if (hit := score > 0).any():
+            yield tree.ids[hit], mate[hit]
 
 
-def tree_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """a, b: pairs of classes in different components that the signature trees leave."""
+def tree_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame, best_only: bool = False) -> DataFrame:
+    """a, b: pairs of classes in different components that the signature trees leave, all or the best of each class."""
     named = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     named = written(named.select("h", "id", "n", "comp"), "named")
     groups = named.groupBy("h").agg(F.count("*").alias("k"), F.expr("bit_xor(id)").alias("x"), F.expr("bit_xor(xxhash64(id))").alias("y"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -399,11 +418,14 @@ def tree_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
                 at = own["side"] == side
                 if at.any():
                     trees.append(Tree(own["n"][at].astype(np.int64), own["id"][at], own["comp"][at], bits[at]))
-            for a, b in dual(trees[0], trees[-1]):
+            for a, b in dual(trees[0], trees[-1], best_only):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     dealt = dealt.repartition("tile").sortWithinPartitions("tile", "side", "n", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = written(dealt.mapInArrow(run, "a long, b long").distinct(), "pairs")
+    discard(named)
+    discard(members)
+    return found
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -415,8 +437,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     sets = written(sets_of(docs, wanted).dropDuplicates(["id"]), "sets")
     links = written(verified(pivots(rows), sets), "links")
     comps = written(components(links), "comps")
-    more = written(verified(tree_pairs(rows, sets, comps), sets), "links")
-    comps = written(components(links.union(more)), "comps")
+    best_only = True
+    while True:  # the last pass is exhaustive; those before leave it little to do
+        more, last = written(verified(tree_pairs(rows, sets, comps, best_only), sets), "links"), not best_only
+        found = more.count()
+        best_only = 2 * found > comps.count()  # much was joined, so the next pass might join much
+        if found:
+            links = links.union(more)
+            comps = written(components(links), "comps")
+        if last:
+            break
     discard(rows)
     discard(sets)
     named = firsts.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
