@@ -14,8 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelspark.config import U32, AlgorithmParams, ClusteringConfig, algorithm
+from pixelspark.config import U32, AlgorithmParams, ClusteringConfig, ClusteringError, algorithm
 from pixelspark.operators.extraction import prune_small
+from pixelspark.plans.checkpoints import tabled
 
 PULSE = ("file", "ext_tdc")
 
@@ -191,23 +192,23 @@ def cluster_hits(hits: DataFrame, config: ClusteringConfig | None = None, name:
     return hits.groupBy(*keys).applyInArrow(run, hits.schema)
 
 
-def components_sql(hits: DataFrame, radius: float, window: int, keys: tuple[str, ...] = PULSE, order: str = "hit_id", rounds: int = 50) -> DataFrame:
+def components_sql(hits: DataFrame, radius: float, window: int, keys: tuple[str, ...] = PULSE, order: str = "hit_id", rounds: int = 200) -> DataFrame:
     """keys, order, cluster: the least order in each hit's component, by joins only, for pulses too large for a kernel.
 
-    Labels move along the edges and by pointer jumping until none changes; each round is cut by a checkpoint.
+    Labels move along the edges and by pointer jumping until none changes; each round is cut by a table.
     """
     edges = neighbours(hits, radius, window, keys, order)
-    both = edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    both = tabled(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = hits.select(*keys, F.col(order).alias("a"), F.col(order).alias("l"))
     for _ in range(rounds):
         heard = both.join(labels.withColumnsRenamed({"a": "b", "l": "m"}), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("m").alias("m"))
         moved = labels.join(heard, [*keys, "a"], "left").withColumn("n", F.least("l", F.coalesce("m", "l")))
         jump = moved.select(*keys, F.col("a").alias("n"), F.col("n").alias("j"))
-        new = moved.join(jump, [*keys, "n"]).select(*keys, "a", F.least("n", "j").alias("n"), "l").checkpoint()
+        new = tabled(moved.join(jump, [*keys, "n"]).select(*keys, "a", F.least("n", "j").alias("n"), "l"))
         labels = new.select(*keys, "a", F.col("n").alias("l"))
         if new.where("n <> l").isEmpty():
-            break
-    return labels.select(*keys, F.col("a").alias(order), F.col("l").alias("cluster"))
+            return labels.select(*keys, F.col("a").alias(order), F.col("l").alias("cluster"))
+    raise ClusteringError(f"not settled after {rounds} rounds")
 
 
 __all__ = ["abs_labels", "cluster_hits", "components_sql", "core_hits", "dbscan_labels", "grid_labels", "neighbours", "prune_small"]

@@ -167,10 +167,10 @@ def rollovers(chips: DataFrame, jump: int = 500_000_000) -> DataFrame:
 
 
 def debug_sample(packets: DataFrame, period: int) -> DataFrame:
-    """The first hit of the first section that has a marker: raw and corrected time, difference, time of flight."""
-    first = sections(packets).where("final_tdc is not null").orderBy("file", "section_no").limit(1)
-    chips = with_chip(packets).where("kind = 'hit'").withColumn("start_offset", F.col("section_at") * 8 + 8)
-    hit = chips.join(F.broadcast(first.select("file", "start_offset", "final_tdc")), ["file", "start_offset"]).orderBy("file", "packet_idx").limit(1)
+    """The first hit of a section that has a marker: raw and corrected time, difference, time of flight."""
+    marked = sections(packets).where("final_tdc is not null").select("file", "start_offset", "final_tdc")
+    hits = with_chip(packets).where("kind = 'hit'").withColumn("start_offset", F.col("section_at") * 8 + 8)
+    hit = hits.join(marked, ["file", "start_offset"]).orderBy("file", "packet_idx").limit(1)
     ts = bits.coarse_timestamp(F.col("raw"))
     fixed = bits.rollover_corrected(ts, F.col("final_tdc"))
     return hit.select("file", "packet_idx", "chip_id", F.col("final_tdc").alias("tdc"), ts.alias("raw_ts"), fixed.alias("ts"), (fixed - F.col("final_tdc")).alias("delta"), bits.time_of_flight(fixed, F.col("final_tdc"), period).alias("tof"))

@@ -174,13 +174,19 @@ def rollover_diag(spark, sf):
     return ordering.rollovers(_chips(spark, sf))
 
 
-@query()
+@query(f"with {ASSIGNED} select file, cast(chip as integer) chip_id, ext ext_tdc, idx packet_idx, ts \"timestamp\", tof, raw from asg")
 def streaming_pulses(spark, sf):
     """The stream's state machine over the same packets (tests hold it against pulse_assign)."""
     return streaming.assemble_batch(streaming.values(_chips(spark, sf)), PERIOD)
 
 
-@query()
+SLICES = f"""{HITS_SQL}, h as (select *, row_number() over (partition by file, ext_tdc order by tof, chip_id, packet_idx) rn, count(*) over (partition by file, ext_tdc) n from hits),
+  lt as (select file, ext_tdc, tof, max(rn) last from h group by all),
+  s(file, ext_tdc, k, start, cutoff) as (select file, ext_tdc, 0, 1::bigint, tof from h where rn = least(100, n)
+    union all select s.file, s.ext_tdc, k + 1, last + 1, h.tof from s join lt on lt.file = s.file and lt.ext_tdc = s.ext_tdc and lt.tof = cutoff join h on h.file = s.file and h.ext_tdc = s.ext_tdc and h.rn = least(last + 100, h.n) where last < h.n)"""
+
+
+@query(f"with recursive {SLICES} select h.file, h.ext_tdc, packet_idx, x::integer x, y::integer y, tof, tot::integer tot, chip_id::integer chip_id, k slice_no, cutoff emit_cutoff_tof, tof <= cutoff emits from h join s on s.file = h.file and s.ext_tdc = h.ext_tdc and rn >= start and tof <= cutoff + case when n > 100 then 3 else 0 end")
 def pulse_slices(spark, sf):
     """Pulses cut into slices of 100 hits with an overlap of 3 ticks."""
     return ordering.slices(_hits(spark, sf), 100, 3)
@@ -232,9 +238,6 @@ def grid_clusters(spark, sf):
 @query(f"with recursive {HITS_SQL}, {EDGES}, {CLOSURE} select file, ext_tdc, packet_idx, cluster from grid")
 def grid_clusters_joins(spark, sf):
     """C3 by joins only, for pulses too large for one task."""
-    from pixelspark.plans.checkpoints import checkpointed
-
-    checkpointed(spark)
     return clustering.components_sql(_hits(spark, sf), RADIUS, WINDOW, order="packet_idx")
 
 
@@ -310,11 +313,11 @@ def neutron_stats(spark, sf):
     return s.select("count", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
 
 
-@query(f"with neu as ({_centroid_sql(True)}) select file, ext_tdc, cluster_id, case when n_hits = 1 then 'Single' when n_hits between 2 and 4 then 'Small' when n_hits between 5 and 10 then 'Medium' else 'Large' end category, round(x / 8, 6) px, round(y / 8, 6) py from neu")
+@query(f"with neu as ({_centroid_sql(True)}) select file, ext_tdc, cluster_id, case when n_hits = 1 then 'Single' when n_hits between 2 and 4 then 'Small' when n_hits between 5 and 10 then 'Medium' else 'Large' end category, round(x / 8, 4) px, round(y / 8, 4) py from neu")
 def size_category(spark, sf):
     """P17, P18."""
     n = _rounded(extraction.extract_neutrons(_labelled(spark, sf)))
-    return n.select("file", "ext_tdc", "cluster_id", bits.size_category(F.col("n_hits")).alias("category"), F.round(F.col("x") / 8, 6).alias("px"), F.round(F.col("y") / 8, 6).alias("py"))
+    return n.select("file", "ext_tdc", "cluster_id", bits.size_category(F.col("n_hits")).alias("category"), F.round(F.col("x") / 8, 4).alias("px"), F.round(F.col("y") / 8, 4).alias("py"))
 
 
 @query(f"with {HITS_SQL} select file, count(*) n_hits, min(tof) min_tof, max(tof) max_tof, min(x) min_x, max(x) max_x, min(y) min_y, max(y) max_y from hits group by file")
@@ -478,10 +481,10 @@ def view_transform_points(spark, sf):
     return _hits(spark, sf).select("packet_idx", *(F.round(c, 6).alias(n) for c, n in ((dx, "dx"), (dy, "dy"), (bx, "bx"), (by, "by_"))))
 
 
-@query(f"with {HITS_SQL}, {CUBE} select x, y, sum(n)::bigint \"count\" from cube where x = 5 and y = 58 group by all")
+@query(f"with {HITS_SQL}, {CUBE} select x, y, sum(n)::bigint \"count\" from cube where x = 5 and y = 56 group by all")
 def cursor_count(spark, sf):
-    """The count under display pixel (5, 5) of an image flipped vertically."""
-    sx, sy = roi.View(0, False, True).source_pixel(F.lit(5), F.lit(5), SIDE, SIDE)
+    """The count under display pixel (5, 7) of an image flipped vertically."""
+    sx, sy = roi.View(0, False, True).source_pixel(F.lit(5), F.lit(7), SIDE, SIDE)
     return _cube(spark, sf).where((F.col("x") == sx) & (F.col("y") == sy)).groupBy("x", "y").agg(F.sum("count").alias("count"))
 
 

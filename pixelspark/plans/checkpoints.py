@@ -1,20 +1,29 @@
-"""The folder for checkpoints."""
+"""Cutting the lineage of loops by tables in the shared folder.
+
+A table read back has the size of its files, so plans of later rounds are estimated afresh; a checkpointed frame would
+keep the estimate of its plan, which multiplies with every join of a loop.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir, or a folder of our own where it is unset and the master is local."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where it is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="pixelspark-")
-    sc.setCheckpointDir(found)
+        found = "file://" + tempfile.mkdtemp(prefix="pixelspark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/pixelspark-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -94,9 +94,6 @@ def test_dbscan_against_definition(hits):
 def test_joins_give_the_same_components(spark):
     import random
 
-    from pixelspark.plans.checkpoints import checkpointed
-
-    checkpointed(spark)
     rng = random.Random(5)
     hits = frame(spark, [(rng.randint(0, 30), rng.randint(0, 30), rng.randint(0, 20)) for _ in range(80)])
     kernel = clustering.cluster_hits(hits, ClusteringConfig(5.0, 75.0), "grid").collect()
