@@ -3,7 +3,7 @@
 An image is decoded to grey, and on a pyramid of halved sizes Harris corners are found, one per AREA pixels. Around a
 corner the direction of the intensity centroid turns a fixed pattern of 128 point pairs; each pair gives a bit, which is the
 brighter point. The descriptor's four 32-bit words are four hash tables: descriptors that agree in one word (surely so up to a
-Hamming distance of 3) meet in an equi-join by sorted runs. A match says how the one image would be turned, scaled and
+Hamming distance of 3) meet in an equi-join by sorted runs, and match if 22 bits of the other words differ in at most 6. A match says how the one image would be turned, scaled and
 moved onto the other; matches of an image pair vote for that in overlapping bins, and MIN_VOTES different corners in one bin, and a
 share of the corners of the smaller image, make a link. Links give components.
 
@@ -30,7 +30,8 @@ from pixelspark.llm.common import discard, mixed, written
 from pixelspark.llm.near_duplicates import components
 
 AREA, RADIUS, TURNS, BITS = 256, 7, 32, 128
-RUN, PIVOTS, MIN_VOTES, MIN_SHARE, BIN = 24, 3, 5, 0.2, 12
+RUN, PIVOTS, MIN_VOTES, MIN_SHARE, BIN, CHECK_OFF = 24, 3, 5, 0.2, 12, 6
+FLAT, MAX_FLAT = 1.0, 0.25
 
 
 def _pattern() -> np.ndarray:
@@ -97,27 +98,32 @@ def _png(media: bytes) -> np.ndarray | None:
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
     """Sums over (2r+1) x (2r+1) windows, edges repeated."""
-    p = np.pad(a, ((r + 1, r), (r + 1, r)), mode="edge").astype(np.float64).cumsum(axis=0).cumsum(axis=1)
     k = 2 * r + 1
+    rows, cols = (np.clip(np.arange(-r, n + r), 0, n - 1) for n in a.shape)
+    p = np.zeros((len(rows) + 1, len(cols) + 1))
+    np.cumsum(a[rows[:, None], cols], axis=0, out=p[1:, 1:])
+    np.cumsum(p[1:, 1:], axis=1, out=p[1:, 1:])
     return (p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]).astype(np.float32)
 
 
 def corners(grey: np.ndarray) -> np.ndarray:
-    """Harris responses that are the greatest of their 5 x 5 surroundings and lie inside: rows (response, y, x)."""
+    """Harris responses that none of their 5 x 5 surroundings exceeds and that lie inside: rows (response, y, x)."""
     margin = RADIUS + 1
-    if min(grey.shape) <= 2 * margin + 1:
+    h, w = grey.shape
+    if min(h, w) <= 2 * margin + 1:
         return np.empty((0, 3))
-    dy, dx = np.gradient(grey)
+    dy, dx = np.zeros_like(grey), np.zeros_like(grey)
+    dy[1:-1], dx[:, 1:-1] = grey[2:] - grey[:-2], grey[:, 2:] - grey[:, :-2]
     a, b, c = _box(dx * dx, 2), _box(dy * dy, 2), _box(dx * dy, 2)
-    response = a * b - c * c - 0.05 * (a + b) ** 2
-    inner = response[margin:-margin, margin:-margin]
-    peak = inner > 1e-3
-    for y in range(-2, 3):
-        for x in range(-2, 3):
-            if y or x:
-                other = response[margin + y : response.shape[0] - margin + y, margin + x : response.shape[1] - margin + x]
-                peak &= (inner > other) | ((inner == other) & ((y, x) > (0, 0)))
-    ys, xs = np.nonzero(peak)
+    near = (a * b - c * c - 0.05 * (a + b) ** 2)[margin - 2 : h - margin + 2, margin - 2 : w - margin + 2]
+    top = near[:-4]
+    for k in range(1, 5):
+        top = np.maximum(top, near[k : near.shape[0] - 4 + k])
+    most = top[:, :-4]
+    for k in range(1, 5):
+        most = np.maximum(most, top[:, k : top.shape[1] - 4 + k])
+    inner = near[2:-2, 2:-2]
+    ys, xs = np.nonzero((inner >= most) & (inner > 1e-2))
     return np.stack([inner[ys, xs].astype(np.float64), ys + margin, xs + margin], axis=1)
 
 
@@ -152,14 +158,15 @@ def describe(grey: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         smooth = _box(level, 1)
         ends = PATTERN[turn]  # corner, bit, end, (dy, dx)
         value = smooth[ys[:, None, None] + ends[..., 0], xs[:, None, None] + ends[..., 1]]
-        bits = np.packbits(value[:, :, 0] > value[:, :, 1], axis=1)
-        words.append(np.ascontiguousarray(bits).view("<u4"))
-        places.append(np.stack([ys << octave, xs << octave, turn, np.full(len(ys), octave)], axis=1))
+        gap = value[:, :, 0] - value[:, :, 1]
+        full = (np.abs(gap) < FLAT).mean(axis=1) <= MAX_FLAT  # a corner of an otherwise flat patch says little
+        words.append(np.ascontiguousarray(np.packbits(gap[full] > 0, axis=1)).view("<u4"))
+        places.append(np.stack([ys << octave, xs << octave, turn, np.full(len(ys), octave)], axis=1)[full])
     return np.concatenate(places), np.concatenate(words)
 
 
 def picture(html: str | None) -> np.ndarray | None:
-    """A page as a picture: its text line by line (a tag ends a line), 64 characters wide, a grey dot per character, blurred."""
+    """A page as a picture: its text line by line (a tag ends a line), 64 characters wide, a grey dot per character on mid-grey, blurred."""
     if not html:
         return None
     lines = []
@@ -172,7 +179,7 @@ def picture(html: str | None) -> np.ndarray | None:
     for k, raw in enumerate(lines):
         dots[k, : len(raw)] = np.frombuffer(raw, np.uint8)
     shade = (mixed(dots.astype(np.uint64)) >> np.uint64(56)).astype(np.float32)
-    shade[dots == 0] = 0
+    shade[dots == 0] = 128
     return _box(shade, 1) / 9
 
 
@@ -191,7 +198,7 @@ def _described(images: DataFrame, read) -> DataFrame:
                 shape = (grey.shape[0] << 16 ^ grey.shape[1]) if grey is not None else 0
                 out["cls"].append(int(mixed(np.array([own << 32 ^ zlib.adler32(words.tobytes()) ^ shape << 20], np.uint64)).view(np.int64)[0]))
                 out["n"].append(len(places))
-                packed = places[:, 0] << 40 | places[:, 1] << 16 | places[:, 2] << 8 | places[:, 3]
+                packed = np.minimum(places[:, 0], 0xFFFF) << 24 | np.minimum(places[:, 1], 0xFFFF) << 8 | places[:, 2] << 3 | places[:, 3]
                 out["places"].append(packed.tolist())
                 out["words"].append(words.reshape(-1).astype(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out["image_id"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["places"], pa.list_(pa.int64())), pa.array(out["words"], pa.list_(pa.int64()))], names=list(out))
@@ -202,37 +209,33 @@ def _described(images: DataFrame, read) -> DataFrame:
 def matches(classes: DataFrame) -> DataFrame:
     """a, b (classes), p, q (places): descriptors that meet in a table."""
     rows = classes.select(F.col("cls"), F.explode(F.arrays_zip("places", F.sequence(F.lit(0), F.size("places") - 1).alias("k"))).alias("e"), "words").select("cls", F.col("e.places").alias("place"), F.slice("words", F.col("e.k") * 4 + 1, 4).alias("w"))
-    tables = rows.select("cls", "place", F.posexplode("w").alias("t", "word")).select((F.shiftleft(F.col("t").cast("long"), 32) + F.col("word")).alias("key"), "cls", "place")
+    # above a place's 40 bits stand CHECK bits of the descriptor's three other words
+    tables = rows.select("cls", "place", "w", F.posexplode("w").alias("t", "word"))
+    other = lambda k, mask: F.element_at("w", F.pmod(F.col("t") + k, F.lit(4)) + 1).bitwiseAND(F.lit(mask))
+    check = F.shiftleft(other(1, 0xFF), 14) + F.shiftleft(other(2, 0x7F), 7) + other(3, 0x7F)
+    tables = tables.select((F.shiftleft(F.col("t").cast("long"), 32) + F.col("word")).alias("key"), "cls", (F.shiftleft(check, 40) + F.col("place")).alias("place"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, members, pivots = None, [], []
+        key, members, pivots, low = None, [], [], (1 << 40) - 1
 
-        def pairs(final: bool) -> list[tuple]:
-            """All pairs of a short run."""
-            return [(x[0], y[0], x[1], y[1]) for k, x in enumerate(members) for y in members[k + 1 :] if x[0] != y[0]] if final and not pivots else []
+        def met(some: list[tuple], one: tuple) -> list[tuple]:
+            c, p = one
+            return [(x, c, q & low, p & low) for x, q in some if x != c and (p >> 40 ^ q >> 40).bit_count() <= CHECK_OFF]
 
         for batch in batches:
             out: list[tuple] = []
             for g, c, p in zip(*(batch.column(n).to_pylist() for n in ("key", "cls", "place")), strict=True):
                 if g != key:
-                    out += pairs(True)
                     key, members, pivots = g, [], []
                 one = (c, p)
-                if pivots:  # a long run: the first ones by hash are its pivots, then the neighbours
-                    out += [(x[0], c, x[1], p) for x in pivots if x[0] != c]
-                    members = [*members[-2:], one]
-                    out += [(x[0], c, x[1], p) for x in members[:-1] if x[0] != c]
-                else:
-                    members.append(one)
-                    if len(members) > RUN:
-                        pivots = members[:PIVOTS]
-                        out += [(x[0], y[0], x[1], y[1]) for x in pivots for y in members if x[0] != y[0]]
-                        members = members[-2:]
+                out += met(pivots + members, one)
+                members.append(one)
+                if len(members) > (2 if pivots else RUN):  # a long run: the first ones by hash are its pivots, then the neighbours
+                    pivots = pivots or members[:PIVOTS]
+                    members = members[-2:]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, names=["a", "b", "p", "q"])
-        if out := pairs(True):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "p", "q"])
 
     # members come by the hash of their class, which is the class's number itself
     dealt = tables.repartition("key").sortWithinPartitions("key", "cls", "place")
@@ -243,12 +246,15 @@ def matches(classes: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame) -> DataFrame:
     """a, b, votes: pairs of classes whose matches agree on one turn, scale and move."""
-    m = matches(classes)
+    # pairs with fewer matched corners than votes needed leave before anything is worked out for them
+    per_pair = matches(classes).groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m"))
+    per_pair = per_pair.where(F.size(F.array_distinct(F.transform("m", lambda x: x["p"]))) >= MIN_VOTES)
+    m = per_pair.select("a", "b", F.explode("m").alias("m")).select("a", "b", "m.p", "m.q")
 
     def part(c: str, shift: int, mask: int):
         return F.shiftright(F.col(c), shift).bitwiseAND(F.lit(mask))
 
-    m = m.select("a", "b", "p", *(part(c, 40, 0xFFFFFF).alias(f"y{c}") for c in "pq"), *(part(c, 16, 0xFFFFFF).alias(f"x{c}") for c in "pq"), F.pmod(part("q", 8, 255) - part("p", 8, 255), F.lit(TURNS)).alias("turn"), (part("q", 0, 255) - part("p", 0, 255)).alias("scale"))
+    m = m.select("a", "b", "p", *(part(c, 24, 0xFFFF).alias(f"y{c}") for c in "pq"), *(part(c, 8, 0xFFFF).alias(f"x{c}") for c in "pq"), F.pmod(part("q", 3, 31) - part("p", 3, 31), F.lit(TURNS)).alias("turn"), (part("q", 0, 7) - part("p", 0, 7)).alias("scale"))
     angle, size = F.col("turn") * (2 * np.pi / TURNS), F.pow(F.lit(2.0), F.col("scale").cast("double"))
     mx = F.col("xq") - size * (F.cos(angle) * F.col("xp") - F.sin(angle) * F.col("yp"))
     my = F.col("yq") - size * (F.sin(angle) * F.col("xp") + F.cos(angle) * F.col("yp"))

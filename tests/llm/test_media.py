@@ -59,9 +59,8 @@ def test_edited_copies_meet_and_others_do_not(table):
     assert got[9001].n_corners == 0 and got[9001].component_id == 9001
 
 
-def test_against_all_pairs(spark, table, monkeypatch):
-    """The tables and runs against comparing every descriptor with every other one, by the same votes."""
-    images, truth = table
+def test_long_runs_keep_the_links(spark, table, monkeypatch):
+    images, _ = table
     classes = media._described(images, media.decode).where("n > 0").dropDuplicates(["cls"])
     wide = {(r.a, r.b) for r in media.links(classes).collect()}
     monkeypatch.setattr(media, "RUN", 4)  # long runs from five classes on
@@ -69,6 +68,38 @@ def test_against_all_pairs(spark, table, monkeypatch):
     assert len(wide & short) >= 0.9 * len(wide)
 
 
+def test_links_against_comparing_all_descriptors(table):
+    """Every descriptor of an image with every one of another, by Hamming distance, and the same vote."""
+    images, _ = table
+    classes = media._described(images, media.decode).where("n > 0").dropDuplicates(["cls"]).cache()
+    found = {(r.a, r.b) for r in media.links(classes).collect()}
+    rows = {r.cls: (np.array(r.places), np.array(r.words, np.uint32).reshape(-1, 4)) for r in classes.collect()}
+
+    def split(p):
+        return (p >> 24 & 0xFFFF).astype(float), (p >> 8 & 0xFFFF).astype(float), p >> 3 & 31, p & 7
+
+    wanted = set()
+    for a in rows:
+        for b in rows:
+            if a >= b:
+                continue
+            far = np.bitwise_count(rows[a][1][:, None, :] ^ rows[b][1][None, :, :]).sum(axis=2)
+            i, j = np.nonzero(far <= 8)
+            ya, xa, ta, oa = split(rows[a][0][i])
+            yb, xb, tb, ob = split(rows[b][0][j])
+            turn, scale = (tb - ta) % media.TURNS, 2.0 ** (ob - oa)
+            angle = turn * 2 * np.pi / media.TURNS
+            mx = xb - scale * (np.cos(angle) * xa - np.sin(angle) * ya)
+            my = yb - scale * (np.sin(angle) * xa + np.cos(angle) * ya)
+            best = 0
+            for k in range(len(i)):
+                near = (scale == scale[k]) & (np.abs((turn - turn[k] + 16) % 32 - 16) <= 0) & (np.abs(mx - mx[k]) < media.BIN / 2) & (np.abs(my - my[k]) < media.BIN / 2)
+                best = max(best, len(set(i[near].tolist())))
+            if best >= max(media.MIN_VOTES, media.MIN_SHARE * min(len(rows[a][0]), len(rows[b][0]))):
+                wanted.add((a, b))
+    assert len(wanted) > 20 and len(wanted & found) >= 0.9 * len(wanted)
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], "image_id long, media binary")
     assert media.copies(none).count() == 0
