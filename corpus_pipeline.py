@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelspark.llm import mixing, near_duplicates, packing, secrets, toxicity
-from pixelspark.llm.common import WORD_PATTERN, discard, written
+from pixelspark.llm.common import discard, written
 
 TOXIC_FROM = 0.7
 
@@ -44,11 +44,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = written(mixing.mix(docs).selectExpr("doc_id _d", "source _s", "size _z", "copies _copies").where("_copies > 0"), "mix")
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (size == F.col("_z"))
-    taken = docs.join(mixed, same)
-    return taken.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    return mixing.take(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,19 +116,99 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_share: floa
     state = state.withColumn("whole", F.floor(F.col("want") + EPS).cast("int")).withColumn("part", F.greatest(F.lit(0.0), F.col("want") - F.col("whole")))
     state = state.withColumn("node", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(nodes))).withColumn("draw", draw(0))
     state = state.select(*(c.split()[0] for c in STATE.split(", ")))
+    done = _settled(state, nodes, draw)
+    copies = F.col("whole") + F.when(F.col("size") > 0, F.round("part")).otherwise(0).cast("int")
+    return done.select("doc_id", "source", "size", "n", "source_size", "target", copies.alias("copies"))
+
+
+def _settled(state: DataFrame, nodes: int, draw) -> DataFrame:
+    """The rows of STATE with integral parts: level by level up the tree, FAN nodes to one."""
     done, level = [], 0
     fraction = F.col("part").between(EPS, 1 - EPS) & (F.col("size") > 0)
     while True:
         last = nodes == 1
         state = written(_round_nodes(state, last), f"rounded{level}")
         if last:
-            done.append(state)
-            break
+            return reduce(DataFrame.unionByName, [*done, state])
         done.append(state.where(~fraction))
         nodes, level = math.ceil(nodes / FAN), level + 1
         state = state.where(fraction).withColumn("node", F.floor(F.col("node") / FAN)).withColumn("draw", draw(level))
-    copies = F.col("whole") + F.when(F.col("size") > 0, F.round("part")).otherwise(0).cast("int")
-    return reduce(DataFrame.unionByName, done).select("doc_id", "source", "size", "n", "source_size", "target", copies.alias("copies"))
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """The mixed table itself: each row of docs, with its columns, as often as the mix takes it. Texts are never shuffled.
+
+    Here the leaves of the tree are the tasks that read the table: each pairs the documents of a source as they come, holding
+    one open document per source. Only what is open at a task's end, at most a document per task and source, goes up the tree
+    by its number and is joined to its decision.
+    """
+    names = docs.columns
+    clash = [f"_own{k}" for k in range(len(names))]  # the helpers' names may not meet those of the table
+    text, source, doc = (clash[names.index(c)] for c in ("text", "source", "doc_id"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    sized = docs.toDF(*clash).withColumn("size", size).withColumn("source", F.col(source).cast("string"))
+    goals = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, cap), "goals")
+    want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    number = lambda level: F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col(doc), "source", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    goals = goals.select(F.col("source").alias("of"), (F.floor(want + EPS)).cast("int").alias("whole"), F.greatest(F.lit(0.0), want - F.floor(want + EPS)).alias("part"))
+    rows = sized.join(goals, F.col("source").eqNullSafe(F.col("of"))).withColumn("draw", number(0)).select(*clash, "source", "size", "whole", "part", "draw")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict = {}  # source: [size, part, row]
+        for batch in batches:
+            parts = batch.column("part").to_pylist()
+            pieces, sizes = [batch], batch.column("size").to_pylist()
+            final: list = list(parts)
+            for k, (of, n, draw) in enumerate(zip(batch.column("source").to_pylist(), sizes, batch.column("draw").to_pylist(), strict=True)):
+                if not n or not EPS < parts[k] < 1 - EPS:
+                    final[k] = 0.0 if not n else float(round(parts[k]))
+                    continue
+                if of not in held:
+                    held[of] = [n, parts[k], k]
+                    continue
+                m, p, row = held[of]
+                q = parts[k]
+                up, down = min((1 - q) * n, p * m), min(q * n, (1 - p) * m)
+                t = up if draw * (up + down) < down else -down
+                p, q = p - t / m, q + t / n
+                settled = [x if EPS < x < 1 - EPS else float(round(x)) for x in (p, q)]
+                for x, at in zip(settled, (row, k), strict=True):
+                    if isinstance(at, int):
+                        final[at] = x
+                    elif x in (0.0, 1.0):  # a row of an earlier batch goes out now
+                        pieces.append(at)
+                        final.append(x)
+                if settled[1] not in (0.0, 1.0):
+                    held[of] = [n, settled[1], k]
+                elif settled[0] not in (0.0, 1.0):
+                    held[of][1] = settled[0]
+                else:
+                    del held[of]
+            waiting = {h[2] for h in held.values() if isinstance(h[2], int)}
+            whole = pa.Table.from_batches(pieces)
+            whole = whole.set_column(whole.schema.get_field_index("part"), "part", pa.array(final, pa.float64()))
+            keep = [k for k in range(whole.num_rows) if k not in waiting]
+            for h in held.values():
+                if isinstance(h[2], int):
+                    h[2] = batch.slice(h[2], 1)
+            yield from whole.take(keep).to_batches()
+        for _, p, row in held.values():
+            yield row.set_column(row.schema.get_field_index("part"), "part", pa.array([p], pa.float64()))
+
+    first = written(rows.mapInArrow(run, rows.schema), "taken")
+    fraction = F.col("part").between(EPS, 1 - EPS) & (F.col("size") > 0)
+    rest = written(first.where(fraction).withColumn("rid", F.monotonically_increasing_id()), "open")
+    nodes = max(1, math.ceil(rest.count() / LEAF))
+    draw = lambda level: F.pmod(F.xxhash64(F.lit(seed), F.lit(level + 1), "doc_id", "source", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    state = rest.select(F.col("rid").alias("doc_id"), "source", "size", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), "whole", "part")
+    state = state.withColumn("node", F.pmod(F.xxhash64("doc_id"), F.lit(nodes))).withColumn("draw", draw(0)).select(*(c.split()[0] for c in STATE.split(", ")))
+    decided = _settled(state, nodes, draw).select(F.col("doc_id").alias("rid"), F.round("part").alias("_part"))
+    rest = rest.join(decided, "rid").withColumn("part", F.col("_part")).select(*first.columns)
+    every = first.where(~fraction).unionByName(rest).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.round("part").cast("int")).otherwise(0))
+    times = every.where("copies > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return times.select(*(F.col(c).alias(n) for c, n in zip(clash, names, strict=True)))
 
 
 def repeat(df: DataFrame, times: str) -> DataFrame:

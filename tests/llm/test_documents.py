@@ -169,6 +169,28 @@ def test_each_document_keeps_its_chance(spark):
         assert taken[s] == pytest.approx(n, rel=0.08)
 
 
+def test_taking_rows_keeps_words_and_columns(spark, awkward, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 3)
+    monkeypatch.setattr(mixing, "FAN", 2)
+    rng = random.Random(16)
+    rows = [(k, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", None]), 1) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, part int").repartition(9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # open rows cross batches
+    try:
+        out = mixing.take(docs).collect()
+        assert mixing.take(awkward).columns == awkward.columns
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    goal = {r.source: (r.target, r.source_size) for r in mixing.mix(docs).select("source", "target", "source_size").distinct().collect()}
+    taken, times = Counter(), Counter(r.doc_id for r in out)
+    for r in out:
+        assert r.text == rows[r.doc_id][1] and r.source == rows[r.doc_id][2] and r.part == 1
+        taken[r.source] += len(r.text.split())
+    for s, (target, size) in goal.items():
+        assert abs(taken[s] - target) <= 60
+    assert max(times.values()) <= 2
+
+
 def test_mix_awkward(spark, awkward, nothing):
     rows = mixing.repeat(mixing.mix(awkward), "n")
     assert rows.count() == awkward.count()
