@@ -200,10 +200,10 @@ def _described(images: DataFrame, read) -> DataFrame:
                 out["n"].append(len(places))
                 packed = np.minimum(places[:, 0], 0xFFFF) << 24 | np.minimum(places[:, 1], 0xFFFF) << 8 | places[:, 2] << 3 | places[:, 3]
                 out["places"].append(packed.tolist())
-                out["words"].append(words.reshape(-1).astype(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out["image_id"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["places"], pa.list_(pa.int64())), pa.array(out["words"], pa.list_(pa.int64()))], names=list(out))
+                out["words"].append(np.ascontiguousarray(words).reshape(-1).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(out["image_id"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["places"], pa.list_(pa.int64())), pa.array(out["words"], pa.list_(pa.int32()))], names=list(out))
 
-    return images.selectExpr("cast(image_id as long) image_id", "media").mapInArrow(run, "image_id long, cls long, n int, places array<long>, words array<long>")
+    return images.selectExpr("cast(image_id as long) image_id", "media").mapInArrow(run, "image_id long, cls long, n int, places array<long>, words array<int>")
 
 
 def matches(classes: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def matches(classes: DataFrame) -> DataFrame:
     tables = rows.select("cls", "place", "w", F.posexplode("w").alias("t", "word"))
     other = lambda k, mask: F.element_at("w", F.pmod(F.col("t") + k, F.lit(4)) + 1).bitwiseAND(F.lit(mask))
     check = F.shiftleft(other(1, 0xFF), 14) + F.shiftleft(other(2, 0x7F), 7) + other(3, 0x7F)
-    tables = tables.select((F.shiftleft(F.col("t").cast("long"), 32) + F.col("word")).alias("key"), "cls", (F.shiftleft(check, 40) + F.col("place")).alias("place"))
+    tables = tables.select((F.shiftleft(F.col("t").cast("long"), 32) + F.col("word").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "cls", (F.shiftleft(check.cast("long"), 40) + F.col("place")).alias("place"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -73,7 +73,7 @@ def test_links_against_comparing_all_descriptors(table):
     images, _ = table
     classes = media._described(images, media.decode).where("n > 0").dropDuplicates(["cls"]).cache()
     found = {(r.a, r.b) for r in media.links(classes).collect()}
-    rows = {r.cls: (np.array(r.places), np.array(r.words, np.uint32).reshape(-1, 4)) for r in classes.collect()}
+    rows = {r.cls: (np.array(r.places), np.array(r.words, np.int32).view(np.uint32).reshape(-1, 4)) for r in classes.collect()}
 
     def split(p):
         return (p >> 24 & 0xFFFF).astype(float), (p >> 8 & 0xFFFF).astype(float), p >> 3 & 31, p & 7
