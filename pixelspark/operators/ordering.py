@@ -66,7 +66,7 @@ def sections(packets: DataFrame, block: int = BLOCK) -> DataFrame:
 def pulses(chips: DataFrame) -> DataFrame:
     """One row per time marker: its number, epoch (turns of the 30-bit counter) and predecessor, per file and chip."""
     order = Window.partitionBy("file", "chip_id").orderBy("packet_idx")
-    df = chips.where("kind = 'tdc'").select("file", "chip_id", "packet_idx", bits.tdc_timestamp(F.col("raw")).alias("tdc"))
+    df = chips.where("kind = 'tdc'").select("file", "chip_id", "block", "packet_idx", bits.tdc_timestamp(F.col("raw")).alias("tdc"))
     df = df.withColumn("pulse_seq", F.row_number().over(order).cast("long")).withColumn("prev_tdc", F.lag("tdc").over(order))
     turned = F.when(F.col("tdc") < F.col("prev_tdc"), 1).otherwise(0)
     df = df.withColumn("epoch", F.sum(turned).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -78,10 +78,12 @@ def assign_pulses(chips: DataFrame, marks: DataFrame, period: int, late_hits: bo
 
     A hit that lies before the current marker belongs to the chip's previous pulse, if there is one.
     """
-    number = marks.select("file", "packet_idx", F.col("pulse_seq").alias("_mark"))
-    df = chips.where("kind in ('tdc', 'hit')").join(number, ["file", "packet_idx"], "left")
-    df = _running(df, ["file", "chip_id"], "_mark", "pulse_seq").where("kind = 'hit'").drop("_mark")
-    df = df.join(marks.select("file", "chip_id", "pulse_seq", "tdc", "epoch", "prev_tdc", "prev_epoch"), ["file", "chip_id", "pulse_seq"])
+    own = ("pulse_seq", "tdc", "epoch", "prev_tdc", "prev_epoch")
+    mark = marks.select("file", "chip_id", "block", "packet_idx", F.struct(*own).alias("_mark"), F.lit(None).cast("long").alias("raw"))
+    hits = chips.where("kind = 'hit'").select("file", "chip_id", "block", "packet_idx", "raw")
+    both = hits.withColumn("_mark", F.lit(None).cast(mark.schema["_mark"].dataType)).unionByName(mark)
+    df = _running(both, ["file", "chip_id"], "_mark", "_pulse").where("raw is not null and _pulse is not null")
+    df = df.select("file", "chip_id", "block", "packet_idx", "raw", "_pulse.*")
     ts = bits.coarse_timestamp(F.col("raw"))
     df = df.withColumn("_now", bits.rollover_corrected(ts, F.col("tdc"))).withColumn("_before", bits.rollover_corrected(ts, F.col("prev_tdc")))
     late = F.col("prev_tdc").isNotNull() & (F.col("_now") < F.col("tdc")) if late_hits else F.lit(False)

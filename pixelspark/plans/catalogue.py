@@ -129,7 +129,7 @@ def _assigned(spark, sf, late=True):
 @query(f"with {CHIPS} select file, cast(chip as integer) chip_id, idx packet_idx, tdc, seq pulse_seq, prev_tdc, epoch, prev_epoch, (epoch << 30) | tdc ext_tdc from pl")
 def pulse_table(spark, sf):
     """The pulses of each chip with their epoch and predecessor."""
-    return ordering.pulses(_chips(spark, sf))
+    return ordering.pulses(_chips(spark, sf)).drop("block")
 
 
 @query(f"with {ASSIGNED} select file, idx packet_idx, cast(chip as integer) chip_id, ext ext_tdc, ts \"timestamp\", tof, late from asg")
