@@ -113,7 +113,7 @@ class PieceEncoder:
 
     OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_040_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
