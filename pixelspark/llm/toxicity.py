@@ -97,7 +97,7 @@ class Model:
     def events(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
         words = WORD.findall(text.lower()) if text else []
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(words).difference(known):
             s = self.log_odds(w) if self.counts else 0.0
@@ -157,17 +157,20 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        # a few hundred documents at a time: a batch's units would be millions
         for batch in batches:
-            toxic: Counter[str] = Counter()
-            other: Counter[str] = Counter()
-            n = [0, 0]
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                own = {u for w in set(WORD.findall((text or "").lower())) for u in units(w)}
-                (toxic if label else other).update(own)
-                n[bool(label)] += 1
-            toxic["n:"], other["n:"] = n[1], n[0]
-            names = list(toxic | other)
-            yield pa.RecordBatch.from_pydict({"unit": names, "toxic": [toxic[u] for u in names], "other": [other[u] for u in names]})
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                toxic: Counter[str] = Counter()
+                other: Counter[str] = Counter()
+                n = [0, 0]
+                for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                    own = {u for w in set(WORD.findall((text or "").lower())) for u in units(w)}
+                    (toxic if label else other).update(own)
+                    n[bool(label)] += 1
+                toxic["n:"], other["n:"] = n[1], n[0]
+                names = list(toxic.keys() | other.keys())
+                yield pa.RecordBatch.from_pydict({"unit": names, "toxic": [toxic[u] for u in names], "other": [other[u] for u in names]})
 
     counted = rows.where("fold < 7").mapInArrow(count, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counted = written(counted.where("toxic + other >= 2 or unit = 'n:'"), "units")
