@@ -2,13 +2,16 @@
 
 Base spans come from three patterns. The method looks at every run of MIN_RUN or more characters of the usual encodings that
 holds a digit and a letter. Its encoding is inferred (hex, base 32, else base 64), its characters become numbers, and
-three tests are made: chi-squared uniformity over the alphabet, runs above and below the middle, and serial
-correlation of neighbours. Uniformity gives two p-values: against chance (must not be too small) and against text, whose
-characters repeat with chance TEXT_MATCH or more; the shorter the run, the larger the latter. Over all runs of all
-documents, by encoding and by length class, the false-discovery rate of the text p-values is held at `rate`
-(Benjamini-Hochberg on counts by p-value bin). A run above its class's bar that passes the other tests is a span.
-
-The first pass only adds up a table of (class, bin) counts of a fixed size; the second is map-only, with one bar per class.
+three tests are made against chance: chi-squared uniformity over the alphabet, runs above and below the middle, and serial
+correlation of neighbours; the run may not fail them. The test against text is the likelihood ratio of equal chances to a
+text's transitions from character to character: that a text reaches a ratio of r has a chance of 1 / r at most, at every
+length. The transitions are counted over all runs of all documents but those that already look random beside PRIOR
+(so secrets, however many, do not make the text), and backed by PRIOR where counts are few. By encoding and length class
+the false-discovery rate of these p-values is held at `rate` (Benjamini-Hochberg on counts by p-value bin). A run above
+its class's bar that passes the other tests is a span.
+
+The first pass only adds up a table of transitions, the second one of (class, bin) counts, both of a fixed size; the third is
+map-only, with one bar per class.
 Everything is DataFrame expressions.
 
 Defined results: null and empty text have no spans (counts 0, empty strings, the hash of the empty string); a null
@@ -19,6 +22,8 @@ pattern the latter stays.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +39,12 @@ RUN = f"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE16 = "0123456789abcdef"
-TEXT_MATCH, TEXT_TRIPLE = 0.06, 0.0055  # that two, and three, characters of a text are the same
+CODES = BASE64 + "-_"  # a character's code is its place
+KIND_OF = [0] * 26 + [1] * 26 + [2] * 10 + [3] * 4  # upper, lower, digit, sign
+#: The chances of each kind after each kind, and first, in the joined words of names, paths and addresses.
+PRIOR = ((0.40, 0.50, 0.05, 0.05), (0.02, 0.93, 0.02, 0.03), (0.03, 0.07, 0.80, 0.10), (0.10, 0.60, 0.25, 0.05), (0.20, 0.60, 0.10, 0.10))
+PRIOR_N, BACK_N = 200, 50  # counts that PRIOR, and the kinds beside the characters, stand for
+ENCODINGS = 4  # among which the best one is taken: hex of either case, base 32, base 64
 CHANCE = 0.001  # below this, chance is rejected
 BINS_PER_TEN, MAX_BIN = 10, 300  # of -log10 p
 
@@ -76,7 +86,32 @@ def _phi(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * bounded + 0.07056 * F.pow(bounded, F.lit(3)))))
 
 
-def tested(run: Column) -> Column:
+def steps(run: Column) -> Column:
+    """The transitions of a run: its characters' codes, each with that of the character before it (or none)."""
+    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(CODES), c) - 1)
+    step = lambda x: F.transform(x, lambda c, i: F.coalesce(F.get(x, i - 1), F.lit(len(CODES))) * len(CODES) + c)
+    return F.element_at(F.transform(F.array(codes), step), 1)
+
+
+def costs(counts: dict[int, int]) -> list[float]:
+    """-log of the chance of each transition in a text, by step: characters backed by kinds, and kinds by PRIOR."""
+    size, kinds = len(CODES), [*KIND_OF, 4]
+    moves, chars = [[0] * 4 for _ in range(5)], [0] * size
+    for step, n in counts.items():
+        moves[kinds[step // size]][kinds[step % size]] += n
+        chars[step % size] += n
+    of_kind = [KIND_OF.count(k) for k in range(4)]
+    total = [sum(n for n, k in zip(chars, KIND_OF, strict=True) if k == j) for j in range(4)]
+    share = [(chars[c] + PRIOR_N / of_kind[k]) / (total[k] + PRIOR_N) for c, k in enumerate(KIND_OF)]
+    move = [[(moves[a][b] + PRIOR_N * PRIOR[a][b]) / (sum(moves[a]) + PRIOR_N) for b in range(4)] for a in range(5)]
+    out = []
+    for a in range(size + 1):
+        row = [counts.get(a * size + c, 0) for c in range(size)]
+        out += [-math.log((n + BACK_N * move[kinds[a]][KIND_OF[c]] * share[c]) / (sum(row) + BACK_N)) for c, n in enumerate(row)]
+    return out
+
+
+def tested(run: Column, cost: list[float]) -> Column:
     """struct<stratum, bin, chance> of one run: its class, its -log10 p-value against text in bins, and whether chance stands.
 
     Nested transforms over one-element arrays keep each intermediate value from being worked out twice.
@@ -89,7 +124,9 @@ def tested(run: Column) -> Column:
         size = F.when(is16, F.lit(16)).when(is32, F.lit(32)).otherwise(F.lit(64))
         letters = F.when(is16, F.lit(BASE16)).when(is32, F.lit(BASE32)).otherwise(F.lit(BASE64))
         shown = F.when(is16, F.lower(core)).otherwise(F.translate(core, "-_", "+/"))
-        return let(F.struct(size.alias("k"), F.transform(F.split(shown, ""), lambda c: F.instr(letters, c) - 1).alias("x")), battery)
+        table = F.split(F.lit(" ".join(f"{c:.3f}" for c in cost)), " ").cast("array<double>")  # folded to one literal
+        text = F.aggregate(steps(core), F.lit(0.0), lambda a, s: a + F.get(table, s))
+        return let(F.struct(size.alias("k"), text.alias("text"), F.transform(F.split(shown, ""), lambda c: F.instr(letters, c) - 1).alias("x")), battery)
 
     def battery(v: Column) -> Column:
         x, k = v["x"], v["k"].cast("double")
@@ -100,7 +137,7 @@ def tested(run: Column) -> Column:
         changes = F.aggregate(high, F.struct(F.lit(-1).alias("last"), F.lit(0).alias("runs")), lambda a, y: F.struct(y.alias("last"), (a["runs"] + (y != a["last"]).cast("int")).alias("runs")), lambda a: a["runs"]).cast("double")
         middle = (k - 1) / 2
         pairs = F.aggregate(x, F.struct(middle.alias("last"), F.lit(0.0).alias("sum"), F.lit(1e-9).alias("all")), lambda a, y: F.struct(y.cast("double").alias("last"), (a["sum"] + (a["last"] - middle) * (y - middle)).alias("sum"), (a["all"] + F.pow(y - middle, F.lit(2.0))).alias("all")), lambda a: a["sum"] / a["all"])
-        return let(F.struct(k.alias("k"), n.alias("n"), squares.alias("sq"), ones.alias("ones"), changes.alias("runs"), pairs.alias("serial")), verdict)
+        return let(F.struct(k.alias("k"), n.alias("n"), v["text"].alias("text"), squares.alias("sq"), ones.alias("ones"), changes.alias("runs"), pairs.alias("serial")), verdict)
 
     def verdict(s: Column) -> Column:
         k, n = s["k"], s["n"]
@@ -110,14 +147,10 @@ def tested(run: Column) -> Column:
         spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
         runs, serial = F.abs(s["runs"] - mean) / spread, F.abs(s["serial"]) * F.sqrt(n)
         chance = F.least(_phi(-chi), 2 * _phi(-runs), 2 * _phi(-serial)) * 3 >= CHANCE
-        alike, match = (s["sq"] - n) / 2, F.greatest(F.lit(TEXT_MATCH), 2 / k)
-        triple = F.greatest(F.lit(TEXT_TRIPLE), 1.5 * match * match)
-        every = n * (n - 1) / 2
-        deviation = F.sqrt(every * match * (1 - match) + n * (n - 1) * (n - 2) * (triple - match * match))
-        p = _phi((alike + 0.5 - every * match) / deviation)
+        ratio = (s["text"] - n * F.log(k) - math.log(ENCODINGS)) / math.log(10)
         return F.struct(
             (F.log2(k) * 100 + F.least(F.floor(2 * F.log2(n)), F.lit(40))).cast("int").alias("stratum"),
-            F.least(F.lit(MAX_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_PER_TEN)).cast("int").alias("bin"),
+            F.least(F.lit(MAX_BIN), F.floor(F.greatest(F.lit(0.0), ratio) * BINS_PER_TEN)).cast("int").alias("bin"),
             chance.alias("chance"),
         )
 
@@ -128,10 +161,21 @@ def is_candidate(run: Column) -> Column:
     return run.rlike("[0-9]") & run.rlike("[A-Za-z]")
 
 
-def bars(df: DataFrame, text: str, rate: float) -> dict[int, int]:
+def runs_of(df: DataFrame, text: str) -> DataFrame:
+    return df.where(F.col(text).rlike(RUN)).select(F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("run"))
+
+
+def text_costs(df: DataFrame, text: str) -> list[float]:
+    """The transitions of all runs but those that equal chances explain better than PRIOR."""
+    runs = runs_of(df, text).withColumn("t", F.when(is_candidate(F.col("run")), tested(F.col("run"), costs({}))))
+    moves = runs.where(F.coalesce(F.col("t.bin"), F.lit(0)) == 0).select(F.explode(steps(F.col("run"))).alias("step"))
+    return costs({r.step: r["count"] for r in moves.groupBy("step").count().collect()})  # at most 67 x 66 rows
+
+
+def bars(df: DataFrame, text: str, rate: float, cost: list[float]) -> dict[int, int]:
     """The least bin of each class that holds the false-discovery rate over all runs of all documents."""
-    runs = df.where(F.col(text).rlike(RUN)).select(F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("run"))
-    tests = runs.where(is_candidate(F.col("run"))).select(tested(F.col("run")).alias("t"))
+    runs = runs_of(df, text)
+    tests = runs.where(is_candidate(F.col("run"))).select(tested(F.col("run"), cost).alias("t"))
     table = tests.groupBy("t.stratum", "t.bin").count().collect()  # at most 3 x 41 classes x MAX_BIN + 1 bins
     found: dict[int, int] = {}
     for stratum in {r.stratum for r in table}:
@@ -148,7 +192,9 @@ def bars(df: DataFrame, text: str, rate: float) -> dict[int, int]:
 def with_spans(docs: DataFrame, rate: float = 0.01, text: str = "text") -> DataFrame:
     """docs with _text (never null), _base and _all (base and random spans) added."""
     df = docs.withColumn("_text", F.coalesce(text, F.lit("")))
-    least = bars(docs.select(F.coalesce(text, F.lit("")).alias("_text")), "_text", rate)
+    texts = docs.select(F.coalesce(text, F.lit("")).alias("_text"))
+    cost = text_costs(texts, "_text")
+    least = bars(texts, "_text", rate, cost)
     df = with_base(df, "_text")
     none = F.array().cast("array<struct<at:int,kind:int,end:int>>")
     if least:
@@ -156,7 +202,7 @@ def with_spans(docs: DataFrame, rate: float = 0.01, text: str = "text") -> DataF
 
         def holds(run: Column) -> Column:
             ok = lambda t: t["chance"] & (t["bin"] >= F.coalesce(F.try_element_at(bar_of, t["stratum"]), F.lit(MAX_BIN + 1)))
-            return F.when(is_candidate(run), F.element_at(F.transform(F.array(tested(run)), ok), 1)).otherwise(F.lit(False))
+            return F.when(is_candidate(run), F.element_at(F.transform(F.array(tested(run, cost)), ok), 1)).otherwise(F.lit(False))
 
         found = F.when(F.col("_text").rlike(RUN), placed("_text", RUN, 3, holds)).otherwise(none)
         df = df.withColumn("_random", found)

@@ -99,6 +99,24 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert not any(got[k] for k in range(40, 80))
 
 
+@pytest.mark.parametrize("n_weak", [99, 0])
+def test_recall_of_short_random_runs(spark, n_weak):
+    """Secrets of each length at a hundredth of the runs, and on their own."""
+    rng = random.Random(11)
+    words = "north river table customer account index report value house market of the and in status line order".split()
+    rows = []
+    for size in (24, 32, 40, 64):
+        for name, alphabet in (("base 62", secrets.BASE64[:62]), ("hex", "0123456789ABCDEF")):
+            rows += [(f"{''.join(rng.choice(alphabet) for _ in range(size - 2))}7A", (name, size)) for _ in range(20)]
+            for _ in range(20 * n_weak):
+                joined = rng.choice(["_", "-", "/", ""]).join(rng.choice([str.lower, str.title])(rng.choice(words)) for _ in range(16))
+                rows.append((f"{joined[: size - 5]}e{rng.randint(1000, 9999)}", "text"))
+    docs = spark.createDataFrame([(k, f"see {s} here") for k, (s, _) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    found = Counter(rows[r.doc_id][1] for r in secrets.scan(docs).collect() if r.spans == f"random:4:{4 + len(rows[r.doc_id][0])}")
+    assert found.pop("text", 0) <= 0.02 * sum(found.values())
+    assert len(found) == 8 and min(found.values()) >= 16, found
+
+
 def test_redaction_keeps_columns_and_other_text(spark, awkward):
     out = secrets.redact(awkward)
     assert out.columns == awkward.columns
