@@ -12,12 +12,14 @@ Images of equal pixels are one class and are described once. A run of at most RU
 the same for all runs of a group of copies, and its next neighbours in the order of their other words. tests/llm holds
 this against brute force.
 
-Defined results: what cannot be decoded, and null, has no corners and is its own component; a null id stays null;
+Defined results: what cannot be decoded, and null, has no corners and is its own component; images of equal pixels are one
+component even without corners; small images are padded by their edges for corners; a null id stays null;
 repeated rows get the same result each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -133,6 +135,8 @@ def describe(grey: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     if grey is None:
         return none
     levels, found, level = [], [], grey.astype(np.float32)
+    if grey.size and min(grey.shape) <= 2 * (RADIUS + 1) + 1:  # places then count from the padded corner, which only moves them
+        level = np.pad(level, RADIUS + 2, mode="edge")
     for octave in range(4):
         at = corners(level)
         if not len(at):
@@ -184,26 +188,27 @@ def picture(html: str | None) -> np.ndarray | None:
 
 
 def _described(images: DataFrame, read) -> DataFrame:
-    """image_id, class (hash of the pixels), n corners, and the corners packed: per corner 4 words and a place."""
+    """image_id, class (hash of the pixels), seen (decoded), n corners, and the corners packed: per corner 4 words and a place."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out: dict[str, list] = {"image_id": batch.column("image_id").to_pylist(), "cls": [], "n": [], "places": [], "words": []}
+            out: dict[str, list] = {"image_id": batch.column("image_id").to_pylist(), "cls": [], "seen": [], "n": [], "places": [], "words": []}
             for media in batch.column("media"):
                 grey = read(media.as_py())
                 places, words = describe(grey)
-                own = zlib.crc32(grey.astype("<f4").tobytes()) if grey is not None else 0
-                shape = (grey.shape[0] << 16 ^ grey.shape[1]) if grey is not None else 0
-                out["cls"].append(int(mixed(np.array([own << 32 ^ zlib.adler32(words.tobytes()) ^ shape << 20], np.uint64)).view(np.int64)[0]))
+                shape = b"%d %d " % grey.shape if grey is not None else b""
+                pixels = grey.astype("<f4").tobytes() if grey is not None else b""
+                out["cls"].append(int.from_bytes(hashlib.blake2b(shape + pixels, digest_size=8).digest(), "little", signed=True))
+                out["seen"].append(grey is not None)
                 out["n"].append(len(places))
                 packed = np.minimum(places[:, 0], 0xFFFF) << 24 | np.minimum(places[:, 1], 0xFFFF) << 8 | places[:, 2] << 3 | places[:, 3]
                 out["places"].append(packed.tolist())
                 out["words"].append(np.ascontiguousarray(words).reshape(-1).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(out["image_id"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["places"], pa.list_(pa.int64())), pa.array(out["words"], pa.list_(pa.int32()))], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["image_id"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["seen"], pa.bool_()), pa.array(out["n"], pa.int32()), pa.array(out["places"], pa.list_(pa.int64())), pa.array(out["words"], pa.list_(pa.int32()))], names=list(out))
 
-    return images.selectExpr("cast(image_id as long) image_id", "media").mapInArrow(run, "image_id long, cls long, n int, places array<long>, words array<int>")
+    return images.selectExpr("cast(image_id as long) image_id", "media").mapInArrow(run, "image_id long, cls long, seen boolean, n int, places array<long>, words array<int>")
 
 
 def matches(classes: DataFrame) -> DataFrame:
@@ -272,16 +277,16 @@ def links(classes: DataFrame) -> DataFrame:
 def copies(images: DataFrame, read=decode) -> DataFrame:
     """image_id, n_corners, class_id, n_links, component_id (least image_id of the linked images) of each image."""
     described = written(_described(images, read), "corners")
-    classes = written(described.where("n > 0").dropDuplicates(["cls"]).drop("image_id"), "image-classes")
+    classes = written(described.where("n > 0").dropDuplicates(["cls"]).drop("image_id", "seen"), "image-classes")
     found = written(links(classes), "image-links")
     comps = written(components(found), "image-components")
     degree = found.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    own = described.select("image_id", "n", F.col("cls").alias("class_id"))
-    named = own.where("n > 0").groupBy(F.col("class_id").alias("cls")).agg(F.min("image_id").alias("least"))
+    own = described.select("image_id", "n", "seen", F.col("cls").alias("class_id"))
+    named = own.where("seen").groupBy(F.col("class_id").alias("cls")).agg(F.min("image_id").alias("least"))
     labels = named.join(comps, named.cls == comps.id, "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     least = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
     table = labels.join(least, "comp").join(degree, "cls", "left").select("cls", "component_id", "n_links")
-    out = own.join(table, (own.class_id == table.cls) & (own.n > 0), "left")
+    out = own.join(table, (own.class_id == table.cls) & own.seen, "left")
     discard(classes)
     return out.select("image_id", F.col("n").cast("long").alias("n_corners"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "image_id").alias("component_id"))
 

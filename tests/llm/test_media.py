@@ -103,3 +103,13 @@ def test_links_against_comparing_all_descriptors(table):
 def test_nothing(spark):
     none = spark.createDataFrame([], "image_id long, media binary")
     assert media.copies(none).count() == 0
+
+
+def test_small_and_blank_images_meet_their_copies(spark):
+    small = scene(5, 15, 200)
+    edited = np.clip(small * 0.9 + 10, 0, 255).astype(np.uint8)
+    flat = np.full((40, 40), 7, np.uint8)
+    rows = [(1, pgm(small)), (2, png(small)), (3, pgm(edited)), (4, pgm(flat)), (5, png(flat)), (6, pgm(flat[:20])), (7, b"junk"), (8, b"junk"), (9, pgm(scene(6, 15, 200)))]
+    got = {r.image_id: r for r in media.copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()}
+    assert [got[k].component_id for k in range(1, 10)] == [1, 1, 1, 4, 4, 6, 7, 8, 9]
+    assert got[1].n_corners > 0 and got[3].n_links == 1 and got[4].n_corners == 0
