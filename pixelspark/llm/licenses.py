@@ -36,6 +36,17 @@ TEMPLATES = {
     "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
 
+#: More texts, for scan(docs, WIDER): notices of the Creative Commons family and paragraphs that texts hold on their own.
+#: The registered query stays with TEMPLATES, from which its SQL is made.
+WIDER = TEMPLATES | {f"cc-{kind}-{version}": f"CC {kind} {version}" for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for version in ("1.0", "2.0", "2.5", "3.0", "4.0")}
+WIDER |= {
+    "agpl-text": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "lgpl-text": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+}
+
 
 def words_of(text: Column) -> Column:
     """Lower-cased words. lower() changes no character outside A-Z in a way that makes or breaks a word or phrase."""

@@ -60,6 +60,12 @@ def test_license_texts(spark):
     assert (got[4].labels, got[4].n_base, got[4].first_word, got[4].last_word) == ("apache,mit", 3, 1, 6)
 
 
+def test_wider_texts(spark):
+    texts = ["a b Licensed under CC BY-NC 4.0. c", "CC BY-NC-SA 4.0", "CC BY 4.0", "CC BY-ND 3.0", licenses.WIDER["mit-warranty"], licenses.WIDER["bsd-warranty"], "cc by post 4 0"]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licenses.WIDER).collect()}
+    assert [got[k] for k in range(7)] == ["cc-by-nc-4.0", "cc-by-nc-sa-4.0", "cc-by-4.0", "cc-by-nd-3.0", "mit-warranty", "bsd-warranty", ""]
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(secrets.ASSIGN.replace("(?i:(password|passwd|secret|token|api_?key))", "((?i:password|passwd|secret|token|api_?key))"))
