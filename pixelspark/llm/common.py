@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of the word definition used by the contracts: [^\x20\x09-\x0D]+
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -42,11 +43,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    for table in getattr(df, "_held", ()):
+        discard(table)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
     return back
 
 
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads tables made by written(): they go when df itself is written."""
+    df._held = tables
+    return df
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by written(); nothing may read it afterwards."""
     path = getattr(df, "_scratch", None)
@@ -56,6 +73,14 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """The same rows, with it forgotten that an aggregation dealt them by the key (a long).
+
+    A join on the key then deals both sides itself, which lets Spark split the other side's hot keys (adaptive skew join).
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -21,21 +21,27 @@ Nothing is emitted for all pairs of a group: members of one component are not co
 pairs only reach verification when their bitmaps allow a link. Hashes of 64 bits stand for words, shingles and
 sets (with the set's size); equal hashes count as equal.
 
-Defined results: null, empty and blank texts have n_shingles 0 and are their own component (null for a null doc_id);
-repeated rows have equal sets and share a component; an empty table gives no rows; other columns are ignored.
+Rows are told apart by doc_id and a hash of the row, so that null and repeated doc_ids lose nothing.
+
+Defined results: null, empty and blank texts have n_shingles 0 and are their own component (null for a null doc_id); a
+component's number is its least doc_id that is not null, and null if all are; a row without doc_id links like any other;
+repeated rows have equal sets and share a component; a very long text is one set of all its shingles (a task holds the sets
+of 128 texts at a time); a similarity of exactly 3/4 links, and ties between pivots go to the smaller number; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelspark.llm.common import _GOLD, blanks, discard, mixed, span_hashes, text_slices, written
+from pixelspark.llm.common import _GOLD, blanks, dealt_anew, discard, fresh, holding, mixed, span_hashes, text_slices, written
 
-WORDS, RARE, BITS, NODE = 5, 64, 2048, 4096
+WORDS, RARE, BITS, NODE, SEEN = 5, 64, 2048, 4096, 1 << 20
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -116,29 +122,41 @@ def _runs(batches: Iterator, key: str) -> Iterator:
         yield held
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a row. With the doc_id it names the row: rows that agree in both are repeats of one row."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, id, n of every document."""
+    """doc_id, row (its hash), id, n of every document."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             sets = [s for _, texts in text_slices(batch) for s in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "id", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "row", "id", "n"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, id long, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), "text").mapInArrow(run, "doc_id long, row long, id long, n long")
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """h, id, n: the prefix shingles of each class, once per task and class."""
+    """h, id, n: the prefix shingles of each class, once or a few times per task and class.
+
+    Of a shingle that RARE or more classes of one Arrow batch send, RARE go to the shingle's task, which is enough to
+    tell that it is frequent; the others' n is negative: they are known to be so and are dealt by themselves. So no shingle
+    brings more than RARE rows per batch to one task, however many texts share it.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in batches:
+            parts, ids, sizes, counts = [], [], [], []
+            if len(seen) > SEEN:  # repeats are dropped again where rows meet
+                seen.clear()
             for _, texts in text_slices(batch):
-                parts, ids, sizes, counts = [], [], [], []
                 for s in shingle_sets(texts):
                     if len(s) and (k := set_id(s)) not in seen:
                         seen.add(k)
@@ -146,8 +164,14 @@ def prefixes(docs: DataFrame) -> DataFrame:
                         ids.append(k)
                         sizes.append(len(s))
                         counts.append(len(parts[-1]))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["h", "id", "n"])
+            if not parts:
+                continue
+            h, n = np.concatenate(parts).view(np.int64), np.repeat(np.array(sizes, np.int32), counts)
+            order = np.argsort(h, kind="stable")
+            start = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+            place = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
+            n[order[place >= RARE]] *= -1
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(ids, counts)), pa.array(n)], names=["h", "id", "n"])
 
     return docs.select("text").mapInArrow(run, "h long, id long, n int")
 
@@ -186,6 +210,10 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             h, i, n = (batch.column(c).to_numpy() for c in ("h", "id", "n"))
+            known = n < 0
+            if known.any():  # they come first
+                yield pa.RecordBatch.from_arrays([pa.array(i[known]), pa.array(-n[known]), pa.array(h[known]), pa.array(np.full(int(known.sum()), RARE, np.int32))], names=names)
+                h, i, n = h[~known], i[~known], n[~known]
             if not len(h):
                 continue
             new = np.append((h[0], i[0]) != last, (h[1:] != h[:-1]) | (i[1:] != i[:-1]))  # copies sent by several tasks
@@ -198,7 +226,8 @@ def shared_shingles(rows: DataFrame) -> DataFrame:
         if carry is not None and (out := finish(*carry, True)) is not None:
             yield out
 
-    dealt = rows.repartition("h").sortWithinPartitions("h", "id")
+    known = F.col("n") < 0
+    dealt = rows.repartition(F.when(known, F.xxhash64("h", "id")).otherwise(F.col("h"))).sortWithinPartitions(~known, "h", "id")
     return dealt.mapInArrow(run, "id long, n int, h long, freq int")
 
 
@@ -210,6 +239,8 @@ def rarest(rows: DataFrame) -> DataFrame:
 
         out: list[tuple] = []
         for own in _runs(batches, "id"):
+            once = np.append(True, np.diff(own["h"]) != 0)  # several tasks may have sent a class
+            own = {name: c[once] for name, c in own.items()}
             n = int(own["n"][0])
             k = len(own["h"]) - int(shared_of((3 * n + 3) // 4)) + 1
             if k > 0:
@@ -227,30 +258,17 @@ def rarest(rows: DataFrame) -> DataFrame:
 def pivots(rows: DataFrame) -> DataFrame:
     """a, b: each class with its two most frequent pivots. A shingle's pivot is the class of the smallest number (a hash) among
     those of a size class, so a group of copies agrees on few pivots."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        h, pivot = None, None
-        for batch in batches:
-            a, b = [], []
-            for g, c, i in zip(batch.column("h").to_pylist(), batch.column("c").to_pylist(), batch.column("id").to_pylist(), strict=True):
-                if (g, c) != h:
-                    h, pivot = (g, c), i
-                elif i != pivot:
-                    a.append(i)
-                    b.append(pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
     size = F.floor(F.log(F.col("n").cast("double")) * (2 / np.log(4 / 3)))
-    dealt = rows.select("h", size.alias("c"), "id").repartition("h").sortWithinPartitions("h", "c", "id")
-    counted = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("k"))
+    rows = rows.select("h", size.alias("c"), "id")
+    least = rows.groupBy("h", "c").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").drop("most")
+    met = rows.join(dealt_anew(least, "h"), ["h", "c"]).where("id <> b")
+    counted = met.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("k"))
     best = Window.partitionBy("a").orderBy(F.col("k").desc(), "b")
     return counted.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, s (the set), bits: of the classes that `wanted` (doc_id) stands for."""
+    """id, s (the set), bits: of the classes that `wanted` (doc_id, row) stands for."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -260,7 +278,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [s for s in shingle_sets(texts) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["id", "s", "bits"])
 
-    kept = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
+    named = docs.select(F.col("doc_id").cast("long").alias("_doc"), row_hash(docs).alias("_row"), "text")
+    kept = named.join(wanted, (F.col("_row") == F.col("row")) & F.col("_doc").eqNullSafe(F.col("doc_id")), "left_semi").select("text")
     return kept.mapInArrow(run, "id long, s binary, bits binary")
 
 
@@ -282,32 +301,43 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     b.append(p)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / NODE).alias("parts"))
-    heads = parts.join(sets, F.col("b") == F.col("id")).select("b", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(None).cast("long").alias("a"), "s")
-    members = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    members = members.join(sets, F.col("a") == F.col("id")).select("b", "part", "a", "s")
-    dealt = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return dealt.mapInArrow(run, "a long, b long")
+    pairs = pairs if hasattr(pairs, "_scratch") else written(pairs, "candidates")
+    # only pivots with more than NODE pairs are split, so this table has at most a NODE-th as many rows as there are pairs
+    hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / NODE).alias("parts")).where("parts > 1"), "hot")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(hot, "b", "left").select("a", "b", part.alias("part"))
+    heads = dealt.select("b", "part").distinct().join(sets, F.col("b") == F.col("id")).select("b", "part", F.lit(None).cast("long").alias("a"), "s")
+    members = dealt.join(sets, F.col("a") == F.col("id")).select("b", "part", "a", "s")
+    rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    found = written(rows.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs)
+    discard(hot)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, comp: the least id reachable, for ids with links. Large-star and small-star steps until nothing changes."""
+    """id, comp: the least id reachable, for ids with links. Large-star and small-star steps until nothing changes.
+
+    The hub of a star has as many links as its group has members; its join may be split, since the other side is dealt anew.
+    """
     edges = written(links.selectExpr("greatest(a, b) u", "least(a, b) v").where("u <> v").distinct(), "edges")
     while True:
         before = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # large
+        star = both.where("v > u").join(dealt_anew(low, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # large
         star = star.where("u <> v").distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
-        star = star.join(low, "u")  # small
+        star = star.join(low, "u")  # small: a node has few smaller neighbours left
         star = star.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = written(star, "edges")
         same = edges.selectExpr("count(*) n", "bit_xor(xxhash64(u, v)) x").first() == before.selectExpr("count(*) n", "bit_xor(xxhash64(u, v)) x").first()
         discard(before)
         if same:
             break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+    found = written(edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()), "comps")
+    discard(edges)
+    return found
 
 
 class Tree:
@@ -428,32 +458,63 @@ def tree_pairs(rows: DataFrame, sets: DataFrame, comps: DataFrame, best_only: bo
     return found
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, row (row_hash), n_shingles, component_id, stays of every document.
+
+    stays: whether the row is the first of its component, by doc_id (null last) and row hash; repeats of the first row all
+    are. Rows without words are first of their own.
+    """
     every = written(classes(docs), "classes")
     rows = written(rarest(shared_shingles(prefixes(docs))), "rarest")
-    firsts = every.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = firsts.join(rows.select("id").distinct(), "id", "left_semi").select("doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    firsts = written(every.where("n > 0").groupBy("id").agg(first), "firsts")
+    wanted = firsts.join(rows.select("id").distinct(), "id", "left_semi").select("first.doc_id", "first.row")
     sets = written(sets_of(docs, wanted).dropDuplicates(["id"]), "sets")
-    links = written(verified(pivots(rows), sets), "links")
-    comps = written(components(links), "comps")
+    found = [verified(pivots(rows), sets)]
+    comps = components(found[0])
     best_only = True
     while True:  # the last pass is exhaustive; those before leave it little to do
-        more, last = written(verified(tree_pairs(rows, sets, comps, best_only), sets), "links"), not best_only
-        found = more.count()
-        best_only = 2 * found > comps.count()  # much was joined, so the next pass might join much
-        if found:
-            links = links.union(more)
-            comps = written(components(links), "comps")
+        more, last = verified(tree_pairs(rows, sets, comps, best_only), sets), not best_only
+        n = more.count()
+        best_only = 2 * n > comps.count()  # much was joined, so the next pass might join much
+        found.append(more)
+        if n:
+            discard(comps)
+            comps = components(reduce(DataFrame.union, found))
         if last:
             break
-    discard(rows)
-    discard(sets)
-    named = firsts.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(least, "comp").select(F.col("id").alias("_id"), "component_id")
-    out = every.join(labels, (F.col("id") == F.col("_id")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    for table in (rows, sets, *found):
+        discard(table)
+    # classes without links are their own components, so only those with links meet their component's first row
+    tied = firsts.join(comps, "id")
+    least = tied.groupBy("comp").agg(F.min("first").alias("least"))
+    tied = tied.join(dealt_anew(least, "comp"), "comp").select("id", "least")
+    labels = firsts.join(tied, "id", "left").select(F.col("id").alias("_id"), F.coalesce("least", "first").alias("least"))
+    out = every.join(dealt_anew(labels, "_id"), (F.col("id") == F.col("_id")) & (F.col("n") > 0), "left")
+    worded = F.col("n") > 0
+    stays = ~worded | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("row").eqNullSafe(F.col("least.row")))
+    out = out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(worded, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+    return holding(out, every, firsts, comps)
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return groups(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """docs without the rows that are near copies of another one: of each component its first row (see groups) stays."""
+    found = written(groups(docs), "groups")
+    doc, row = fresh("_doc", docs), fresh("_row", docs)
+    name = {"doc_id": doc, "row": row}
+    others = found.where("not stays").select("doc_id", "row").distinct().withColumnsRenamed(name)
+    repeated = found.where("stays and n_shingles > 0").groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row").withColumnsRenamed(name)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (row_hash(docs) == F.col(row))
+    kept = docs.join(others, same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    # repeats of one row agree in all columns, so it doesn't matter which of them stays
+    return kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates())
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
-import pandas as pd
 import pytest
 from rows import plain
 from hypothesis import given, settings
@@ -309,6 +308,59 @@ def test_star_components(spark):
         assert got == {k: find(k) for k in list(up)}
 
 
+def chain_of_texts():
+    """Three texts of which neighbours link and the ends don't."""
+    words = [f"w{k}" for k in range(60)]
+    return [" ".join(words), " ".join([*words[:53], *(f"x{k}" for k in range(7))]), " ".join([*(f"y{k}" for k in range(6)), *words[6:53], *(f"x{k}" for k in range(7))])]
+
+
+def test_rows_without_id_link_like_others(spark):
+    a, b, c = chain_of_texts()
+    docs = spark.createDataFrame([(1, a), (None, b), (2, c), (None, "alone in the whole wide world"), (None, None)], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(near_duplicates.OP7_SQL).df().astype({"component_id": "Int64"})
+    assert plain(near_duplicates.join_components(docs).toPandas()) == plain(want)
+    assert sorted(want.component_id.dropna()) == [1, 1, 1]
+    left = near_duplicates.one_of_each_group(docs).collect()
+    assert sorted(str(r.text) for r in left) == sorted([a, "alone in the whole wide world", "None"])
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    a, b, c = chain_of_texts()
+    own = "this one is like no other text of the table at all"
+    rows = [(5, a, "en"), (5, own, "en"), (7, b, "en"), (7, "nor is that one here which also stands alone", "en"), (8, c, "en"), (5, a, "en"), (5, a, "fr"), (9, "", "en"), (9, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    left = sorted(tuple(r) for r in near_duplicates.one_of_each_group(docs).collect())
+    assert [r[:2] for r in left] == sorted([(5, a), (5, own), (7, rows[3][1]), (9, ""), (9, "")])
+    assert left == sorted(tuple(r) for r in near_duplicates.one_of_each_group(docs.repartition(5)).collect())
+
+
+def test_frequent_shingles_and_pivots_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "RARE", 4)
+    monkeypatch.setattr(near_duplicates, "NODE", 8)
+    monkeypatch.setattr(near_duplicates, "SEEN", 5)
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(90):  # a group that shares most shingles, and texts that share a passage only
+        words = list(base)
+        if k < 60:
+            words[rng.randrange(60)] = f"c{k}"
+        else:
+            words = words[:20] + [f"o{k}x{j}" for j in range(40)]
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sets = {k: set(zip(*(t.split()[j:] for j in range(5)))) for k, t in rows}
+    up = list(range(90))
+    for a in range(90):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = up[a], up[b]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    assert {r.doc_id: r.component_id for r in near_duplicates.join_components(docs).collect()} == dict(enumerate(up))
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------
 
 
@@ -357,7 +409,3 @@ def test_toxicity_of_awkward_tables(spark, awkward, nothing):
         assert out.columns == [*awkward.columns, "_s"] and out.count() == awkward.count()
         assert out.where("_s < 0 or _s > 1 or _s is null").count() == 0
         assert toxicity.score_documents(nothing, model, "_s").count() == 0
-
-
-def test_pandas_is_here():
-    assert pd is not None

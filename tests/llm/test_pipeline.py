@@ -11,8 +11,8 @@ def test_stages_keep_columns_and_clean_documents(spark, sf):
         if name == "toxicity":
             assert 0.7 * before.count() < after.count() <= before.count()
         if name == "ngram_jaccard":
-            groups = near_duplicates.join_components(before).collect()
-            assert sorted(r.doc_id for r in after.collect()) == sorted({r.component_id for r in groups})
+            found = near_duplicates.join_components(before).collect()
+            assert sorted(r.doc_id for r in after.collect()) == sorted({r.component_id for r in found})
         if name == "secrets":
             assert after.count() == before.count()
         before = after
