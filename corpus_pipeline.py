@@ -27,15 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each component; of rows that share it, one. Documents without a doc_id stay."""
-    found = written(near_duplicates.join_components(docs), "groups")
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(again.dropDuplicates(["doc_id"]))
+    """Of each component of near duplicates the row of the least doc_id (null last; of equal ids the least row hash), once.
+
+    Documents without words stay, and so does each of several texts under one doc_id that is a copy of nothing."""
+    return near_duplicates.one_of_each_group(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
