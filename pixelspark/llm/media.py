@@ -4,17 +4,26 @@ An image is decoded to grey, and on a pyramid of halved sizes Harris corners are
 corner the direction of the intensity centroid turns a fixed pattern of 128 point pairs; each pair gives a bit, which is the
 brighter point. The descriptor's four 32-bit words are four hash tables: descriptors that agree in one word (surely so up to a
 Hamming distance of 3) meet in an equi-join by sorted runs, and match if 22 bits of the other words differ in at most 6. A match says how the one image would be turned, scaled and
-moved onto the other; matches of an image pair vote for that in overlapping bins, and MIN_VOTES different corners in one bin, and a
-share of the corners of the smaller image, make a link. Links give components.
+moved onto the other; matches of an image pair vote for that in overlapping bins, and MIN_VOTES different corners of both images in one
+bin, and a share of the corners of the smaller image, make a link. Links give components.
 
-Images of equal pixels are one class and are described once. A run of at most RUN classes gives all its pairs; a longer run
-(a logo on very many images) is not expanded into pairs: each member meets the PIVOTS members of the smallest hash, which are
-the same for all runs of a group of copies, and its next neighbours in the order of their other words. tests/llm holds
-this against brute force.
+Images of equal pixels are one class and are described once. The search is exact, in two passes:
+
+1. A word that at most RUN corners have gives all its pairs. The corners of a longer run (a logo, or a large group of copies) meet
+   PIVOTS of them, chosen by hashes that are the same for all words, so that a group of copies is tied by a few pairs per image.
+2. What is left are pairs of different components that may share long runs. Of a link's corners, the smaller image needs t (MIN_VOTES or its
+   share), so one of them is not among the t - 1 that stand in the longest runs; only corners beyond those look for partners, only
+   in runs that hold several components, and only among images that are not smaller. Runs are cut into tiles of bounded size, and
+   a pair that turns up is verified on both images' whole descriptors. So are pairs that pass 1 saw too few
+   matches of, if their corners in long runs could make up for it.
+
+A link within a component changes nothing, so links are not counted; each image's class and component are the result.
+tests/llm holds the components against comparing all descriptors.
 
 Defined results: what cannot be decoded, and null, has no corners and is its own component; images of equal pixels are one
-component even without corners; small images are padded by their edges for corners; a null id stays null;
-repeated rows get the same result each; an empty table gives no rows; other columns are ignored.
+component even without corners; small images are padded by their edges for corners; large ones have corners in proportion
+(sides up to 2**27 pixels), and a task holds one picture at a time; of corners of equal response the upper, then the left one comes first; a null id
+stays null and links like others; repeated rows get the same result each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +34,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelspark.llm.common import discard, mixed, written
+from pixelspark.llm.common import dealt_anew, discard, holding, mixed, written
 from pixelspark.llm.near_duplicates import components
 
 AREA, RADIUS, TURNS, BITS = 256, 7, 32, 128
-RUN, PIVOTS, MIN_VOTES, MIN_SHARE, BIN, CHECK_OFF = 24, 3, 5, 0.2, 12, 6
+RUN, PIVOTS, NODE, MIN_VOTES, MIN_SHARE, BIN, CHECK, CHECK_OFF = 24, 3, 4096, 5, 0.2, 12, 22, 6
+X_AT, Y_AT, SIDE = 8, 36, (1 << 27) - 1  # of a place: turn and octave below
 FLAT, MAX_FLAT = 1.0, 0.25
 
 
@@ -203,7 +213,7 @@ def _described(images: DataFrame, read) -> DataFrame:
                 out["cls"].append(int.from_bytes(hashlib.blake2b(shape + pixels, digest_size=8).digest(), "little", signed=True))
                 out["seen"].append(grey is not None)
                 out["n"].append(len(places))
-                packed = np.minimum(places[:, 0], 0xFFFF) << 24 | np.minimum(places[:, 1], 0xFFFF) << 8 | places[:, 2] << 3 | places[:, 3]
+                packed = places[:, 0] << Y_AT | places[:, 1] << X_AT | places[:, 2] << 3 | places[:, 3]
                 out["places"].append(packed.tolist())
                 out["words"].append(np.ascontiguousarray(words).reshape(-1).view(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(out["image_id"], pa.int64()), pa.array(out["cls"], pa.int64()), pa.array(out["seen"], pa.bool_()), pa.array(out["n"], pa.int32()), pa.array(out["places"], pa.list_(pa.int64())), pa.array(out["words"], pa.list_(pa.int32()))], names=list(out))
@@ -211,84 +221,323 @@ def _described(images: DataFrame, read) -> DataFrame:
     return images.selectExpr("cast(image_id as long) image_id", "media").mapInArrow(run, "image_id long, cls long, seen boolean, n int, places array<long>, words array<int>")
 
 
+def keys_of(words: np.ndarray) -> np.ndarray:
+    """Per corner and table, from four words: the table, the word and, in the lowest CHECK bits, bits of the other words."""
+    w = words.reshape(-1, 4).astype(np.int64)
+    other = lambda t, k, mask: w[:, (t + k) % 4] & mask
+    return np.stack([(t << 32 | w[:, t]) << CHECK | other(t, 1, 0xFF) << 14 | other(t, 2, 0x7F) << 7 | other(t, 3, 0x7F) for t in range(4)], axis=1)
+
+
+def alike(x, y):
+    return np.bitwise_count((x ^ y) & ((1 << CHECK) - 1)) <= CHECK_OFF
+
+
+def consensus(pair: np.ndarray, p: np.ndarray, q: np.ndarray, n_pairs: int) -> np.ndarray:
+    """The votes of each pair: of its matches (places p, q) the most different corners, of either image, in one bin of turn, scale and move."""
+
+    def part(c: np.ndarray) -> tuple:
+        return (c >> Y_AT).astype(float), (c >> X_AT & SIDE).astype(float), c >> 3 & 31, c & 7
+
+    (yp, xp, tp, op), (yq, xq, tq, oq) = part(p), part(q)
+    turn, scale = (tq - tp) % TURNS, oq - op
+    angle, size = turn * (2 * np.pi / TURNS), 2.0**scale
+    mx = xq - size * (np.cos(angle) * xp - np.sin(angle) * yp)
+    my = yq - size * (np.sin(angle) * xp + np.cos(angle) * yp)
+    best = np.zeros(n_pairs, np.int64)
+    for i, j, k in np.ndindex(2, 2, 2):  # turns and moves in bins that overlap by half
+        place = ((turn + i) // 2 % (TURNS // 2), np.floor(mx / BIN + j / 2), np.floor(my / BIN + k / 2), scale, pair)
+        votes = []
+        for corner in (p, q):
+            order = np.lexsort((corner, *place))
+            same_bin = np.ones(max(0, len(order) - 1), bool)
+            for c in place:
+                same_bin &= np.diff(c[order]) == 0
+            new_bin = np.append(True, ~same_bin)[: len(order)]
+            new = new_bin | np.append(True, np.diff(corner[order]) != 0)[: len(order)]
+            start = np.flatnonzero(new_bin)
+            votes.append(np.add.reduceat(new.astype(np.int64), start) if len(start) else np.empty(0, np.int64))
+        np.maximum.at(best, pair[order][start], np.minimum(*votes))  # bins come in the same order for both
+    return best
+
+
+def full_matches(keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two images' corners that match in some table."""
+    found = [np.empty((0, 2), np.int64)]
+    for t in range(4):
+        order = np.argsort(others[:, t], kind="stable")
+        sorted_words, words = others[order, t] >> CHECK, keys[:, t] >> CHECK
+        low, high = np.searchsorted(sorted_words, words), np.searchsorted(sorted_words, words, "right")
+        at = 0
+        while at < len(words):  # as many corners at a time as have a bounded number of partners
+            total = np.cumsum(high[at:] - low[at:])
+            end = at + max(1, int(np.searchsorted(total, 1 << 20, "right")))
+            count = high[at:end] - low[at:end]
+            i = np.repeat(np.arange(at, end), count)
+            j = order[np.repeat(low[at:end], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]
+            good = alike(keys[i, t], others[j, t])
+            found.append(np.column_stack([i[good], j[good]]))
+            at = end
+    both = np.unique(np.concatenate(found), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def matches(classes: DataFrame) -> DataFrame:
-    """a, b (classes), p, q (places): descriptors that meet in a table."""
-    rows = classes.select(F.col("cls"), F.explode(F.arrays_zip("places", F.sequence(F.lit(0), F.size("places") - 1).alias("k"))).alias("e"), "words").select("cls", F.col("e.places").alias("place"), F.slice("words", F.col("e.k") * 4 + 1, 4).alias("w"))
-    # above a place's 40 bits stand CHECK bits of the descriptor's three other words
-    tables = rows.select("cls", "place", "w", F.posexplode("w").alias("t", "word"))
-    other = lambda k, mask: F.element_at("w", F.pmod(F.col("t") + k, F.lit(4)) + 1).bitwiseAND(F.lit(mask))
-    check = F.shiftleft(other(1, 0xFF), 14) + F.shiftleft(other(2, 0x7F), 7) + other(3, 0x7F)
-    tables = tables.select((F.shiftleft(F.col("t").cast("long"), 32) + F.col("word").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "cls", (F.shiftleft(check.cast("long"), 40) + F.col("place")).alias("place"))
+    """a, b (classes, a < b), p, q (places): the matches in short runs. With b null: the corners in long runs (p, and q the key).
+
+    Of a word that more than RUN corners of one Arrow batch have, RUN + 1 go to the word's task, which tells it that the run is
+    long; the others, marked by the key's complement, are dealt by themselves. So no word brings more than that per batch to one task.
+    """
+
+    def entries(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            keys = keys_of(batch.column("words").flatten().to_numpy().view(np.uint32)).T.reshape(-1)
+            cls = np.tile(np.repeat(batch.column("cls").to_numpy(), n), 4)
+            place = np.tile(batch.column("places").flatten().to_numpy(), 4)
+            order = np.argsort(keys, kind="stable")
+            word = keys[order] >> CHECK
+            start = np.flatnonzero(np.append(True, np.diff(word) != 0))[: len(word)]
+            rank = np.arange(len(word)) - np.repeat(start, np.diff(np.append(start, len(word))))
+            known = order[rank > RUN]
+            keys[known] = ~keys[known]
+            for at in range(0, len(keys), 1 << 16):
+                own = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (keys, cls, place)], names=["key", "cls", "place"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, members, pivots, low = None, [], [], (1 << 40) - 1
+        carry, long_word = None, None
+
+        def rows(key, cls, place, final: bool):
+            nonlocal carry, long_word
+            word = key >> CHECK
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            size = np.diff(np.append(start, len(word)))
+            long = size > RUN
+            long[0] |= word[0] == long_word
+            carry = None
+            if not final:
+                if long[-1]:
+                    long_word = word[-1]
+                else:  # it may go on in the next batch
+                    carry = tuple(c[start[-1] :] for c in (key, cls, place))
+                    size, long, start = size[:-1], long[:-1], start[:-1]
+            out = []
+            for m in np.unique(size[~long & (size > 1)]).tolist():
+                members = start[~long & (size == m)][:, None] + np.arange(m)
+                i, j = np.triu_indices(m, 1)
+                x, y = members[:, i].reshape(-1), members[:, j].reshape(-1)
+                good = (cls[x] != cls[y]) & alike(key[x], key[y])
+                x, y = x[good], y[good]
+                x, y = np.where(cls[x] < cls[y], x, y), np.where(cls[x] < cls[y], y, x)
+                out.append((cls[x], cls[y], place[x], place[y]))
+            a, b, p, q = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
+            kept = np.repeat(long, size)
+            kept = np.flatnonzero(kept) if len(kept) else np.empty(0, np.int64)
+            none = np.append(np.zeros(len(b), bool), np.ones(len(kept), bool))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(a, cls[kept])), pa.array(np.append(b, np.zeros(len(kept), np.int64)), mask=none), pa.array(np.append(p, place[kept])), pa.array(np.append(q, key[kept]))], names=["a", "b", "p", "q"])
+
+        for batch in batches:
+            key, cls, place = (batch.column(c).to_numpy() for c in ("key", "cls", "place"))
+            known = key < 0
+            if known.any():  # they come first
+                n = int(known.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(cls[known]), pa.array([None] * n, pa.int64()), pa.array(place[known]), pa.array(~key[known])], names=["a", "b", "p", "q"])
+                key, cls, place = key[~known], cls[~known], place[~known]
+            if not len(key):
+                continue
+            if carry is not None:
+                key, cls, place = (np.concatenate(c) for c in zip(carry, (key, cls, place), strict=True))
+            yield rows(key, cls, place, False)
+        if carry is not None:
+            yield rows(*carry, True)
+
+    known = F.col("key") < 0
+    dealt = classes.select("cls", "n", "places", "words").mapInArrow(entries, "key long, cls long, place long")
+    dealt = dealt.repartition(F.when(known, F.xxhash64("key", "cls", "place")).otherwise(F.shiftright("key", CHECK))).sortWithinPartitions("key", "cls", "place")
+    return dealt.mapInArrow(run, "a long, b long, p long, q long")
+
+
+def _alike(x: Column, y: Column) -> Column:
+    return F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << CHECK) - 1))) <= CHECK_OFF
+
+
+def _pairs(a: str, b: str, p: str, q: str) -> list[Column]:
+    swap = F.col(a) > F.col(b)
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), pick(p, q).alias("p"), pick(q, p).alias("q")]
+
+
+def pivot_matches(long: DataFrame) -> DataFrame:
+    """a, b, p, q: the corners of long runs (word, cls, place, key) with their run's pivots."""
+    first = [F.min(F.struct(F.xxhash64("cls", F.lit(j)).alias("o"), "cls", "place", "key")).alias(f"v{j}") for j in range(PIVOTS)]
+    pivots = long.groupBy("word").agg(*first)
+    one = F.array_distinct(F.array(*(F.struct(f"v{j}.cls", f"v{j}.place", f"v{j}.key") for j in range(PIVOTS))))
+    pivots = pivots.select("word", F.explode(one).alias("v"))
+    met = long.join(dealt_anew(pivots, "word"), "word").where((F.col("cls") != F.col("v.cls")) & _alike(F.col("key"), F.col("v.key")))
+    return met.select("cls", "place", F.col("v.cls").alias("c"), F.col("v.place").alias("l")).select(*_pairs("cls", "c", "place", "l"))
 
-        def met(some: list[tuple], one: tuple) -> list[tuple]:
-            c, p = one
-            return [(x, c, q & low, p & low) for x, q in some if x != c and (p >> 40 ^ q >> 40).bit_count() <= CHECK_OFF]
+
+def voted(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a, b, votes: pairs of classes (cls, n) whose matches (a, b, p, q) agree on one turn, scale and move."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
         for batch in batches:
-            out: list[tuple] = []
-            for g, c, p in zip(*(batch.column(n).to_pylist() for n in ("key", "cls", "place")), strict=True):
-                if g != key:
-                    key, members, pivots = g, [], []
-                one = (c, p)
-                out += met(pivots + members, one)
-                members.append(one)
-                if len(members) > (2 if pivots else RUN):  # a long run: the first ones by hash are its pivots, then the neighbours
-                    pivots = pivots or members[:PIVOTS]
-                    members = members[-2:]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, names=["a", "b", "p", "q"])
-
-    # members come by the hash of their class, which is the class's number itself
-    dealt = tables.repartition("key").sortWithinPartitions("key", "cls", "place")
-    found = dealt.mapInArrow(run, "a long, b long, p long, q long")
-    swap = F.col("a") > F.col("b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("q"))
-
-
-def links(classes: DataFrame) -> DataFrame:
-    """a, b, votes: pairs of classes whose matches agree on one turn, scale and move."""
+            lists = batch.column("m")
+            own = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(consensus(own, flat.field("p").to_numpy(), flat.field("q").to_numpy(), batch.num_rows))], names=["a", "b", "votes"])
+
     # pairs with fewer matched corners than votes needed leave before anything is worked out for them
-    per_pair = matches(classes).groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m"))
+    per_pair = found.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m"))
     per_pair = per_pair.where(F.size(F.array_distinct(F.transform("m", lambda x: x["p"]))) >= MIN_VOTES)
-    m = per_pair.select("a", "b", F.explode("m").alias("m")).select("a", "b", "m.p", "m.q")
-
-    def part(c: str, shift: int, mask: int):
-        return F.shiftright(F.col(c), shift).bitwiseAND(F.lit(mask))
-
-    m = m.select("a", "b", "p", *(part(c, 24, 0xFFFF).alias(f"y{c}") for c in "pq"), *(part(c, 8, 0xFFFF).alias(f"x{c}") for c in "pq"), F.pmod(part("q", 3, 31) - part("p", 3, 31), F.lit(TURNS)).alias("turn"), (part("q", 0, 7) - part("p", 0, 7)).alias("scale"))
-    angle, size = F.col("turn") * (2 * np.pi / TURNS), F.pow(F.lit(2.0), F.col("scale").cast("double"))
-    mx = F.col("xq") - size * (F.cos(angle) * F.col("xp") - F.sin(angle) * F.col("yp"))
-    my = F.col("yq") - size * (F.sin(angle) * F.col("xp") + F.cos(angle) * F.col("yp"))
-    # turns and moves in bins that overlap by half
-    halves = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (0, 1) for j in (0, 1) for k in (0, 1))))
-    binned = m.select("a", "b", "p", "scale", "turn", mx.alias("mx"), my.alias("my")).withColumn("h", halves)
-    bins = binned.select("a", "b", "p", "scale", F.pmod(F.floor((F.col("turn") + F.col("h.i")) / 2), F.lit(TURNS // 2)).alias("tb"), F.floor(F.col("mx") / BIN + F.col("h.j") / 2).alias("xb"), F.floor(F.col("my") / BIN + F.col("h.k") / 2).alias("yb"), F.col("h.i").alias("i"), F.col("h.j").alias("j"), F.col("h.k").alias("k"))
-    votes = bins.distinct().groupBy("a", "b", "scale", "tb", "xb", "yb", "i", "j", "k").agg(F.count("*").alias("v"))
-    best = votes.where(F.col("v") >= MIN_VOTES).groupBy("a", "b").agg(F.max("v").alias("votes"))
-    sizes = classes.select("cls", "n")
+    best = per_pair.mapInArrow(run, "a long, b long, votes long").where(F.col("votes") >= MIN_VOTES)
     both = best.join(sizes.withColumnsRenamed({"cls": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"cls": "b", "n": "nb"}), "b")
     return both.where(F.col("votes") >= MIN_SHARE * F.least("na", "nb")).select("a", "b", "votes")
 
 
+def needed(n: Column) -> Column:
+    return F.greatest(F.lit(MIN_VOTES), F.ceil(MIN_SHARE * n).cast("int"))
+
+
+def candidates(short: DataFrame, long: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """a, b: the pairs of different components whose matches pass 1 may not have seen enough of (see above)."""
+    own = classes.select("cls", "n").join(comps.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    runs = long.join(own, "cls")
+    apart = runs.groupBy("word").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("word", "k")
+    runs = written(runs.join(dealt_anew(apart, "word"), "word"), "runs")
+    corner = runs.groupBy("cls", "n", "place").agg(F.max("k").alias("k"))  # as many as an image has corners
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.col("k").desc(), "place"))
+    probes = corner.withColumn("r", rank).where(F.col("r") >= needed(F.col("n"))).select("cls", "place")
+    probing = written(runs.join(probes, ["cls", "place"]), "probing")
+    split = probing.groupBy("word").agg(F.ceil(F.count("*") / NODE).alias("pn"), F.ceil(F.max("k") / NODE).alias("mn"))
+    split = written(split, "split")
+    turn = lambda n, own: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).alias(own)
+    node = lambda n, own: F.pmod(F.xxhash64("cls", "place"), F.col(n)).cast("int").alias(own)
+    rows = ("key", "cls", "place", "n", "comp")
+    left = probing.join(split, "word").select("word", node("pn", "p"), "mn", F.lit(0).alias("side"), *rows).select("word", "p", turn("mn", "m"), "side", *rows)
+    right = runs.join(split, "word").select("word", "pn", node("mn", "m"), F.lit(1).alias("side"), *rows).select("word", turn("pn", "p"), "m", "side", *rows)
+
+    def meet(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        tile, probe = None, []
+        for batch in batches:
+            cols = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            if not batch.num_rows:
+                continue
+            cuts = np.flatnonzero((np.diff(cols["word"]) != 0) | (np.diff(cols["p"]) != 0) | (np.diff(cols["m"]) != 0) | (np.diff(cols["side"]) != 0)) + 1
+            found = [np.empty((0, 2), np.int64)]
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                now = tuple(int(cols[c][a]) for c in ("word", "p", "m"))
+                if now != tile:
+                    tile, probe = now, []
+                if cols["side"][a] == 0:
+                    probe.append({c: cols[c][a:b] for c in rows})
+                    continue
+                if len(probe) != 1:
+                    probe = [{c: np.concatenate([x[c] for x in probe]) for c in rows}] if probe else []
+                for x in probe:
+                    for at in range(a, b, 256):
+                        y = {c: cols[c][at : min(b, at + 256)] for c in rows}
+                        good = alike(x["key"][:, None], y["key"][None, :]) & (x["comp"][:, None] != y["comp"][None, :]) & (x["n"][:, None] <= y["n"][None, :])
+                        i, j = np.nonzero(good)
+                        c, d = x["cls"][i], y["cls"][j]
+                        found.append(np.unique(np.column_stack([np.minimum(c, d), np.maximum(c, d)]), axis=0))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    tiles = left.unionByName(right).repartition("word", "p", "m").sortWithinPartitions("word", "p", "m", "side")
+    met = tiles.mapInArrow(meet, "a long, b long")
+    # pairs that short runs gave some matches, which long runs could bring to as many as are needed
+    held = written(corner.groupBy("cls", "n").agg(F.count("*").alias("z")).join(own.select("cls", "comp"), "cls"), "held")
+    x, y = (held.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("z").alias(f"z{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
+    seen = short.join(x, "a").join(y, "b").where("ca <> cb")
+    counted = seen.groupBy("a", "b", "na", "nb", "za", "zb").agg(F.size(F.collect_set("p")).alias("np"), F.size(F.collect_set("q")).alias("nq"))
+    least = needed(F.least("na", "nb"))
+    few = counted.where((F.col("np") + F.col("za") >= least) & (F.col("nq") + F.col("zb") >= least)).select("a", "b")
+    out = written(met.union(few).distinct(), "candidates")
+    for table in (runs, probing, split, held):
+        discard(table)
+    return out
+
+
+def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a written table that link, by all matches of their whole descriptors; b's are sent once for every NODE pairs of it."""
+    hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / NODE).alias("parts")).where("parts > 1"), "hot")  # a NODE-th of the pairs at most
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    body = classes.select("cls", "places", "words")
+    heads = dealt.select("b", "part").distinct().join(body, F.col("b") == F.col("cls")).select("b", "part", F.lit(None).cast("long").alias("a"), "places", "words")
+    members = dealt.join(body, F.col("a") == F.col("cls")).select("b", "part", "a", "places", "words")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        head, own = None, None
+        for batch in batches:
+            a, b = [], []
+            for k, (one, two) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                places = batch.column("places")[k].values.to_numpy()
+                keys = keys_of(batch.column("words")[k].values.to_numpy().view(np.uint32))
+                if one is None:
+                    head, own = two, (places.copy(), keys)
+                    continue
+                if two != head:
+                    continue
+                i, j = full_matches(keys, own[1])
+                votes = consensus(np.zeros(len(i), np.int64), places[i], own[0][j], 1)[0]
+                if votes >= max(MIN_VOTES, MIN_SHARE * min(len(places), len(own[0]))):
+                    a.append(one)
+                    b.append(two)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    found = written(rows.mapInArrow(run, "a long, b long"), "image-links")
+    discard(hot)
+    return found
+
+
+def linked_components(classes: DataFrame) -> DataFrame:
+    """id, comp (written): of the classes with links."""
+    found = written(matches(classes), "matches")
+    short = found.where("b is not null")
+    long = found.where("b is null").select(F.shiftright("q", CHECK).alias("word"), F.col("a").alias("cls"), F.col("p").alias("place"), F.col("q").alias("key"))
+    links = written(voted(short.union(pivot_matches(long)), classes.select("cls", "n")).select("a", "b"), "image-links")
+    comps = components(links)
+    if not long.isEmpty():
+        pairs = candidates(short, long, classes, comps)
+        more = verified(pairs, classes)
+        discard(pairs)
+        if not more.isEmpty():
+            discard(comps)
+            comps = components(links.union(more))
+        discard(more)
+    discard(found)
+    discard(links)
+    return comps
+
+
 def copies(images: DataFrame, read=decode) -> DataFrame:
-    """image_id, n_corners, class_id, n_links, component_id (least image_id of the linked images) of each image."""
+    """image_id, n_corners, class_id, component_id (least image_id of the linked images) of each image."""
     described = written(_described(images, read), "corners")
     classes = written(described.where("n > 0").dropDuplicates(["cls"]).drop("image_id", "seen"), "image-classes")
-    found = written(links(classes), "image-links")
-    comps = written(components(found), "image-components")
-    degree = found.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    comps = linked_components(classes)
+    discard(classes)
     own = described.select("image_id", "n", "seen", F.col("cls").alias("class_id"))
     named = own.where("seen").groupBy(F.col("class_id").alias("cls")).agg(F.min("image_id").alias("least"))
-    labels = named.join(comps, named.cls == comps.id, "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
-    least = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
-    table = labels.join(least, "comp").join(degree, "cls", "left").select("cls", "component_id", "n_links")
-    out = own.join(table, (own.class_id == table.cls) & own.seen, "left")
-    discard(classes)
-    return out.select("image_id", F.col("n").cast("long").alias("n_corners"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "image_id").alias("component_id"))
+    # classes without links are their own components, so only those with links meet their component's least image
+    tied = named.join(comps, named.cls == comps.id).select("cls", "comp", "least")
+    least = tied.groupBy("comp").agg(F.min("least").alias("component_id"))
+    tied = tied.join(dealt_anew(least, "comp"), "comp").select(F.col("cls").alias("id"), "component_id")
+    table = named.join(tied, named.cls == tied.id, "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    out = own.join(dealt_anew(table, "cls"), (F.col("class_id") == F.col("cls")) & F.col("seen"), "left")
+    out = out.select("image_id", F.col("n").cast("long").alias("n_corners"), "class_id", F.when(F.col("seen"), F.col("component_id")).otherwise(F.col("image_id")).alias("component_id"))
+    return holding(out, described, comps)
 
 
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

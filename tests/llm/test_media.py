@@ -59,26 +59,61 @@ def test_edited_copies_meet_and_others_do_not(table):
     assert got[9001].n_corners == 0 and got[9001].component_id == 9001
 
 
-def test_long_runs_keep_the_links(spark, table, monkeypatch):
-    images, _ = table
-    classes = media._described(images, media.decode).where("n > 0").dropDuplicates(["cls"])
-    wide = {(r.a, r.b) for r in media.links(classes).collect()}
-    monkeypatch.setattr(media, "RUN", 4)  # long runs from five classes on
-    short = {(r.a, r.b) for r in media.links(classes).collect()}
-    assert len(wide & short) >= 0.9 * len(wide)
-
-
-def test_links_against_comparing_all_descriptors(table):
+def described(images):
+    return media._described(images, media.decode).where("n > 0").dropDuplicates(["cls"]).cache()
+
+
+def parts(classes):
+    """The components of the classes, as sets."""
+    of = {r.id: r.comp for r in media.linked_components(classes).collect()}
+    by = {}
+    for r in classes.select("cls").collect():
+        by.setdefault(of.get(r.cls, r.cls), set()).add(r.cls)
+    return sorted(map(sorted, by.values()))
+
+
+def test_long_runs_lose_no_component(table, monkeypatch):
+    classes = described(table[0])
+    monkeypatch.setattr(media, "RUN", 10**6)
+    whole = parts(classes)
+    for run, pivots, node in ((4, 3, 4096), (1, 1, 3)):  # long runs from two corners on, tiles of three
+        monkeypatch.setattr(media, "RUN", run)
+        monkeypatch.setattr(media, "PIVOTS", pivots)
+        monkeypatch.setattr(media, "NODE", node)
+        assert parts(classes) == whole
+
+
+def test_a_large_group_of_noisy_copies_and_crops(spark, monkeypatch):
+    noise, base = np.random.default_rng(4), scene(77)
+    rows = [np.clip(base + noise.normal(0, 6, base.shape), 0, 255).astype(np.uint8) for _ in range(80)]
+    for _ in range(30):
+        y, x = noise.integers(0, 40), noise.integers(0, 60)
+        rows.append(np.ascontiguousarray(base[y : y + 100, x : x + 120]))
+    # a mark that many pictures of their own share, too small to link them
+    mark = scene(5, 24, 24)
+    for k in range(40):
+        own = scene(500 + k)
+        own[60:84, 80:104] = mark
+        rows.append(own)
+    classes = described(spark.createDataFrame([(k, pgm(a)) for k, a in enumerate(rows)], "image_id long, media binary").repartition(4))
+    found = {run: None for run in (10**6, 24)}
+    for run in found:
+        monkeypatch.setattr(media, "RUN", run)
+        found[run] = parts(classes)
+    assert found[24] == found[10**6] and max(map(len, found[24])) >= 100
+
+
+def test_links_against_comparing_all_descriptors(table, monkeypatch):
     """Every descriptor of an image with every one of another, by Hamming distance, and the same vote."""
-    images, _ = table
-    classes = media._described(images, media.decode).where("n > 0").dropDuplicates(["cls"]).cache()
-    found = {(r.a, r.b) for r in media.links(classes).collect()}
+    monkeypatch.setattr(media, "RUN", 10**6)
+    classes = described(table[0])
+    found = {(r.a, r.b) for r in media.voted(media.matches(classes).where("b is not null"), classes.select("cls", "n")).collect()}
     rows = {r.cls: (np.array(r.places), np.array(r.words, np.int32).view(np.uint32).reshape(-1, 4)) for r in classes.collect()}
 
     def split(p):
-        return (p >> 24 & 0xFFFF).astype(float), (p >> 8 & 0xFFFF).astype(float), p >> 3 & 31, p & 7
+        return (p >> media.Y_AT).astype(float), (p >> media.X_AT & media.SIDE).astype(float), p >> 3 & 31, p & 7
 
-    wanted = set()
+    wanted, exact = set(), set()
     for a in rows:
         for b in rows:
             if a >= b:
@@ -94,10 +129,48 @@ def test_links_against_comparing_all_descriptors(table):
             best = 0
             for k in range(len(i)):
                 near = (scale == scale[k]) & (np.abs((turn - turn[k] + 16) % 32 - 16) <= 0) & (np.abs(mx - mx[k]) < media.BIN / 2) & (np.abs(my - my[k]) < media.BIN / 2)
-                best = max(best, len(set(i[near].tolist())))
-            if best >= max(media.MIN_VOTES, media.MIN_SHARE * min(len(rows[a][0]), len(rows[b][0]))):
+                best = max(best, min(len(set(i[near].tolist())), len(set(j[near].tolist()))))
+            least = max(media.MIN_VOTES, media.MIN_SHARE * min(len(rows[a][0]), len(rows[b][0])))
+            if best >= least:
                 wanted.add((a, b))
+            keys = [media.keys_of(rows[c][1]) for c in (a, b)]
+            i, j = media.full_matches(*keys)
+            assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(x, y) for t in range(4) for x, y in zip(*np.nonzero((keys[0][:, None, t] >> media.CHECK == keys[1][None, :, t] >> media.CHECK) & media.alike(keys[0][:, None, t], keys[1][None, :, t])), strict=True)}
+            if media.consensus(np.zeros(len(i), np.int64), rows[a][0][i], rows[b][0][j], 1)[0] >= least:
+                exact.add((a, b))
     assert len(wanted) > 20 and len(wanted & found) >= 0.9 * len(wanted)
+    assert found == exact
+
+
+def test_votes_against_counting(monkeypatch):
+    rng = np.random.default_rng(6)
+    place = lambda n: rng.integers(0, 40, n) << media.Y_AT | rng.integers(0, 40, n) << media.X_AT | rng.integers(0, 3, n) << 3 | rng.integers(0, 2, n)
+    p, q, pair = place(400), place(400), np.sort(rng.integers(0, 5, 400))
+    got = media.consensus(pair, p, q, 6)
+    for k in range(6):
+        own = np.flatnonzero(pair == k)
+        best = 0
+        for i, j, l in np.ndindex(2, 2, 2):
+            bins = {}
+            for x in own:
+                (yp, xp, tp, op), (yq, xq, tq, oq) = ((int(c >> 36), int(c >> 8 & media.SIDE), int(c >> 3 & 31), int(c & 7)) for c in (p[x], q[x]))
+                turn, size = (tq - tp) % 32, 2.0 ** (oq - op)
+                angle = turn * (2 * np.pi / 32)
+                move = xq - size * (np.cos(angle) * xp - np.sin(angle) * yp), yq - size * (np.sin(angle) * xp + np.cos(angle) * yp)
+                spot = ((turn + i) // 2 % 16, np.floor(move[0] / 12 + j / 2), np.floor(move[1] / 12 + l / 2), oq - op)
+                bins.setdefault(spot, []).append((p[x], q[x]))
+            best = max([best, *(min(len({c[0] for c in b}), len({c[1] for c in b})) for b in bins.values())])
+        assert got[k] == best
+
+
+def test_awkward_images(spark):
+    a, b = pgm(scene(1)), pgm(scene(2))
+    tall = np.tile(scene(3, 200, 24), (400, 1))  # 80,000 rows
+    rows = [(None, a, 1), (3, a, 2), (3, a, 2), (3, b, 3), (None, None, 4), (7, pgm(tall), 5), (8, pgm(tall[100:]), 6)]
+    got = media.copies(spark.createDataFrame(rows, "image_id long, media binary, cls long"))
+    assert got.columns == ["image_id", "n_corners", "class_id", "component_id"]
+    found = sorted((str(r.image_id), str(r.component_id), r.n_corners > 0) for r in got.collect())
+    assert found == [("3", "3", True)] * 3 + [("7", "7", True), ("8", "7", True), ("None", "3", True), ("None", "None", False)]
 
 
 def test_nothing(spark):
@@ -112,4 +185,4 @@ def test_small_and_blank_images_meet_their_copies(spark):
     rows = [(1, pgm(small)), (2, png(small)), (3, pgm(edited)), (4, pgm(flat)), (5, png(flat)), (6, pgm(flat[:20])), (7, b"junk"), (8, b"junk"), (9, pgm(scene(6, 15, 200)))]
     got = {r.image_id: r for r in media.copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()}
     assert [got[k].component_id for k in range(1, 10)] == [1, 1, 1, 4, 4, 6, 7, 8, 9]
-    assert got[1].n_corners > 0 and got[3].n_links == 1 and got[4].n_corners == 0
+    assert got[1].n_corners > 0 and got[4].n_corners == 0
