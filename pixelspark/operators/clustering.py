@@ -1,14 +1,16 @@
 """Hits to clusters: neighbour joins, connected components, density clusters and the greedy bucket method.
 
 The neighbour join is an equi-join on (pulse, cell): each hit stands in its own cell and, on the other side, is copied to
-the cells around it; distance and time are checked afterwards. Cells are as wide as the radius needs. Clustering is
-independent per pulse (keys: file, ext_tdc), so grouped Arrow kernels stream pulse by pulse; a pulse is bounded by the
-detector, and grid and density clusters are also given as joins for pulses that are not.
+half of the cells around it, so that each pair of cells meets once; distance and time are checked afterwards. Cells are as wide as
+the radius needs. Clustering is independent per pulse (keys: file, ext_tdc): hits are dealt by pulse and sorted once, and
+kernels work on many whole pulses at a time. A pulse is bounded by the detector; grid and density clusters are also given as
+joins for pulses that are not.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,12 +30,14 @@ def neighbours(hits: DataFrame, radius: float, window: int, keys: tuple[str, ...
     at = hits.select(*keys, F.col(order).alias("o"), "x", "y", "tof")
     place = (F.floor(F.col("x") / cell), F.floor(F.col("y") / cell), F.floor(F.col("tof") / span))
     left = at.select(*keys, *(c.alias(n) for c, n in zip(place, ("cx", "cy", "ct"), strict=True)), F.struct("o", "x", "y", "tof").alias("p"))
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    right = at.withColumn("d", F.explode(around)).select(*keys, *((c + F.col(f"d.{d}")).alias(n) for c, d, n in zip(place, "ijk", ("cx", "cy", "ct"), strict=True)), F.struct("o", "x", "y", "tof").alias("q"))
-    pairs = left.join(right, [*keys, "cx", "cy", "ct"]).where("p.o < q.o")
+    half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in half))
+    own = (F.col("d.i") == 0) & (F.col("d.j") == 0) & (F.col("d.k") == 0)
+    right = at.withColumn("d", F.explode(around)).select(*keys, *((c + F.col(f"d.{d}")).alias(n) for c, d, n in zip(place, "ijk", ("cx", "cy", "ct"), strict=True)), F.struct("o", "x", "y", "tof", own.alias("own")).alias("q"))
+    pairs = left.join(right, [*keys, "cx", "cy", "ct"]).where(~F.col("q.own") | (F.col("p.o") < F.col("q.o")))
     dx, dy = F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")
     near = (dx * dx + dy * dy <= F.lit(radius * radius)) & (F.abs(F.col("p.tof") - F.col("q.tof")) <= window)
-    return pairs.where(near).select(*keys, F.col("p.o").alias("a"), F.col("q.o").alias("b"))
+    return pairs.where(near).select(*keys, F.least("p.o", "q.o").alias("a"), F.greatest("p.o", "q.o").alias("b"))
 
 
 def core_hits(hits: DataFrame, radius: float, window: int, min_points: int, keys: tuple[str, ...] = PULSE, order: str = "hit_id") -> DataFrame:
@@ -45,88 +49,101 @@ def core_hits(hits: DataFrame, radius: float, window: int, min_points: int, keys
     return hits.select(*keys, order).join(degree, [*keys, order], "left").select(*keys, order, n.alias("degree"), (n >= min_points).alias("is_core"))
 
 
-class Forest:
-    """Union-find with path halving; the smaller index stays the root."""
+PAIRS = 1 << 21  # candidate pairs looked at at once
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def find(self, k: int) -> int:
-        up = self.up
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def near_pairs(x: np.ndarray, y: np.ndarray, tof: np.ndarray, radius: float, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of hits sorted by time, forward in time, within radius and window."""
-    last = np.searchsorted(tof, tof + window, "right")
-    a, b = [], []
-    for step in range(1, int((last - np.arange(len(tof))).max(initial=1))):
-        i = np.flatnonzero(np.arange(len(tof)) + step < last)
-        if not len(i):
+def near_pairs(group: np.ndarray, x: np.ndarray, y: np.ndarray, tof: np.ndarray, radius: float, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) of hits of one group within radius and window, both inclusive."""
+    cell = max(1, math.ceil(radius))
+    code = group.astype(np.int64) << 34 | x // cell + 1 << 17 | y // cell + 1
+    cells, own = np.unique(code, return_inverse=True)
+    order = np.lexsort((tof, own))
+    key = own[order] << 32 | tof[order]
+    found = [(np.empty(0, np.int64),) * 2]
+    for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+        to = code[order] + (dx << 17) + dy
+        at = np.minimum(np.searchsorted(cells, to), len(cells) - 1)
+        there = cells[at] == to
+        start = at << 32
+        low = np.searchsorted(key, start | np.maximum(tof[order] - window, 0)) if dx or dy else np.arange(1, len(key) + 1)
+        high = np.where(there, np.searchsorted(key, start | np.minimum(tof[order] + window, U32), "right"), low)
+        count = np.maximum(high - low, 0)
+        first, total = 0, np.cumsum(count)
+        while first < len(count):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS, "right")))
+            n = count[first:last]
+            i = np.repeat(np.arange(first, last), n)
+            j = np.repeat(low[first:last], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = order[i], order[j]
+            good = (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= radius * radius
+            found.append((np.minimum(i[good], j[good]), np.maximum(i[good], j[good])))
+            first = last
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index in each index's component of the graph with edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)  # hook the roots, then shorten the paths
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(short := label[label], label):
+            label = short
+        if np.array_equal(label, before):
             break
-        j = i + step
-        good = (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= radius * radius
-        a.append(i[good])
-        b.append(j[good])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
 
 
-def _dense(labels: np.ndarray, min_size: int, max_size: int | None) -> np.ndarray:
-    """Labels 0, 1, ... by first appearance; negative ones and clusters of the wrong size become -1."""
-    out = np.full(len(labels), -1, np.int32)
+def _dense(group: np.ndarray, labels: np.ndarray, min_size: int, max_size: int | None) -> np.ndarray:
+    """Labels 0, 1, ... by first appearance in each group; negative ones and clusters of the wrong size become -1."""
     found, first, inverse, count = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
     good = (found >= 0) & (count >= min_size) & ((count <= max_size) if max_size is not None else True)
     number = np.full(len(found), -1, np.int32)
-    number[np.flatnonzero(good)[np.argsort(first[good])]] = np.arange(good.sum())
-    out[:] = number[inverse]
-    return out
+    kept = np.flatnonzero(good)[np.argsort(first[good])]
+    of = group[first[kept]]
+    begins = np.flatnonzero(np.append(True, of[1:] != of[:-1]))[: len(of)]
+    number[kept] = np.arange(len(kept)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
+    return number[inverse]
 
 
-def grid_labels(x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndarray:
+def grid_labels(group, x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndarray:
     """Connected components of the neighbour graph; a hit alone is a cluster."""
-    a, b = near_pairs(x, y, tof, c.radius, c.window_ticks)
+    a, b = near_pairs(group, x, y, tof, c.radius, c.window_ticks)
     cell = p.grid_cell_size
     if c.radius > cell:  # pairs beyond the next cell are not seen
         close = (np.abs(x[a] // cell - x[b] // cell) <= 1) & (np.abs(y[a] // cell - y[b] // cell) <= 1)
         a, b = a[close], b[close]
-    forest = Forest(len(x))
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        forest.join(i, j)
-    return np.array([forest.find(k) for k in range(len(x))], np.int64)
-
-
-def dbscan_labels(x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndarray:
-    """Density clusters; a border hit goes to the cluster that reaches it first, visiting in index order."""
-    a, b = near_pairs(x, y, tof, c.radius, c.window_ticks)
-    around: list[list[int]] = [[] for _ in range(len(x))]
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        around[i].append(j)
-        around[j].append(i)
-    labels = np.full(len(x), -1, np.int64)
-    number = 0
-    for k in range(len(x)):
-        if labels[k] >= 0 or len(around[k]) < p.dbscan_min_points:
-            continue
-        labels[k], queue = number, [k]
-        while queue:
-            for j in around[queue.pop()]:
-                if labels[j] < 0:
-                    labels[j] = number
-                    if len(around[j]) >= p.dbscan_min_points:
-                        queue.append(j)
-        number += 1
-    return labels
+    return joined(len(x), a, b)
+
+
+def dbscan_labels(group, x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndarray:
+    """Density clusters: components of core hits. A border hit goes to the cluster whose first core hit comes first."""
+    a, b = near_pairs(group, x, y, tof, c.radius, c.window_ticks)
+    n = len(x)
+    core = np.bincount(a, minlength=n) + np.bincount(b, minlength=n) >= p.dbscan_min_points
+    inner = core[a] & core[b]
+    label = joined(n, a[inner], b[inner])
+    border = np.full(n, n)
+    for one, two in ((a, b), (b, a)):
+        at = core[one] & ~core[two]
+        np.minimum.at(border, two[at], label[one[at]])
+    return np.where(core, label, np.where(border < n, border, -1))
+
+
+def abs_labels(group, x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndarray:
+    """One group after another, see bucket_labels."""
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[: len(group)]
+    out = np.empty(len(x), np.int64)
+    for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)], strict=True):
+        out[at:end] = bucket_labels(x[at:end], y[at:end], tof[at:end], c, p) + at  # labels stay apart
+    return out
 
 
-def abs_labels(x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndarray:
+def bucket_labels(x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndarray:
     """Greedy buckets: a hit joins the first open bucket in the 3 x 3 cells around it whose box, grown by the radius, holds it
     and that began no longer than the window ago. The box grows with its hits, its start does not move. Every
     scan interval buckets that are too old leave their cell, the cell's last one taking their place."""
@@ -175,21 +192,51 @@ def abs_labels(x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndarray
 KERNELS = {"abs": abs_labels, "dbscan": dbscan_labels, "grid": grid_labels}
 
 
+BATCH = 1 << 16  # hits that a kernel gets at once, and as many more as make the last pulse whole
+
+
 def cluster_hits(hits: DataFrame, config: ClusteringConfig | None = None, name: str = "abs", params: AlgorithmParams | None = None, keys: tuple[str, ...] = PULSE) -> DataFrame:
     """hits with cluster_id set, each pulse (or other key) on its own. Order: tof, chip_id, packet_idx."""
     c, p, kernel = config or ClusteringConfig(), params or AlgorithmParams(), KERNELS[algorithm(name)]
+    if "cluster_id" not in hits.columns:
+        hits = hits.withColumn("cluster_id", F.lit(-1))
+    columns = hits.columns
 
-    def run(table):
+    def labelled(table):
         import pyarrow as pa
 
-        table = table.sort_by([("tof", "ascending"), ("chip_id", "ascending"), ("packet_idx", "ascending")])
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            v = table[k].to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        group = np.cumsum(new)
         x, y, tof = (table[n].to_numpy().astype(np.int64) for n in ("x", "y", "tof"))
-        labels = _dense(kernel(x, y, tof, c, p), c.min_cluster_size, c.max_cluster_size)
-        return table.set_column(table.schema.get_field_index("cluster_id"), "cluster_id", pa.array(labels, pa.int32()))
+        labels = _dense(group, kernel(group, x, y, tof, c, p), c.min_cluster_size, c.max_cluster_size)
+        yield from table.set_column(columns.index("cluster_id"), "cluster_id", pa.array(labels, pa.int32())).to_batches(BATCH)
 
-    if "cluster_id" not in hits.columns:
-        hits = hits.withColumn("cluster_id", F.lit(-1))
-    return hits.groupBy(*keys).applyInArrow(run, hits.schema)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: list = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < BATCH:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = [table[k][-1].as_py() for k in keys]
+            whole = table.num_rows  # up to where the last pulse, which may go on, begins
+            same = np.ones(whole, bool)
+            for k, v in zip(keys, last, strict=True):
+                same &= table[k].to_numpy(zero_copy_only=False) == v
+            whole -= int(np.argmin(same[::-1])) if not same.all() else whole
+            if whole:
+                yield from labelled(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+        if sum(b.num_rows for b in held):
+            yield from labelled(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = hits.repartition(*keys).sortWithinPartitions(*keys, "tof", "chip_id", "packet_idx")
+    return dealt.mapInArrow(run, hits.schema)
 
 
 def components_sql(hits: DataFrame, radius: float, window: int, keys: tuple[str, ...] = PULSE, order: str = "hit_id", rounds: int = 200) -> DataFrame:

@@ -24,11 +24,11 @@ def neutron_cube(neutrons: DataFrame, tof_max: int, n_bins: int, width: int, hei
 
 
 def merged(*cubes: DataFrame) -> DataFrame:
-    """Additive merge; counts of 0 are left out."""
+    """Additive merge; counts of 0 are left out, and a sum stops at the largest 64-bit number."""
     out = cubes[0]
     for c in cubes[1:]:
         out = out.unionByName(c)
-    return out.where("count <> 0").groupBy("tof_bin", "y", "x").agg(F.sum("count").alias("count"))
+    return out.where("count <> 0").groupBy("tof_bin", "y", "x").agg(F.coalesce(F.try_sum("count"), F.lit((1 << 63) - 1)).alias("count"))
 
 
 def projection(cube: DataFrame) -> DataFrame:

@@ -61,11 +61,24 @@ def file_info(hits: DataFrame) -> DataFrame:
     return hits.groupBy("file").agg(F.count("*").alias("n_hits"), *(f(c).cast("long").alias(f"{name}_{c}") for c in ("tof", "x", "y") for name, f in (("min", F.min), ("max", F.max))))
 
 
-def session_statistics(n_hits: int, n_neutrons: int, load_s: float, cluster_s: float, tof_min: int, tof_max: int) -> dict:
-    """Speeds, the mean cluster size (noise hits included) and the time range in ms."""
+def session_statistics(n_hits: int, n_neutrons: int, load_s: float | None = None, cluster_s: float | None = None, tof_max: int = 0) -> dict:
+    """Hits loaded and neutrons found per second (None: not timed, 0: no time), the mean cluster size (noise hits included) and
+    the end of the time range in ms."""
+
+    def speed(n: int, seconds: float | None) -> float | None:
+        return None if seconds is None else n / seconds if seconds > 0 else 0.0
+
     return {
-        "load_speed": n_hits / load_s if load_s > 0 else None,
-        "cluster_speed": n_hits / cluster_s if cluster_s > 0 else None,
+        "load_speed": speed(n_hits, load_s),
+        "cluster_speed": speed(n_neutrons, cluster_s),
         "avg_cluster_size": n_hits / n_neutrons if n_neutrons else 0.0,
-        "tof_range_ms": (tof_min * 25 / 1e6, tof_max * 25 / 1e6),
+        "tof_range_ms": tof_max * 25.0e-6 if tof_max > 0 else 0.0,
     }
+
+
+def clustering_statistics(hits: DataFrame) -> DataFrame:
+    """One row over clustered hits: hits_processed, clusters_found, noise_hits, largest_cluster_size, mean_cluster_size."""
+    sizes = hits.groupBy(*PULSE, "cluster_id").agg(F.count("*").alias("n"))  # noise: one row per pulse
+    own = F.when(F.col("cluster_id") >= 0, F.col("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return sizes.agg(total(F.col("n")).alias("hits_processed"), F.count(own).alias("clusters_found"), total(F.when(F.col("cluster_id") < 0, F.col("n"))).alias("noise_hits"), F.coalesce(F.max(own), F.lit(0)).alias("largest_cluster_size"), F.coalesce(F.avg(own), F.lit(0.0)).alias("mean_cluster_size"))

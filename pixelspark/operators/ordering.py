@@ -1,52 +1,151 @@
 """From packet words to time-ordered hits.
 
-packets(file, packet_idx, raw) -> typed packets with their chip -> pulses(file, chip_id, ...) -> hits(file, ext_tdc, ...).
+packets(file, packet_idx, raw) -> blocks -> hits(file, ext_tdc, ...).
 
-State runs along a file: a packet's chip is that of the last header, a hit's pulse that of the chip's last time marker. A
-window over a whole file would be one task, so files are cut into blocks of BLOCK packets: what holds at the start
-of a block comes from a small table with a row per block (and chip), and only the rest is a window, within its block.
+State runs along a file: a packet's chip is that of the last header, a hit's pulse that of the chip's last time marker. Files
+are cut into blocks of consecutive words. A first pass sums each block up in a row, a prefix over a file's rows gives
+the state at every block's start, and a second pass resolves the blocks on their own (see words). A table of packets is dealt
+by (file, block) once for both passes; of files on disk (tpx3) each pass reads byte ranges in place, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelspark.config import DetectorConfig
 from pixelspark.functions import bits
+from pixelspark.operators import words
+from pixelspark.sources import tpx3
 
-BLOCK = 1 << 16
+BLOCK = 1 << 20
 
 
-def typed(packets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds block and kind: header, tdc, hit or null. A header is looked for first."""
-    raw = F.col("raw")
-    kind = F.when(bits.is_header(raw), "header").when(bits.is_tdc(raw), "tdc").when(bits.is_hit(raw), "hit")
-    return packets.withColumn("block", F.floor(F.col("packet_idx") / block)).withColumn("kind", kind)
+def _schema(spark: SparkSession, ddl: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def _dealt(packets: DataFrame, block: int) -> DataFrame:
+    return packets.select("file", F.floor(F.col("packet_idx") / block).alias("block"), "packet_idx", "raw")
+
+
+def summaries(packets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """words.SUMMARY: a row per block of a table of packets."""
+    schema = _schema(packets.sparkSession, words.SUMMARY)
+
+    def run(key, table):
+        import pyarrow as pa
+
+        table = table.sort_by("packet_idx")
+        return pa.Table.from_pylist([words.summary(key[0].as_py(), key[1].as_py(), table["raw"].to_numpy(), table["packet_idx"].to_numpy())], schema)
+
+    return _dealt(packets, block).groupBy("file", "block").applyInArrow(run, words.SUMMARY)
+
+
+def summaries_of_files(spark: SparkSession, path: str, split_mb: float = 64, strict: bool = True) -> DataFrame:
+    """words.SUMMARY: a row per block of the files at a path, read in place."""
+    schema = _schema(spark, words.SUMMARY)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                for at, raw in tpx3.words_of(r["file"], r["first"], r["count"], BLOCK):
+                    row = words.summary(r["file"], at // BLOCK, raw, np.arange(at, at + len(raw)))
+                    yield pa.RecordBatch.from_pylist([row], schema)
+
+    return tpx3.read_ranges(spark, path, split_mb, strict, BLOCK).mapInArrow(run, words.SUMMARY)
+
+
+def _by_file(found: DataFrame, fold: Callable[[list[dict]], list[dict]], ddl: str) -> DataFrame:
+    """fold over the summaries of each file: a row per block, a thousand for 8 GB."""
+    schema = _schema(found.sparkSession, ddl)
+
+    def run(table):
+        import pyarrow as pa
+
+        rows = table.to_pylist()
+        return pa.Table.from_pylist([{"file": rows[0]["file"]} | r for r in fold(rows)], schema)
+
+    return found.groupBy("file").applyInArrow(run, ddl)
+
+
+def states(found: DataFrame) -> DataFrame:
+    """words.STATE: what holds at the start of each block."""
+    return _by_file(found, words.prefix, words.STATE)
+
+
+Kernel = Callable[[words.Block, words.State], dict]
+
+
+def _table(schema, file: str, found: dict):
+    import pyarrow as pa
+
+    n = len(next(iter(found.values()))) if found else 0
+    return pa.table([pa.repeat(pa.scalar(file, pa.string()), n) if f.name == "file" else pa.array(found[f.name] if n else [], f.type) for f in schema], schema=schema)
+
+
+def resolved(packets: DataFrame, kernel: Kernel, ddl: str, block: int = BLOCK) -> DataFrame:
+    """kernel(block of words, state at its start) -> columns, over all blocks of a table of packets."""
+    schema = _schema(packets.sparkSession, ddl)
+
+    def run(key, own, state):
+        file = key[0].as_py()
+        own = own.sort_by("packet_idx")
+        held = words.State.load(state["state"][0].as_py())
+        return _table(schema, file, kernel(words.Block(own["raw"].to_numpy(), own["packet_idx"].to_numpy(), held.chip, held.section), held))
 
+    keys = ("file", "block")
+    return _dealt(packets, block).groupBy(*keys).cogroup(states(summaries(packets, block)).groupBy(*keys)).applyInArrow(run, ddl)
 
-def _carried(df: DataFrame, keys: list[str], value: str, every: DataFrame) -> DataFrame:
-    """What `value` (null where nothing is set) holds at the start of each block, for all (keys, block) of `every`."""
-    last = df.where(F.col(value).isNotNull()).groupBy(*keys, "block").agg(F.max_by(value, "packet_idx").alias("_last"))
-    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    table = every.join(last, [*keys, "block"], "left")
-    return table.select(*keys, "block", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
 
+def resolved_files(spark: SparkSession, path: str, kernel: Kernel, ddl: str, split_mb: float = 64, strict: bool = True) -> DataFrame:
+    """The same over files at a path. Only states are dealt, a row per block; words are read where they are."""
+    schema = _schema(spark, ddl)
+    found = states(summaries_of_files(spark, path, split_mb, strict))
+    per_task = max(1, tpx3.split_words(split_mb) // BLOCK)
+    tasks = max(1, sum(-(-size // (8 * BLOCK * per_task)) for _, size, _ in tpx3.listed(path)))
 
-def _running(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Adds `out`: the last non-null `value` up to each packet, by file order within the keys."""
-    every = df.select(*keys, "block").distinct()
-    within = Window.partitionBy(*keys, "block").orderBy("packet_idx").rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(_carried(df, keys, value, every), [*keys, "block"])
-    return joined.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(within), "_carry")).drop("_carry")
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = words.State.load(r["state"])
+                for at, raw in tpx3.words_of(r["file"], r["first"], r["count"], BLOCK):
+                    out = _table(schema, r["file"], kernel(words.Block(raw, np.arange(at, at + len(raw)), held.chip, held.section), held))
+                    yield from out.to_batches(1 << 16)
+
+    return found.repartition(tasks, "file", F.floor(F.col("block") / per_task)).mapInArrow(run, ddl)
+
+
+# --- what blocks give ---------------------------------------------------------------------------------------------
+
+CHIPS = "file string, packet_idx long, raw long, chip_id int, section_at long"
+PULSES = "file string, chip_id int, packet_idx long, tdc long, pulse_seq long, prev_tdc long, epoch long, prev_epoch long"
+ASSIGNED = "file string, chip_id int, packet_idx long, raw long, ext_tdc long, timestamp long, tof long, late boolean"
+JUMPS = "file string, packet_idx long, chip_id int, kind string, previous long, timestamp long, tdcs array<array<long>>, hits array<array<long>>"
+
+
+def typed(packets: DataFrame) -> DataFrame:
+    """Adds kind: header, tdc, hit or null. A header is looked for first."""
+    raw = F.col("raw")
+    return packets.withColumn("kind", F.when(bits.is_header(raw), "header").when(bits.is_tdc(raw), "tdc").when(bits.is_hit(raw), "hit"))
 
 
 def with_chip(packets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Packets after their file's first header, with chip_id and section_at (the header's packet_idx)."""
-    df = typed(packets, block)
-    here = F.when(F.col("kind") == "header", F.struct(F.col("packet_idx").alias("at"), bits.header_chip(F.col("raw")).cast("int").alias("chip")))
-    df = _running(df.withColumn("_header", here), ["file"], "_header", "_section").drop("_header")
-    return df.where("_section is not null").withColumn("chip_id", F.col("_section.chip")).withColumn("section_at", F.col("_section.at")).drop("_section")
+    """Packets after their file's first header, with kind, chip_id and section_at (the header's packet_idx)."""
+
+    def kernel(b: words.Block, state: words.State) -> dict:
+        known = b.chip != words.NO_CHIP
+        return {"packet_idx": b.idx[known], "raw": b.raw[known], "chip_id": b.chip[known], "section_at": b.section[known]}
+
+    return typed(resolved(packets, kernel, CHIPS, block))
 
 
 def sections(packets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -63,35 +162,24 @@ def sections(packets: DataFrame, block: int = BLOCK) -> DataFrame:
     return per.withColumn("initial_tdc", before).select("file", number.cast("int").alias("section_no"), "chip_id", (F.col("section_at") * 8 + 8).alias("start_offset"), (F.col("last") * 8 + 8).alias("end_offset"), "initial_tdc", F.coalesce("own", "initial_tdc").alias("final_tdc"))
 
 
-def pulses(chips: DataFrame) -> DataFrame:
+def pulses(packets: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per time marker: its number, epoch (turns of the 30-bit counter) and predecessor, per file and chip."""
-    order = Window.partitionBy("file", "chip_id").orderBy("packet_idx")
-    df = chips.where("kind = 'tdc'").select("file", "chip_id", "block", "packet_idx", bits.tdc_timestamp(F.col("raw")).alias("tdc"))
-    df = df.withColumn("pulse_seq", F.row_number().over(order).cast("long")).withColumn("prev_tdc", F.lag("tdc").over(order))
-    turned = F.when(F.col("tdc") < F.col("prev_tdc"), 1).otherwise(0)
-    df = df.withColumn("epoch", F.sum(turned).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.withColumn("prev_epoch", F.lag("epoch").over(order)).withColumn("ext_tdc", bits.extended_tdc(F.col("epoch"), F.col("tdc")))
+    found = resolved(packets, words.markers, PULSES, block)
+    first = F.col("prev_tdc") < 0
+    own = lambda c: F.when(~first, F.col(c)).alias(c)
+    return found.select("file", "chip_id", "packet_idx", "tdc", "pulse_seq", own("prev_tdc"), "epoch", own("prev_epoch"), bits.extended_tdc(F.col("epoch"), F.col("tdc")).alias("ext_tdc"))
+
 
+def _hits(period: int, late_hits: bool) -> Kernel:
+    return lambda b, state: words.hits(b, state, period, late_hits)
 
-def assign_pulses(chips: DataFrame, marks: DataFrame, period: int, late_hits: bool = True) -> DataFrame:
+
+def assign_pulses(packets: DataFrame, period: int, late_hits: bool = True, block: int = BLOCK) -> DataFrame:
     """Each hit with its pulse: ext_tdc, timestamp, tof, late. Hits before a chip's first marker are dropped.
 
     A hit that lies before the current marker belongs to the chip's previous pulse, if there is one.
     """
-    own = ("pulse_seq", "tdc", "epoch", "prev_tdc", "prev_epoch")
-    mark = marks.select("file", "chip_id", "block", "packet_idx", F.struct(*own).alias("_mark"), F.lit(None).cast("long").alias("raw"))
-    hits = chips.where("kind = 'hit'").select("file", "chip_id", "block", "packet_idx", "raw")
-    both = hits.withColumn("_mark", F.lit(None).cast(mark.schema["_mark"].dataType)).unionByName(mark)
-    df = _running(both, ["file", "chip_id"], "_mark", "_pulse").where("raw is not null and _pulse is not null")
-    df = df.select("file", "chip_id", "block", "packet_idx", "raw", "_pulse.*")
-    ts = bits.coarse_timestamp(F.col("raw"))
-    df = df.withColumn("_now", bits.rollover_corrected(ts, F.col("tdc"))).withColumn("_before", bits.rollover_corrected(ts, F.col("prev_tdc")))
-    late = F.col("prev_tdc").isNotNull() & (F.col("_now") < F.col("tdc")) if late_hits else F.lit(False)
-    df = df.withColumn("late", late)
-    pick = lambda a, b: F.when(F.col("late"), a).otherwise(b)
-    df = df.withColumn("timestamp", pick(F.col("_before"), F.col("_now"))).withColumn("_tdc", pick(F.col("prev_tdc"), F.col("tdc"))).withColumn("_epoch", pick(F.col("prev_epoch"), F.col("epoch")))
-    df = df.withColumn("ext_tdc", bits.extended_tdc(F.col("_epoch"), F.col("_tdc"))).withColumn("tof", bits.time_of_flight(F.col("timestamp"), F.col("_tdc"), period))
-    return df.drop("_now", "_before", "_tdc", "_epoch", "tdc", "epoch", "prev_tdc", "prev_epoch")
+    return resolved(packets, _hits(period, late_hits), ASSIGNED, block)
 
 
 def with_pixels(hits: DataFrame, detector: DetectorConfig) -> DataFrame:
@@ -106,8 +194,14 @@ HIT_COLUMNS = ("file", "ext_tdc", "packet_idx", "x", "y", "tof", "tot", "timesta
 def read_hits(packets: DataFrame, detector: DetectorConfig | None = None, late_hits: bool = True, block: int = BLOCK) -> DataFrame:
     """The hits of all files; cluster_id is -1. Pulses of different chips meet where their extended markers are equal."""
     detector = detector or DetectorConfig()
-    chips = with_chip(packets, block)
-    hits = with_pixels(assign_pulses(chips, pulses(chips), detector.period_ticks, late_hits), detector)
+    hits = with_pixels(assign_pulses(packets, detector.period_ticks, late_hits, block), detector)
+    return hits.withColumn("cluster_id", F.lit(-1)).select(*HIT_COLUMNS)
+
+
+def read_files(spark: SparkSession, path: str, detector: DetectorConfig | None = None, late_hits: bool = True, split_mb: float = 64, strict: bool = True) -> DataFrame:
+    """read_hits over files at a path."""
+    detector = detector or DetectorConfig()
+    hits = with_pixels(resolved_files(spark, path, _hits(detector.period_ticks, late_hits), ASSIGNED, split_mb, strict), detector)
     return hits.withColumn("cluster_id", F.lit(-1)).select(*HIT_COLUMNS)
 
 
@@ -126,7 +220,6 @@ def slices(hits: DataFrame, max_hits: int, overlap: int) -> DataFrame:
     Adds slice_no, emit_cutoff_tof and emits (tof <= cutoff). Hits of equal time stay together: a cut falls after the
     last hit of the time that the max_hits-th hit has. One streaming pass over each pulse.
     """
-    import numpy as np
     import pyarrow as pa
 
     def cut(table: pa.Table) -> pa.Table:
@@ -148,24 +241,51 @@ def slices(hits: DataFrame, max_hits: int, overlap: int) -> DataFrame:
     return hits.groupBy("file", "ext_tdc").applyInArrow(cut, schema)
 
 
-def disorder(chips: DataFrame) -> DataFrame:
-    """Per file and chip: markers, hits, backward steps of hit times and their rate, and hits per marker."""
-    order = Window.partitionBy("file", "chip_id").orderBy("packet_idx")
-    df = chips.where("kind in ('tdc', 'hit')").withColumn("ts", F.when(F.col("kind") == "hit", bits.coarse_timestamp(F.col("raw"))))
-    hits = df.where("kind = 'hit'").withColumn("back", (F.col("ts") < F.lag("ts").over(order)).cast("int"))
-    per = hits.groupBy("file", "chip_id").agg(F.count("*").alias("n_hits"), F.coalesce(F.sum("back"), F.lit(0)).alias("n_back"))
-    marks = df.where("kind = 'tdc'").groupBy("file", "chip_id").agg(F.count("*").alias("n_tdc"))
-    out = marks.join(per, ["file", "chip_id"], "full")
-    n = F.coalesce("n_hits", F.lit(0))
-    return out.select("file", "chip_id", F.coalesce("n_tdc", F.lit(0)).alias("n_tdc"), n.alias("n_hits"), F.coalesce("n_back", F.lit(0)).alias("n_back"), F.when(n > 1, F.col("n_back") / (n - 1)).otherwise(0.0).alias("disorder_rate"))
+def gap_slices(hits: DataFrame, window: int, max_hits: int, keys: tuple[str, ...] = ("file", "ext_tdc")) -> DataFrame:
+    """Adds slice_no: pulses cut where nothing was hit for more than `window` ticks, into slices of about max_hits hits.
+
+    Hits that lie closer are never parted, so a cluster is never cut; a slice is longer than max_hits by its last
+    stretch without a gap at most. Running windows only, which Spark streams over sorted, spillable rows.
+    """
+    order = Window.partitionBy(*keys).orderBy("tof", "chip_id", "packet_idx")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = hits.withColumn("_n", F.row_number().over(order)).withColumn("_gap", F.coalesce(F.col("tof") - F.lag("tof").over(order) > window, F.lit(True)))
+    begun = F.last(F.when(F.col("_gap"), F.col("_n")), ignorenulls=True).over(so_far)
+    return numbered.withColumn("slice_no", F.floor((begun - 1) / max_hits).cast("int")).drop("_n", "_gap")
+
+
+TOTALS = f"file string, {words.PART}"
+
 
+def disorder(found: DataFrame) -> DataFrame:
+    """From summaries, per file and chip: markers and hits, their steps back in time, percent of hits that step back, the
+    least, mean and most hits from one marker to the next, and the first five markers with the steps between them.
+
+    Words before a file's first header count for chip 0.
+    """
+    n = F.col("n_hits")
+    rate = 100.0 * F.col("back") / F.greatest(n, F.lit(1))
+    # hits between the first and the last marker
+    mean = F.when(F.col("n_gaps") > 0, (n - F.col("hits_before") - F.col("hits_after")) / F.col("n_gaps"))
+    steps = F.transform(F.slice("first_tdcs", 2, words.FIRST - 1), lambda t, k: t - F.get("first_tdcs", k))
+    five, more = F.size("first_tdcs") >= words.FIRST, F.col("n_tdc") > words.FIRST
+    totals = _by_file(found, words.totals, TOTALS)
+    return totals.select("file", F.col("chip").alias("chip_id"), "n_tdc", F.col("turns").alias("n_tdc_back"), "n_hits", F.col("back").alias("n_back"), rate.alias("disorder_percent"), F.col("gap_min").alias("min_hits"), mean.alias("mean_hits"), F.col("gap_max").alias("max_hits"), F.when(five, F.col("first_tdcs")).alias("first_tdcs"), F.when(five & more, steps).alias("tdc_steps"))
 
-def rollovers(chips: DataFrame, jump: int = 500_000_000) -> DataFrame:
-    """Hits whose time lies more than `jump` ticks before that of the file's previous hit."""
-    order = Window.partitionBy("file").orderBy("packet_idx")
-    hits = chips.where("kind = 'hit'").withColumn("timestamp", bits.coarse_timestamp(F.col("raw")))
-    hits = hits.withColumn("previous", F.lag("timestamp").over(order))
-    return hits.where(F.col("previous") - F.col("timestamp") > jump).select("file", "packet_idx", "chip_id", "previous", "timestamp")
+
+def rollovers(packets: DataFrame, jump: int = 500_000_000, block: int = BLOCK) -> DataFrame:
+    """Markers (kind tdc), and hits, whose time lies more than `jump` ticks before that of the file's previous one.
+
+    tdcs, hits: the last five markers and ten hits before it, as [packet_idx, chip, time]. Words before the first header have chip 0.
+    """
+
+    def kernel(b: words.Block, state: words.State) -> dict:
+        rows = words.jumps(b, state, jump)
+        return {k: [r[k] for r in rows] for k in rows[0]} if rows else {}
+
+    zero = lambda c: F.transform(c, lambda x: F.transform(x, lambda v: F.greatest(v, F.lit(0))))
+    found = resolved(packets, kernel, JUMPS, block)
+    return found.withColumn("chip_id", F.greatest("chip_id", F.lit(0))).withColumn("tdcs", zero("tdcs")).withColumn("hits", zero("hits"))
 
 
 def debug_sample(packets: DataFrame, period: int) -> DataFrame:
@@ -176,8 +296,3 @@ def debug_sample(packets: DataFrame, period: int) -> DataFrame:
     ts = bits.coarse_timestamp(F.col("raw"))
     fixed = bits.rollover_corrected(ts, F.col("final_tdc"))
     return hit.select("file", "packet_idx", "chip_id", F.col("final_tdc").alias("tdc"), ts.alias("raw_ts"), fixed.alias("ts"), (fixed - F.col("final_tdc")).alias("delta"), bits.time_of_flight(fixed, F.col("final_tdc"), period).alias("tof"))
-
-
-def empty_guard(condition: Column, message: str) -> Column:
-    """A condition that must hold, as a column of booleans that raises otherwise."""
-    return F.assert_true(condition, message).isNull()

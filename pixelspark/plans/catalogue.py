@@ -117,19 +117,14 @@ ASSIGNED = f"""{CHIPS}, hh as (select *, count(case when kind = 'tdc' then 1 end
   asg as (select file, idx, chip, raw, late, ext, ts, case when ((ts-t0)&4294967295) > {PERIOD} then (((ts-t0)&4294967295)-{PERIOD})&4294967295 else (ts-t0)&4294967295 end tof from r0)"""
 
 
-def _chips(spark, sf):
-    return ordering.with_chip(tables.packets(spark, sf), 1000)
-
-
 def _assigned(spark, sf, late=True):
-    chips = _chips(spark, sf)
-    return ordering.assign_pulses(chips, ordering.pulses(chips), PERIOD, late)
+    return ordering.assign_pulses(tables.packets(spark, sf), PERIOD, late)
 
 
 @query(f"with {CHIPS} select file, cast(chip as integer) chip_id, idx packet_idx, tdc, seq pulse_seq, prev_tdc, epoch, prev_epoch, (epoch << 30) | tdc ext_tdc from pl")
 def pulse_table(spark, sf):
     """The pulses of each chip with their epoch and predecessor."""
-    return ordering.pulses(_chips(spark, sf)).drop("block")
+    return ordering.pulses(tables.packets(spark, sf))
 
 
 @query(f"with {ASSIGNED} select file, idx packet_idx, cast(chip as integer) chip_id, ext ext_tdc, ts \"timestamp\", tof, late from asg")
@@ -144,7 +139,7 @@ def pulse_assign(spark, sf):
   coalesce(own, last_value(own ignore nulls) over (partition by file, chip order by sec rows between unbounded preceding and 1 preceding)) final_tdc from b""")
 def sections(spark, sf):
     """S8, S10-S12, S20."""
-    return ordering.sections(tables.packets(spark, sf), 1000)
+    return ordering.sections(tables.packets(spark, sf))
 
 
 @query(f"with {ASSIGNED} select file, ext ext_tdc, count(*) n_hits, count(distinct chip) n_chips, min(tof) first_tof, max(tof) last_tof from asg group by all")
@@ -159,25 +154,46 @@ def merged_pulses(spark, sf):
   tof, cast((raw >> 20) & 1023 as integer) tot, ts "timestamp", cast(chip as integer) chip_id, -1 cluster_id from xy join v using (chip)""")
 def read_hits(spark, sf):
     """Packets to the hit table, end to end."""
-    return ordering.read_hits(tables.packets(spark, sf), DetectorConfig(), True, 1000)
+    return ordering.read_hits(tables.packets(spark, sf), DetectorConfig())
+
+
+#: Words by kind with the chip of the last header, 0 before a file's first one.
+WORDS = f"""{PACKETS_SQL}, hd as (select *, case when (raw & 4294967295) = 861425748 then 'header' when ((raw >> 56) & 255) = 111 then 'tdc' when ((raw >> 60) & 15) = 11 then 'hit' end kind from packets),
+  ch as (select file, packet_idx idx, raw, kind, coalesce(last_value(case when kind = 'header' then (raw >> 32) & 255 end ignore nulls) over (partition by file order by packet_idx rows unbounded preceding), 0) chip from hd),
+  wd as (select *, case when kind = 'tdc' then (raw >> 12) & 1073741823 when kind = 'hit' then ((raw & 65535) << 14) | ((raw >> 30) & 16383) end v from ch)"""
 
 
-@query(f"with {CHIPS}, hh as (select *, case when kind='hit' and v < lag(v) over (partition by file, chip, kind order by idx) then 1 else 0 end back from p), g as (select file, chip, count(*) filter (kind='tdc') n_tdc, count(*) filter (kind='hit') n_hits, sum(back)::bigint n_back from hh group by all) select file, cast(chip as integer) chip_id, n_tdc, n_hits, n_back, round(case when n_hits > 1 then n_back::double / (n_hits - 1) else 0 end, 6) disorder_rate from g")
+@query(f"""with {WORDS}, st as (select *, v < lag(v) over (partition by file, chip, kind order by idx) back, row_number() over (partition by file, chip, kind order by idx) rn,
+    count(*) filter (kind = 'hit') over (partition by file, chip order by idx rows unbounded preceding) hits_to from wd),
+  gp as (select file, chip, idx, v, rn, hits_to - lag(hits_to) over (partition by file, chip order by idx) gap, v - lag(v) over (partition by file, chip order by idx) step from st where kind = 'tdc'),
+  gs as (select file, chip, min(gap) min_hits, avg(gap) mean_hits, max(gap) max_hits, list(v order by idx) filter (rn <= 5) five, list(step order by idx) filter (rn between 2 and 5) steps, count(*) n from gp group by all)
+  select st.file, cast(st.chip as integer) chip_id, count(*) filter (kind = 'tdc') n_tdc, count(*) filter (kind = 'tdc' and back) n_tdc_back, count(*) filter (kind = 'hit') n_hits, count(*) filter (kind = 'hit' and back) n_back,
+    round(100.0::double * (count(*) filter (kind = 'hit' and back)) / greatest(count(*) filter (kind = 'hit'), 1), 6) disorder_percent, any_value(min_hits) min_hits, round(any_value(mean_hits), 6) mean_hits, any_value(max_hits) max_hits,
+    case when any_value(n) >= 5 then array_to_string(any_value(five), ' ') end first_tdcs, case when any_value(n) > 5 then array_to_string(any_value(steps), ' ') end tdc_steps
+  from st left join gs on gs.file = st.file and gs.chip = st.chip group by st.file, st.chip""")
 def disorder_rate(spark, sf):
-    """A21, X11."""
-    return ordering.disorder(_chips(spark, sf)).withColumn("disorder_rate", F.round("disorder_rate", 6))
+    """A21, X11, W7."""
+    d = ordering.disorder(ordering.summaries(tables.packets(spark, sf)))
+    text = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.col(c).cast("array<string>"), " ")).alias(c)
+    return d.select("file", "chip_id", "n_tdc", "n_tdc_back", "n_hits", "n_back", F.round("disorder_percent", 6).alias("disorder_percent"), "min_hits", F.round("mean_hits", 6).alias("mean_hits"), "max_hits", text("first_tdcs"), text("tdc_steps"))
 
 
-@query(f"with {CHIPS}, h as (select file, idx packet_idx, cast(chip as integer) chip_id, lag(v) over (partition by file order by idx) previous, v \"timestamp\" from p where kind='hit') select * from h where previous - \"timestamp\" > 500000000")
+@query(f"""with {WORDS}, ev as (select file, idx, chip, kind, v, lag(v) over (partition by file, kind order by idx) previous from wd where kind in ('tdc', 'hit')),
+  j as (select * from ev where previous - v > 500000000),
+  ctx as (select j.file, j.idx spot, e.kind, e.idx, e.chip, e.v, row_number() over (partition by j.file, j.idx, e.kind order by e.idx desc) r from j join ev e on e.file = j.file and e.idx < j.idx),
+  t as (select file, spot, string_agg(idx || ':' || chip || ':' || v, ' ' order by idx) filter (kind = 'tdc' and r <= 5) tdcs, string_agg(idx || ':' || chip || ':' || v, ' ' order by idx) filter (kind = 'hit' and r <= 10) hits from ctx group by all)
+  select j.file, j.idx packet_idx, cast(chip as integer) chip_id, j.kind, previous, v "timestamp", coalesce(tdcs, '') tdcs, coalesce(hits, '') hits from j left join t on t.file = j.file and t.spot = j.idx""")
 def rollover_diag(spark, sf):
-    """A22."""
-    return ordering.rollovers(_chips(spark, sf))
+    """Both kinds, with the last five markers and ten hits before."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.array_join(x.cast("array<string>"), ":")), " ").alias(c)
+    found = ordering.rollovers(tables.packets(spark, sf), 500_000_000)
+    return found.select("file", "packet_idx", "chip_id", "kind", "previous", "timestamp", text("tdcs"), text("hits"))
 
 
 @query(f"with {ASSIGNED} select file, cast(chip as integer) chip_id, ext ext_tdc, idx packet_idx, ts \"timestamp\", tof, raw from asg")
 def streaming_pulses(spark, sf):
-    """The stream's state machine over the same packets (tests hold it against pulse_assign)."""
-    return streaming.assemble_batch(streaming.values(_chips(spark, sf)), PERIOD)
+    """What the stream of pulses gives once all has come (tests hold the stream against it)."""
+    return streaming.assemble_batch(tables.packets(spark, sf), PERIOD)
 
 
 SLICES = f"""{HITS_SQL}, h as (select *, row_number() over (partition by file, ext_tdc order by tof, chip_id, packet_idx) rn, count(*) over (partition by file, ext_tdc) n from hits),
@@ -192,12 +208,32 @@ def pulse_slices(spark, sf):
     return ordering.slices(_hits(spark, sf), 100, 3)
 
 
-@query()
+@query(f"""with {CHIPS}, m as (select file, sec, max_by(v, idx) filter (kind = 'tdc') own, any_value(chip) chip from p group by all),
+  f as (select file, sec, last_value(own ignore nulls) over (partition by file, chip order by sec rows unbounded preceding) tdc from m),
+  s as (select p.file, p.idx, p.chip, f.tdc, v raw_ts, case when ((v + 4194304) & 4294967295) < f.tdc then (v + 1073741824) & 4294967295 else v end ts from p join f on f.file = p.file and f.sec = p.sec where kind = 'hit' and f.tdc is not null order by p.file, p.idx limit 1)
+  select file, idx packet_idx, cast(chip as integer) chip_id, tdc, raw_ts, ts, ts - tdc delta, case when ((ts - tdc) & 4294967295) > {PERIOD} then (((ts - tdc) & 4294967295) - {PERIOD}) & 4294967295 else (ts - tdc) & 4294967295 end tof from s""")
 def debug_sample(spark, sf):
     """S21."""
     return ordering.debug_sample(tables.packets(spark, sf), PERIOD)
 
 
+@query(f"""with {HITS_SQL}, o as (select *, row_number() over w n, tof - lag(tof) over w > 3 gap from hits window w as (partition by file, ext_tdc order by tof, chip_id, packet_idx)),
+  b as (select file, ext_tdc, packet_idx, last_value(case when coalesce(gap, true) then n end ignore nulls) over (partition by file, ext_tdc order by tof, chip_id, packet_idx rows unbounded preceding) begun from o)
+  select file, ext_tdc, packet_idx, cast((begun - 1) // 50 as integer) slice_no from b""")
+def gap_slices(spark, sf):
+    """Pulses cut at gaps in time, for clustering slice by slice."""
+    return ordering.gap_slices(_hits(spark, sf), WINDOW, 50).select("file", "ext_tdc", "packet_idx", "slice_no")
+
+
+@query(f"with recursive {HITS_SQL}, {EDGES}, {CLOSURE} select file, ext_tdc, packet_idx, cluster from grid")
+def out_of_core_clusters(spark, sf):
+    """The same clusters from slices as from whole pulses."""
+    sliced = ordering.gap_slices(_hits(spark, sf), WINDOW, 50)
+    found = clustering.cluster_hits(sliced, ClusteringConfig(RADIUS, 75.0), "grid", keys=("file", "ext_tdc", "slice_no"))
+    names = found.groupBy("file", "ext_tdc", "slice_no", "cluster_id").agg(F.min("packet_idx").alias("cluster"))
+    return found.join(names, ["file", "ext_tdc", "slice_no", "cluster_id"]).select("file", "ext_tdc", "packet_idx", "cluster")
+
+
 @query(f"with {ASSIGNED.replace('prev_tdc is not null and ts_c < tdc late', 'false late')} select file, idx packet_idx, ext ext_tdc, tof from asg")
 def direct_decode(spark, sf):
     """No late hits."""
@@ -279,6 +315,13 @@ def cluster_prune(spark, sf):
     return extraction.prune_small(_labelled(spark, sf), 9).select("file", "ext_tdc", "packet_idx", "cluster_id")
 
 
+@query(f"with {LABELLED}, c as (select file, ext_tdc, cluster_id, count(*) n from lab where cluster_id % 5 <> 0 group by all) select (select count(*) from lab) hits_processed, count(*) clusters_found, (select count(*) from lab where cluster_id % 5 = 0) noise_hits, max(n) largest_cluster_size, round(avg(n), 6) mean_cluster_size from c")
+def clustering_statistics(spark, sf):
+    """A8."""
+    noisy = _labelled(spark, sf).withColumn("cluster_id", F.when(F.col("cluster_id") % 5 == 0, -1).otherwise(F.col("cluster_id")))
+    return extraction.clustering_statistics(noisy).withColumn("mean_cluster_size", F.round("mean_cluster_size", 6))
+
+
 # --- extraction ---------------------------------------------------------------------------------------------------
 
 
@@ -526,7 +569,7 @@ def position_to_bin(spark, sf):
 
 @query(f"with {HITS_SQL} select packet_idx, cast(y * 64 + x as integer) event_id, tof * 25 event_time_offset, tot * 25 time_over_threshold from hits")
 def hit_event_ids(spark, sf):
-    """K5, K13, K28."""
+    """K5, K13."""
     h = sinks.hit_event_ids(_hits(spark, sf), SIDE, SIDE)
     return h.select("packet_idx", "event_id", (F.col("tof") * 25).alias("event_time_offset"), (F.col("tot").cast("long") * 25).alias("time_over_threshold"))
 
@@ -554,7 +597,8 @@ def event_pulse(spark, sf):
     return sinks.event_pulse(numbered, sinks.pulse_index(h))
 
 
-@query(f"with {HITS_SQL}, {CUBE}, s as (select k, coalesce(sum(n), 0)::bigint c from range(20) t(k) left join cube on tof_bin = k group by k) select cast(k as integer) tof_bin, format('{{:.6e}},{{}}', (k + 0.5::double) * {BIN_NS}::double * 1e-9::double, c) line from s")
+@query(f"""with {HITS_SQL}, {CUBE}, s as (select k, coalesce(sum(n), 0)::bigint c from range(20) t(k) left join cube on tof_bin = k group by k), e as (select k, c, format('{{:.6e}}', (k + 0.5::double) * {BIN_NS}::double * 1e-9::double) t from s)
+  select cast(k as integer) tof_bin, split_part(t, 'e', 1) || 'e' || cast(cast(split_part(t, 'e', 2) as integer) as varchar) || ',' || c line from e""")
 def spectra_text(spark, sf):
     """K19."""
     return sinks.spectrum_lines(cube.spectrum(_cube(spark, sf), BINS), BIN_NS)
@@ -581,7 +625,15 @@ def number_format(spark, sf):
     return _hits(spark, sf).groupBy("file").agg(energy.thousands(F.count("*") * 1000).alias("n"))
 
 
-@query()
+@query(f"with neu as ({_centroid_sql(True)}) select x, y, tof, tot::bigint tot, n_hits::bigint n_hits, chip_id::bigint chip_id from neu")
 def binary_records(spark, sf):
-    """K3: neutrons as packed records, a row per batch."""
-    return sinks.records(extraction.extract_neutrons(_labelled(spark, sf)))
+    """K3: neutrons as packed records and back."""
+    return sinks.from_records(sinks.records(_rounded(extraction.extract_neutrons(_labelled(spark, sf)))))
+
+
+@query(f"with {HITS_SQL} select file, ext_tdc, count(*) n from hits group by all")
+def pulse_batches(spark, sf):
+    """Pulse after pulse, in one pass."""
+    from pixelspark import api
+
+    return api.pulse_rows(_hits(spark, sf)).select("file", "ext_tdc", "n")

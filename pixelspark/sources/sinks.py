@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import math
-import shutil
+import re
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.config import TICK_NS, ConfigError, DataError
 from pixelspark.functions import energy
+from pixelspark.sources.files import Shared
 
 NEUTRON_COLUMNS = ("x", "y", "tof", "tot", "n_hits", "chip_id")
 #: The 28-byte record, little-endian.
@@ -28,12 +29,29 @@ I32 = (1 << 31) - 1
 
 
 def neutrons_csv(neutrons: DataFrame, path: str, header: bool = True, one_file: bool = False) -> None:
-    out = neutrons.select(*NEUTRON_COLUMNS)
-    (out.coalesce(1) if one_file else out).write.mode("overwrite").csv(path, header=header)
+    """A folder of files, each with the header, or one file with the header once, whose lines come in pulse order through the driver."""
+    if not one_file:
+        neutrons.select(*NEUTRON_COLUMNS).write.mode("overwrite").csv(path, header=header)
+        return
+    text = in_pulse_order(neutrons).select(F.to_csv(F.struct(*NEUTRON_COLUMNS)).alias("line"))
+
+    def lines() -> Iterator[bytes]:
+        if header:
+            yield (",".join(NEUTRON_COLUMNS) + "\n").encode()
+        held: list[str] = []
+        for r in text.toLocalIterator(prefetchPartitions=True):
+            held.append(r.line)
+            if len(held) >= 10_000:
+                yield ("\n".join(held) + "\n").encode()
+                held = []
+        if held:
+            yield ("\n".join(held) + "\n").encode()
+
+    Shared(neutrons.sparkSession, path).write(path, lines())
 
 
 def records(neutrons: DataFrame) -> DataFrame:
-    """part, bytes: packed records, one row per Arrow batch."""
+    """n, bytes: packed records, one row per Arrow batch, in the order of the rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -47,11 +65,31 @@ def records(neutrons: DataFrame) -> DataFrame:
     return neutrons.select(*NEUTRON_COLUMNS).mapInArrow(run, "n long, bytes binary")
 
 
+def from_records(packed: DataFrame) -> DataFrame:
+    """The neutrons of records()."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column("bytes"):
+                rows = np.frombuffer(data.as_buffer(), RECORD)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[n].astype("f8" if n in "xy" else "i8")) for n in NEUTRON_COLUMNS], names=list(NEUTRON_COLUMNS))
+
+    return packed.select("bytes").mapInArrow(run, "x double, y double, tof long, tot long, n_hits long, chip_id long")
+
+
+def in_pulse_order(neutrons: DataFrame) -> DataFrame:
+    """Dealt by ranges of the pulse and sorted within: partition after partition gives the order of pulses."""
+    keys = [c for c in ("file", "ext_tdc", "slice_no") if c in neutrons.columns]
+    within = [c for c in ("cluster_id", "tof") if c in neutrons.columns]
+    return neutrons.repartitionByRange(*keys).sortWithinPartitions(*keys, *within) if keys else neutrons
+
+
 def neutrons_binary(neutrons: DataFrame, path: str) -> None:
-    """One file of records, a batch at a time."""
-    with open(path, "wb") as f:
-        for row in records(neutrons).toLocalIterator(prefetchPartitions=True):
-            f.write(row.bytes)
+    """One file of records in pulse order. The driver holds one Arrow batch at a time."""
+    rows = records(in_pulse_order(neutrons)).toLocalIterator(prefetchPartitions=True)
+    Shared(neutrons.sparkSession, path).write(path, (bytes(r.bytes) for r in rows))
 
 
 def read_binary(path: str) -> np.ndarray:
@@ -102,19 +140,37 @@ def event_columns(events: DataFrame, names: tuple[str, ...] = ("time_over_thresh
 
 def pulse_index(events: DataFrame) -> DataFrame:
     """file, ext_tdc, event_time_zero (ns, at most the largest 64-bit number), event_index: events of all pulses before."""
-    counts = events.groupBy("file", "ext_tdc").agg(F.count("*").alias("n"))
+    return index_of(events.groupBy("file", "ext_tdc").agg(F.count("*").alias("n")))
+
+
+def index_of(counts: DataFrame) -> DataFrame:
+    """pulse_index from the number n of events of each pulse."""
     before = Window.partitionBy("file").orderBy("ext_tdc").rowsBetween(Window.unboundedPreceding, -1)
     most = (1 << 63) - 1
     zero = F.when(F.col("ext_tdc") > most // 25, F.lit(most)).otherwise(F.col("ext_tdc") * 25)
     return counts.select("file", "ext_tdc", zero.alias("event_time_zero"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("event_index"))
 
 
+EVENT_BLOCK = 1 << 16
+
+
 def event_pulse(events: DataFrame, index: DataFrame) -> DataFrame:
-    """The pulse of numbered events (file, event_no): the last one that begins at or before it."""
-    marks = index.select("file", F.col("event_index").alias("event_no"), F.lit(0).alias("_o"), "ext_tdc")
-    rows = events.select("file", "event_no", F.lit(1).alias("_o"), F.lit(None).cast("long").alias("ext_tdc"))
-    order = Window.partitionBy("file").orderBy("event_no", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.unionByName(rows).withColumn("ext_tdc", F.last("ext_tdc", ignorenulls=True).over(order)).where("_o = 1").select("file", "event_no", "ext_tdc")
+    """The pulse of numbered events (file, event_no): the last one that begins at or before it.
+
+    Events are cut into blocks by number, and each pulse stands in the blocks that it reaches into, so no window is
+    longer than a block. Of pulses that begin at one number (those before the last are empty) the last one has the events.
+    """
+    block = lambda c: F.floor(F.col(c) / EVENT_BLOCK)
+    order = Window.partitionBy("file").orderBy("event_index", "ext_tdc")  # over pulses, not events
+    end = F.lead("event_index").over(order)
+    last = events.groupBy("file").agg(F.max("event_no").alias("_most"))
+    marks = index.select("file", "ext_tdc", "event_index", end.alias("_end")).join(last, "file")
+    marks = marks.withColumn("_end", F.coalesce(F.col("_end") - 1, F.greatest("_most", "event_index"))).where("_end >= event_index")
+    marks = marks.withColumn("_block", F.explode(F.sequence(block("event_index"), block("_end"))))
+    marks = marks.select("file", "_block", F.greatest("event_index", F.col("_block") * EVENT_BLOCK).alias("event_no"), F.lit(0).alias("_o"), "ext_tdc")
+    rows = events.select("file", block("event_no").alias("_block"), "event_no", F.lit(1).alias("_o"), F.lit(None).cast("long").alias("ext_tdc"))
+    within = Window.partitionBy("file", "_block").orderBy("event_no", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.unionByName(rows).withColumn("ext_tdc", F.last("ext_tdc", ignorenulls=True).over(within)).where("_o = 1").select("file", "event_no", "ext_tdc")
 
 
 def axis(name: str, values: list[float], n: int) -> dict:
@@ -155,52 +211,70 @@ def group_attributes(entry: dict, group: dict) -> dict:
 
 def write_events(events: DataFrame, path: str, attributes: dict | None = None) -> None:
     """The Parquet layout: events/, pulses/ and attributes.json, written beside the path and moved there at the end."""
-    half = f"{path}.partial"
+    spark = events.sparkSession
+    disk, half = Shared(spark, path), f"{path.rstrip('/')}.partial"
+    disk.delete(half)
     try:
         events.write.mode("overwrite").parquet(f"{half}/events")
-        pulse_index(events).write.mode("overwrite").parquet(f"{half}/pulses")
-        Path(half, "attributes.json").write_text(json.dumps(attributes or {}))
-        shutil.rmtree(path, ignore_errors=True)
-        shutil.move(half, path)
+        pulse_index(spark.read.schema(events.schema).parquet(f"{half}/events")).write.mode("overwrite").parquet(f"{half}/pulses")
+        disk.write(f"{half}/attributes.json", json.dumps(attributes or {}).encode())
+        disk.replace(half, path)
     except Exception:
-        shutil.rmtree(half, ignore_errors=True)
+        disk.delete(half)
         raise
 
 
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    return spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/pulses"), json.loads(Path(path, "attributes.json").read_text())
+    return spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/pulses"), json.loads(Shared(spark, path).read(f"{path}/attributes.json"))
 
 
-def write_histogram(cube: DataFrame, path: str, axes: list[dict]) -> None:
+def write_histogram(cube: DataFrame, path: str, axes: list[dict], codec: str = "zstd") -> None:
     sizes = {a["axis"]: len(a["values"]) - (a["mode"] == "edges") for a in axes}
     if not all(sizes.get(n, 0) for n in ("y", "x", "time_of_flight")):
         raise DataError("a histogram needs bins in every dimension")
     outside = (F.col("tof_bin") >= sizes["time_of_flight"]) | (F.col("y") >= sizes["y"]) | (F.col("x") >= sizes["x"])
     guarded = cube.withColumn("count", checked(~outside, F.col("count"), "a bin lies outside the histogram")).where("count <> 0")
-    guarded.write.mode("overwrite").parquet(f"{path}/bins")
-    Path(path, "axes.json").write_text(json.dumps(axes))
+    guarded.write.mode("overwrite").option("compression", codec).parquet(f"{path}/bins")
+    Shared(cube.sparkSession, path).write(f"{path}/axes.json", json.dumps(axes).encode())
 
 
 def add_to_histogram(cube: DataFrame, path: str) -> None:
-    """Adds bins to a written histogram."""
+    """Adds bins to a written histogram; the old bins stand until the new ones are whole. A count stops at the largest 64-bit number."""
     from pixelspark.operators.cube import merged
 
-    old = cube.sparkSession.read.parquet(f"{path}/bins")
-    merged(old, cube).write.mode("overwrite").parquet(f"{path}/bins.new")
-    shutil.rmtree(f"{path}/bins")
-    shutil.move(f"{path}/bins.new", f"{path}/bins")
+    spark = cube.sparkSession
+    old, axes = read_histogram(spark, path)
+    half = f"{path}/bins.new"
+    write_histogram(merged(old, cube), half, axes)
+    Shared(spark, path).replace(f"{half}/bins", f"{path}/bins")
+    Shared(spark, path).delete(half)
 
 
 def read_histogram(spark: SparkSession, path: str) -> tuple[DataFrame, list[dict]]:
-    axes = json.loads(Path(path, "axes.json").read_text())
+    axes = json.loads(Shared(spark, path).read(f"{path}/axes.json"))
     if len([a for a in axes if a["axis"] != "energy_ev"]) != 4:
         raise DataError("a histogram has four dimensions")
     return spark.read.parquet(f"{path}/bins"), axes
 
 
+def write_masks(masks: DataFrame, path: str, statistics: dict, codec: str = "zstd") -> None:
+    """pixels/ (x, y, count, dead, hot) and statistics.json (mean, std_dev, threshold, sigma)."""
+    masks.write.mode("overwrite").option("compression", codec).parquet(f"{path}/pixels")
+    Shared(masks.sparkSession, path).write(f"{path}/statistics.json", json.dumps(statistics).encode())
+
+
+def read_masks(spark: SparkSession, path: str, size: tuple[int, int] | None = None) -> tuple[DataFrame, dict]:
+    """The masks of a written export; size (width, height): an error unless the masks have a row for each of its pixels."""
+    masks = spark.read.parquet(f"{path}/pixels")
+    if size and masks.count() != size[0] * size[1]:
+        raise DataError(f"the masks are not {size[0]} x {size[1]}")
+    return masks, json.loads(Shared(spark, path).read(f"{path}/statistics.json"))
+
+
 def validate_export(spark: SparkSession, path: str, wants: tuple[str, ...] = ("events", "pulses")) -> list[str]:
-    """What a written layout lacks."""
-    return [f"missing {w}" for w in wants if not Path(path, w).exists()]
+    """What a written layout lacks (see export.validate for combined ones)."""
+    disk = Shared(spark, path)
+    return [f"missing {w}" for w in wants if not disk.exists(f"{path}/{w}")]
 
 
 def dense(cube: DataFrame, n_bins: int, width: int, height: int) -> np.ndarray:
@@ -212,7 +286,7 @@ def dense(cube: DataFrame, n_bins: int, width: int, height: int) -> np.ndarray:
     return out
 
 
-def tiff(images: list[np.ndarray], big: bool | None = None) -> tuple[bytes, list[str]]:
+def tiff(images: list[np.ndarray], big: bool | None = None) -> bytes:
     """A grey-scale file of one or more uncompressed images (8, 16 or 32 bit); big: the 64-bit form, by size if None."""
     size = sum(i.nbytes for i in images) + 256 * len(images) + 16
     if big is False and size > (1 << 32) - 1:
@@ -234,7 +308,7 @@ def tiff(images: list[np.ndarray], big: bool | None = None) -> tuple[bytes, list
         link = at + len(body)
         body += struct.pack(f"<{word}", 0)
         out += body + image.astype(image.dtype.newbyteorder("<")).tobytes()
-    return bytes(out), []
+    return bytes(out)
 
 
 def image_of(counts: np.ndarray, bits: int) -> tuple[np.ndarray, list[str]]:
@@ -244,45 +318,20 @@ def image_of(counts: np.ndarray, bits: int) -> tuple[np.ndarray, list[str]]:
     return np.minimum(counts, np.uint64(most)).astype(f"<u{bits // 8}"), warnings
 
 
-def tiff_folder(cube: np.ndarray, folder: str, base: str, bits: int = 16) -> list[str]:
-    """One image per time bin; the folder must be new and is removed on error."""
-    if not base:
-        raise ConfigError("a base name is needed")
-    at = Path(folder)
-    if at.exists():
-        raise DataError(f"{folder} exists")
-    at.mkdir(parents=True)
-    try:
-        warnings: list[str] = []
-        for k, counts in enumerate(cube):
-            image, cut = image_of(counts, bits)
-            (at / f"{base}_{k:05d}.tif").write_bytes(tiff([image])[0])
-            warnings = warnings or cut
-        return warnings
-    except Exception:
-        shutil.rmtree(at, ignore_errors=True)
-        raise
-
-
-def tiff_stack(cube: np.ndarray, path: str, bits: int = 16, big: bool | None = None) -> list[str]:
-    images, warnings = [], []
-    for counts in cube:
-        image, cut = image_of(counts, bits)
-        images.append(image)
-        warnings = warnings or cut
-    Path(path).write_bytes(tiff(images, big)[0])
-    return warnings
-
-
 def spectrum_lines(spectrum: DataFrame, bin_width_ns: float, centers: bool = True, offset_ns: float = 0.0) -> DataFrame:
-    """tof_bin, line: "shutter_time,counts" with seconds in scientific form."""
+    """tof_bin, line: "shutter_time,counts" with seconds in scientific form, whose exponent has no plus and no leading zeros."""
     at = (F.col("tof_bin") + (0.5 if centers else 0.0)) * bin_width_ns + offset_ns
-    return spectrum.select("tof_bin", F.concat(F.format_string("%.6e", at * 1e-9), F.lit(","), F.col("count").cast("string")).alias("line"))
+    seconds = F.regexp_replace(F.format_string("%.6e", at * 1e-9), "e([+]|(-))0*([0-9])", "e$2$3")
+    return spectrum.select("tof_bin", F.concat(seconds, F.lit(","), F.col("count").cast("string")).alias("line"))
 
 
-def spectrum_text(spectrum: DataFrame, path: str, bin_width_ns: float, centers: bool = True, offset_ns: float = 0.0) -> None:
+def spectrum_file(spectrum: DataFrame, bin_width_ns: float, centers: bool = True, offset_ns: float = 0.0) -> str:
     lines = [r.line for r in spectrum_lines(spectrum, bin_width_ns, centers, offset_ns).orderBy("tof_bin").collect()]
-    Path(path).write_text("\n".join(["shutter_time,counts", *lines]) + "\n")
+    return "\n".join(["shutter_time,counts", *lines]) + "\n"
+
+
+def spectrum_text(spectrum: DataFrame, path: str, bin_width_ns: float, centers: bool = True, offset_ns: float = 0.0) -> None:
+    Shared(spectrum.sparkSession, path).write(path, spectrum_file(spectrum, bin_width_ns, centers, offset_ns).encode())
 
 
 def spectra_table(spectra: dict[str, DataFrame], bin_width_ms: float, path_m: float | None = None, offset_ns: float = 0.0) -> DataFrame:
@@ -302,23 +351,9 @@ def spectra_table(spectra: dict[str, DataFrame], bin_width_ms: float, path_m: fl
 def spectra_csv(spectra: dict[str, DataFrame], path: str, bin_width_ms: float, comments: list[str] = (), path_m: float | None = None, offset_ns: float = 0.0) -> None:
     rows = spectra_table(spectra, bin_width_ms, path_m, offset_ns).orderBy("tof_bin").drop("tof_bin")
     lines = [f"# {c}" for c in comments] + [",".join(rows.columns)] + [",".join(map(str, r)) for r in rows.collect()]
-    Path(path).write_text("\n".join(lines) + "\n")
-
-
-def chosen_spectrum(full: DataFrame, masked: DataFrame | None, want_masked: bool) -> tuple[DataFrame, list[str]]:
-    if want_masked and masked is None:
-        return full, ["no mask fits; the full spectrum is written"]
-    return (masked if want_masked else full), []
-
-
-def export_selection(hits: bool, neutrons: bool, histogram: bool, masks: bool) -> None:
-    if not (hits or neutrons or histogram or masks):
-        raise ConfigError("nothing is selected for export")
-
-
-def positive(value: float) -> float | None:
-    return value if value > 0 else None
+    Shared(rows.sparkSession, path).write(path, ("\n".join(lines) + "\n").encode())
 
 
-def nonzero(value: float) -> float | None:
-    return value if value != 0 else None
+def plain_name(name: str) -> str:
+    """energy.file_name_part of a Python string."""
+    return re.sub("^_+|_+$", "", re.sub("[^A-Za-z0-9_-]", "_", name.strip()))

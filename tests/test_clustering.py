@@ -15,7 +15,8 @@ def frame(spark, hits, tot=20):
 def labels(name, hits, **config):
     x, y, t = (np.array(c, np.int64) for c in zip(*hits, strict=True))
     c = ClusteringConfig(**{"radius": 5.0, "temporal_window_ns": 100.0, **config})
-    return clustering._dense(clustering.KERNELS[name](x, y, t, c, AlgorithmParams()), c.min_cluster_size, c.max_cluster_size)
+    one = np.zeros(len(x), np.int64)
+    return clustering._dense(one, clustering.KERNELS[name](one, x, y, t, c, AlgorithmParams()), c.min_cluster_size, c.max_cluster_size)
 
 
 def test_two_groups_for_every_method(spark):
@@ -91,6 +92,36 @@ def test_dbscan_against_definition(hits):
             assert all(found[j] == found[i] for j in n if core[j])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(points, min_size=1, max_size=4), st.integers(1, 50))
+def test_pulses_at_once_as_one_by_one(pulses, candidates):
+    pulses = [sorted(p, key=lambda h: h[2]) for p in pulses]
+    group = np.repeat(np.arange(len(pulses)), [len(p) for p in pulses])
+    x, y, t = (np.array([h[k] for p in pulses for h in p], np.int64) for k in range(3))
+    c = ClusteringConfig(5.0, 100.0, 2)
+    before, clustering.PAIRS = clustering.PAIRS, candidates
+    try:
+        for name, kernel in clustering.KERNELS.items():
+            found = clustering._dense(group, kernel(group, x, y, t, c, AlgorithmParams()), 2, None)
+            assert found.tolist() == [k for p in pulses for k in labels(name, p, min_cluster_size=2).tolist()]
+    finally:
+        clustering.PAIRS = before
+
+
+def test_many_pulses_over_batches(spark, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    rows = [("fg"[k % 2], k % 23, k, rng.randint(0, 40), rng.randint(0, 40), rng.randint(0, 60), 20, 0) for k in range(900)]
+    hits = spark.createDataFrame(rows, HIT)
+    for name in clustering.KERNELS:
+        found = {}
+        for batch in (1, 50, 1 << 16):
+            monkeypatch.setattr(clustering, "BATCH", batch)
+            found[batch] = sorted(map(tuple, clustering.cluster_hits(hits, ClusteringConfig(5.0, 75.0), name).collect()))
+        assert found[1] == found[50] == found[1 << 16] and len(found[1]) == 900
+
+
 def test_joins_give_the_same_components(spark):
     import random
 

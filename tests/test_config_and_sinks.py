@@ -1,14 +1,14 @@
 import struct
+from dataclasses import replace
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pixelspark import api
 from pixelspark.config import AlgorithmParams, ClusteringConfig, ConfigError, DetectorConfig, OutOfCoreConfig
 from pixelspark.functions import bits, energy
-from pixelspark.operators import cube, roi
-from pixelspark.sources import sinks
+from pixelspark.operators import cube, extraction, roi
+from pixelspark.sources import export, sinks
 
 
 def test_detector_defaults():
@@ -136,25 +136,114 @@ def test_histogram_layout(spark, tmp_path):
         sinks.merged_attributes({"p": 2.5}, {"p": 2.6})
 
 
-def test_images(tmp_path):
-    stack = np.array([[[1, 2], [3, 70000]]], np.uint64)
-    assert sinks.tiff_folder(stack, str(tmp_path / "t"), "img") == ["counts above 65535 were cut"]
-    raw = (tmp_path / "t" / "img_00000.tif").read_bytes()
-    assert raw[:4] == b"II*\0" and raw[-8:] == struct.pack("<4H", 1, 2, 3, 65535)
-    sinks.tiff_stack(np.repeat(stack, 3, axis=0), str(tmp_path / "s.tif"), 32, True)
-    assert (tmp_path / "s.tif").read_bytes()[:4] == b"II+\0"
-    with pytest.raises(Exception, match="exists"):
-        sinks.tiff_folder(stack, str(tmp_path / "t"), "img")
+def counted(spark, rows):
+    return spark.createDataFrame(rows, "tof_bin int, y int, x int, count long")
+
+
+def test_images(spark, tmp_path):
+    c = counted(spark, [(0, 0, 0, 1), (0, 0, 1, 2), (0, 1, 0, 3), (0, 1, 1, 70000)])
+    size, warnings = export.tiff_export(spark, c, str(tmp_path / "t"), " img/1 ", (2, 2), 1, 100.0)
+    assert warnings == ["counts above 65535 were cut"] and sorted(p.name for p in (tmp_path / "t").iterdir() if p.name[0] != ".") == ["img_1_00000.tif", "img_1_Spectra.txt", "img_1_SummedImg.tif"]
+    raw = (tmp_path / "t" / "img_1_00000.tif").read_bytes()
+    assert raw[:4] == b"II*\0" and raw[-8:] == struct.pack("<4H", 1, 2, 3, 65535) and size > len(raw)
+    few = spark.createDataFrame([(0, 0, 1, 0, 0)], "x int, y int, count long, dead int, hot int")
+    _, warnings = export.tiff_export(spark, c, str(tmp_path / "s"), "img", (2, 2), 1, 100.0, 32, stack=True, big=True, masks=few, exclude_masked=True)
+    assert warnings == ["no mask fits the histogram; the full spectrum is written"]
+    assert (tmp_path / "s" / "img_stack.tif").read_bytes()[:4] == b"II+\0"
+    for bad in (("t", "img"), ("u", " _ ")):
+        with pytest.raises(Exception, match="exists|needed"):
+            export.tiff_export(spark, c, str(tmp_path / bad[0]), bad[1], (2, 2), 1, 100.0)
+    with pytest.raises(IndexError):  # a bin outside the images
+        export.tiff_export(spark, counted(spark, [(0, 5, 0, 1)]), str(tmp_path / "u"), "img", (2, 2), 1, 100.0)
+    assert not (tmp_path / "u").exists()
+
+
+def test_combined_export(spark, tmp_path):
+    hits = spark.createDataFrame([("f", 7, 1, 3, 10, 5, 0), ("f", 7, 2, 4, 20, 6, 0), ("f", 9, 1, 1, 5, 5, 1)], "file string, ext_tdc long, x int, y int, tof long, tot int, chip_id int")
+    neutrons = spark.createDataFrame([(8.2, 16.4, 100, 30, 2, 0)], "x double, y double, tof long, tot int, n_hits int, chip_id int")
+    c = counted(spark, [(0, 0, 0, 2)])
+    masks = spark.createDataFrame([(0, 0, 2, 0, 0)], "x int, y int, count long, dead int, hot int")
+    data = export.ExportData(hits, neutrons, c, masks, {"mean": 2.0}, (8, 8), 1, 100.0, {"detector": "d"})
+    options = export.ExportOptions(True, True, True, True, xy=True, n_hits=True, super_resolution=8.0, flight_path_m=2.5, tof_offset_ns=0.0)
+    said, path = [], str(tmp_path / "out")
+    size, warnings = export.export(spark, data, path, options, lambda share, what: said.append(share))
+    assert warnings == [] and size > 0 and said == sorted(said) and said[-1] == 1.0
+    events, pulses = (spark.read.parquet(f"{path}/hits/{t}") for t in ("events", "pulses"))
+    assert set(events.columns) == {"file", "ext_tdc", "event_id", "event_time_offset", "time_over_threshold", "chip_id", "x", "y"}
+    assert [(r.event_time_zero, r.event_index) for r in pulses.orderBy("ext_tdc").collect()] == [(175, 0), (225, 2)]
+    own = spark.read.parquet(f"{path}/neutrons/events").first()
+    assert (own.event_id, own.n_hits, own.ext_tdc) == (2 * 8 + 1, 2, 0)
+    assert len(sinks.read_histogram(spark, f"{path}/histogram")[1]) == 4  # no offset, no energy axis
+    assert sinks.read_masks(spark, f"{path}/pixel_masks")[1] == {"mean": 2.0}
+    with pytest.raises(Exception, match="masks are not"):
+        sinks.read_masks(spark, f"{path}/pixel_masks", (8, 8))
+    assert export.validate(spark, path, replace(options, cluster_id=True)) == ["missing column hits.cluster_id"]
+    plain = replace(options, hits=True, neutrons=False, histogram=False, pixel_masks=False, compression=0)
+    export.export(spark, export.ExportData(hits.drop("ext_tdc", "file")), path, plain)
+    assert export.validate(spark, path, plain) == []
+    assert export.validate(spark, path, replace(plain, neutrons=True, compression=1)) == ["hits is not compressed", "hits pulses is not compressed", "missing table neutrons", "missing table neutrons pulses"]
+    assert spark.read.parquet(f"{path}/hits/pulses").first().event_time_zero == 0
+    for bad, what in ((export.ExportOptions(False), "nothing is selected"), (export.ExportOptions(True, True), "no neutrons"), (export.ExportOptions(False, False, True), "no histogram"), (export.ExportOptions(False, pixel_masks=True), "no pixel masks")):
+        with pytest.raises(Exception, match=what):
+            export.export(spark, export.ExportData(hits), path, bad)
+    assert export.validate(spark, path, plain) == [] and not (tmp_path / "out.partial").exists()
+
+
+def test_events_that_come_in_batches(spark, tmp_path):
+    make = lambda rows: sinks.event_columns(spark.createDataFrame(rows, "file string, ext_tdc long, event_id int, tof long"), ())
+    sink = export.EventSink(spark, str(tmp_path / "e"), {"a": 1})
+    for number, rows in ((0, [("f", 1, 5, 10), ("f", 2, 6, 10)]), (1, [("f", 2, 7, 11), ("f", 4, 8, 12)]), (1, [("f", 2, 7, 11), ("f", 4, 8, 12)])):
+        sink.write(make(rows), number)
+    assert sink.events().count() == 4
+    assert [(r.ext_tdc, r.event_index) for r in sink.pulses().orderBy("ext_tdc").collect()] == [(1, 0), (2, 1), (4, 3)]
+
+
+def test_spectra_are_kept_by_shape_and_revision(spark):
+    cache, made = export.SpectraCache(), []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(1, 7), (0, 5)], "tof_bin int, count long")
+
+    for revision, shape in ((1, {"a": 1}), (1, {"a": 1}), (1, {"a": 2}), (2, {"a": 1})):
+        assert cache.get(revision, shape, make) == [(0, 5), (1, 7)]
+    assert len(made) == 3
+
+
+def test_events_find_their_pulse_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "EVENT_BLOCK", 4)
+    counts = spark.createDataFrame([("f", 1, 3), ("f", 5, 0), ("f", 6, 9), ("f", 8, 1), ("g", 2, 2)], "file string, ext_tdc long, n long")
+    events = spark.createDataFrame([(f, k) for f, n in (("f", 13), ("g", 2)) for k in range(n)], "file string, event_no long")
+    got = sorted(tuple(r) for r in sinks.event_pulse(events, sinks.index_of(counts)).collect())
+    assert got == [("f", k, t) for k, t in enumerate([1] * 3 + [6] * 9 + [8])] + [("g", 0, 2), ("g", 1, 2)]
 
 
 def test_spectra_files(spark, tmp_path):
     s = spark.createDataFrame([(0, 5), (1, 7)], "tof_bin int, count long")
     sinks.spectrum_text(s, str(tmp_path / "s.txt"), 100.0)
-    assert (tmp_path / "s.txt").read_text().splitlines() == ["shutter_time,counts", "5.000000e-08,5", "1.500000e-07,7"]
+    assert (tmp_path / "s.txt").read_text().splitlines() == ["shutter_time,counts", "5.000000e-8,5", "1.500000e-7,7"]
+    line = lambda ns: sinks.spectrum_lines(s.where("tof_bin = 0"), ns).first().line
+    assert [line(n) for n in (83333.333, 2e9, 3e19, 0.0)] == ["4.166667e-5,5", "1.000000e0,5", "1.500000e10,5", "0.000000e0,5"]
     sinks.spectra_csv({"full": s}, str(tmp_path / "s.csv"), 0.5, ["a note"])
     assert (tmp_path / "s.csv").read_text().splitlines() == ["# a note", "tof_ms,full", "0.0,5", "0.5,7"]
 
 
+def test_files_in_pulse_order(spark, tmp_path):
+    rows = [("f", k % 50, 1.0, 2.0, k % 50, 1, 1, 0, 0) for k in range(200)]
+    n = spark.createDataFrame(rows, NEUTRON + ", cluster_id int").repartition(7)
+    sinks.neutrons_binary(n, str(tmp_path / "a.bin"))
+    assert sinks.read_binary(str(tmp_path / "a.bin"))["tof"].tolist() == sorted(r[4] for r in rows)
+    sinks.neutrons_csv(n, str(tmp_path / "a.csv"), one_file=True)
+    lines = (tmp_path / "a.csv").read_text().splitlines()
+    assert lines[0] == "x,y,tof,tot,n_hits,chip_id" and [int(x.split(",")[2]) for x in lines[1:]] == sorted(r[4] for r in rows)
+
+
+def test_session_statistics():
+    s = extraction.session_statistics(1000, 50, 2.0, 0.5, 4_000_000)
+    assert s == {"load_speed": 500.0, "cluster_speed": 100.0, "avg_cluster_size": 20.0, "tof_range_ms": 100.0}
+    assert extraction.session_statistics(10, 0, None, 0.0) == {"load_speed": None, "cluster_speed": 0.0, "avg_cluster_size": 0.0, "tof_range_ms": 0.0}
+
+
 def test_process_files(spark, tmp_path):
     from pixelspark.config import ExtractionConfig
     from pixelspark.sources.tpx3 import header, hit, tdc, write_packets

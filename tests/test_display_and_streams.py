@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,24 +34,68 @@ def test_edges_and_bends():
     assert sinks.group_attributes({"a": 1, "b": 2}, {"a": 3, "b": None}) == {"a": 3, "b": 2}
 
 
+def streamed(spark, parts, folder, start):
+    """What a stream of PACKETS gives that gets `parts` one batch each."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(folder / "in" / str(k)))
+        for f in (folder / "in" / str(k)).glob("*.parquet"):
+            f.rename(folder / "in" / f"{k}.parquet")
+    out = []
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(folder / "in"))
+    query = start(stream).writeStream.foreachBatch(lambda df, n: out.append([tuple(r) for r in df.collect()])).option("checkpointLocation", str(folder / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    return out
+
+
 def test_pulse_stream_equals_batch(spark, tmp_path):
-    words = [header(0), tdc(1000), hit(1100), tdc(2000), hit(1950), hit(2100), tdc(3000), hit(3100), tdc(4000), tdc(5000), tdc(6000)]
+    words = [header(0), tdc(1000), hit(1100), tdc(2000), hit(1950), hit(2100), tdc(3000), hit(3100)]
     tpx3.write_packets(str(tmp_path / "a.tpx3"), words)
-    chips = ordering.with_chip(tpx3.read_packets(spark, str(tmp_path / "a.tpx3")))
-    values = pulses.values(chips).cache()
-    want = {tuple(r) for r in pulses.assemble_batch(values, 666_667).collect()}
-    # the packets come in three batches of files; the state carries the open pulses over
-    for k, (a, b) in enumerate(((0, 5), (6, 8), (9, 99))):
-        values.where(F.col("packet_idx").between(a, b)).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-    for k in range(3):
-        for f in (tmp_path / "in" / str(k)).glob("*.parquet"):
-            f.rename(tmp_path / "in" / f"{k}.parquet")
-    got = set()
-    stream = spark.readStream.schema(values.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
-    query = pulses.assemble_stream(stream, 666_667).writeStream.foreachBatch(lambda df, n: got.update(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
+    table = tpx3.read_packets(spark, str(tmp_path / "a.tpx3"))
+    values = pulses.values(ordering.with_chip(table)).cache()
+    want = {tuple(r) for r in pulses.assemble_batch(table, 666_667).collect()}
+    assert len(want) == 4
+    # the packets come in three batches; the state carries the open pulses over, and the end's row lets the last ones out
+    cuts = [values.where(F.col("packet_idx").between(a, b)) for a, b in ((0, 5), (6, 8))] + [pulses.ends(values)]
+    out = streamed(spark, cuts, tmp_path, lambda s: pulses.assemble_stream(s, 666_667))
+    assert {r for batch in out for r in batch} == want and [len(batch) for batch in out] == [0, 2, 2]
+
+
+def test_merged_stream_waits_for_all_chips(spark, tmp_path):
+    words = [header(0), tdc(1000), hit(1100), tdc(2000), hit(2100), tdc(3000), hit(3300), tdc(4000), header(1), tdc(1000), hit(1050), tdc(2000), hit(2050), hit(1900), tdc(3000), hit(3200)]
+    tpx3.write_packets(str(tmp_path / "a.tpx3"), words)
+    table = tpx3.read_packets(spark, str(tmp_path / "a.tpx3"))
+    values = pulses.values(ordering.with_chip(table)).cache()
+    cuts = [values.where(F.col("packet_idx") < 8), values.where(F.col("packet_idx") >= 8), pulses.ends(values)]
+    out = streamed(spark, cuts, tmp_path, lambda s: pulses.merge_stream(s, 666_667, chips=2))
+    assert [[(r[2], r[5], r[1]) for r in batch] for batch in out] == [
+        [], [(1000, 50, 1), (1000, 100, 0), (1000, 900, 1)], [(2000, 50, 1), (2000, 100, 0), (3000, 200, 1), (3000, 300, 0)]]
+
+
+def test_idle_chips_end(spark, tmp_path):
+    words = [header(0), tdc(1000), hit(1100)]
+    tpx3.write_packets(str(tmp_path / "a.tpx3"), words)
+    values = pulses.values(ordering.with_chip(tpx3.read_packets(spark, str(tmp_path / "a.tpx3"))))
+    values.coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
+    out = []
+    stream = spark.readStream.schema(values.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = pulses.assemble_stream(stream, 666_667, idle=500).writeStream.foreachBatch(lambda df, n: out.extend(r.tof for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
+    until = time.time() + 60
+    while not out and time.time() < until:
+        time.sleep(0.3)
     query.stop()
-    assert got == want
+    assert out == [100]
+
+
+def test_pulses_one_after_another(spark, tmp_path):
+    tpx3.write_packets(str(tmp_path / "a.tpx3"), [header(0), tdc(1000), hit(1200), hit(1100), tdc(2000), hit(2100)])
+    got = list(api.stream_hits(spark, str(tmp_path)))
+    assert [t["tof"].to_pylist() for t in got] == [[100, 200], [100]]
+    assert [t.schema.metadata[b"ext_tdc"] for t in got] == [b"1000", b"2000"]
+    kept = api.read_hits(spark, str(tmp_path), output_path=str(tmp_path / "hits.parquet"))
+    assert kept.count() == 3 and api.metadata_of(kept)["path"] == str(tmp_path)
+    found = api.process_neutrons(spark, str(tmp_path), collect=True)
+    assert found.count() >= 1 and api.metadata_of(found)["algorithm"] == "abs"
 
 
 def test_growing_cube(spark, tmp_path):
@@ -86,4 +132,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["process", path, "-o", str(tmp_path / "o.bin"), "--algorithm", "grid"]) == 0
     assert (tmp_path / "o.bin").stat().st_size == 28
     assert cli.main(["info", path]) == 0 and cli.main(["bench", path, "--iterations", "1"]) == 0
-    assert "packet_count" in capsys.readouterr().out
+    assert cli.main(["bench-out-of-core", path, "--iterations", "1", "--memory-budget-bytes", "1000"]) == 0 and cli.main(["bench-ordering", path, "--iterations", "1"]) == 0
+    said = capsys.readouterr().out
+    assert all(w in said for w in ("packet_count", "dbscan", "ratio", "M words/s"))

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from pixelspark.config import DetectorConfig
+from pixelspark import api
+from pixelspark.config import ClusteringConfig, DetectorConfig
 from pixelspark.operators import ordering
 from pixelspark.sources import tpx3
 from pixelspark.sources.tpx3 import header as H
@@ -48,18 +50,55 @@ def test_sections_hand_on_markers(spark):
     assert two[2].initial_tdc == 1000
 
 
-def test_result_does_not_depend_on_blocks_and_equals_the_stream(spark):
+def test_result_does_not_depend_on_blocks_and_equals_the_stream(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     words, now = [], 0
     for _ in range(600):
         now = (now + rng.randint(0, 4_000_000)) % (1 << 30)
         words.append(rng.choice([H(rng.randint(0, 2)), tdc(now), hit((now + rng.randint(-3000, 900_000)) % (1 << 30), rng.randint(1, 50), rng.randint(0, 65535)), hit(now, 20, 5)]))
     table = packets(spark, [hit(1), tdc(1), *words])
-    found = {tuple(r) for r in ordering.read_hits(table, block=7).select("packet_idx", "ext_tdc", "tof", "timestamp", "chip_id", "x", "y").collect()}
-    assert found == {tuple(r) for r in ordering.read_hits(table).select("packet_idx", "ext_tdc", "tof", "timestamp", "chip_id", "x", "y").collect()}
-    period = DetectorConfig().period_ticks
-    sealed = streaming.assemble_batch(streaming.values(ordering.with_chip(table)), period)
-    assert {(r.packet_idx, r.ext_tdc, r.tof, r.timestamp, r.chip_id) for r in sealed.collect()} == {f[:5] for f in found}
+    names = ("packet_idx", "ext_tdc", "tof", "timestamp", "chip_id", "x", "y")
+    found = {tuple(r) for r in ordering.read_hits(table, block=7).select(*names).collect()}
+    assert found == {tuple(r) for r in ordering.read_hits(table).select(*names).collect()}
+    marks = [sorted(map(tuple, ordering.pulses(table, b).collect())) for b in (5, 1 << 20)]
+    assert marks[0] == marks[1]
+    assert sorted(map(str, ordering.rollovers(table, 500_000, 9).collect())) == sorted(map(str, ordering.rollovers(table, 500_000).collect()))
+    assert sorted(map(str, ordering.disorder(ordering.summaries(table, 3)).collect())) == sorted(map(str, ordering.disorder(ordering.summaries(table)).collect()))
+    # the same words as a file, and through the stream's machine a few at a time
+    path = str(tmp_path / "f.tpx3")
+    tpx3.write_packets(path, [hit(1), tdc(1), *words])
+    monkeypatch.setattr(ordering, "BLOCK", 64)
+    own = ordering.read_files(spark, path, split_mb=0.001)
+    assert {tuple(r) for r in own.select(*names).collect()} == found and ordering.summaries_of_files(spark, path, 0.001).count() == 10
+    sealed, machines = [], {}
+    rows = sorted(streaming.values(ordering.with_chip(table)).collect(), key=lambda r: r.packet_idx)
+    for at in range(0, len(rows), 13):
+        for chip in {r.chip_id for r in rows[at : at + 13]}:
+            part = [r for r in rows[at : at + 13] if r.chip_id == chip]
+            machine = machines.setdefault(chip, streaming.Assembler(chip, DetectorConfig().period_ticks))
+            sealed.append(machine.feed(np.array([r.kind == "tdc" for r in part]), *(np.array([r[c] for r in part]) for c in ("value", "packet_idx", "raw"))))
+    rest = [m.flush() for m in machines.values()]
+    assert 0 < sum(map(len, rest)) < len(found) / 4
+    assert {(int(i), int(e), int(f), int(t), int(c)) for c, e, i, t, f, _ in np.concatenate([*sealed, *rest])} == {f[:5] for f in found}
+
+
+def test_diagnostics_count_words_before_the_first_header_for_chip_0(spark):
+    words = [hit(900), hit(800), tdc(100), H(1), tdc(1000), hit(5), hit(9), tdc(2000), hit(8), tdc(1500), tdc(1600), tdc(1700), tdc(1800), H(0), hit(850), H(3)]
+    for block in (2, 1 << 20):
+        got = {r.chip_id: tuple(r)[2:] for r in ordering.disorder(ordering.summaries(packets(spark, words), block)).collect()}
+        assert got[0] == (1, 0, 3, 1, 100 / 3, None, None, None, None, None)
+        assert got[1] == (6, 1, 3, 1, 100 / 3, 0, 0.6, 2, [1000, 2000, 1500, 1600, 1700], [1000, -500, 100, 100])
+        assert got[3] == (0, 0, 0, 0, 0.0, None, None, None, None, None)
+
+
+def test_rollovers_of_markers_and_hits_with_what_came_before(spark):
+    big = 900_000_000
+    words = [hit(big), H(2), tdc(big), *(hit(big + k) for k in range(12)), tdc(big + 50), tdc(7), hit(3)]
+    for block in (4, 1 << 20):
+        tdcs, hits = sorted(ordering.rollovers(packets(spark, words), block=block).collect(), key=lambda r: r.packet_idx)
+        assert (tdcs.kind, tdcs.packet_idx, tdcs.chip_id, tdcs.previous, tdcs.timestamp) == ("tdc", 16, 2, big + 50, 7)
+        assert tdcs.tdcs == [[2, 2, big], [15, 2, big + 50]] and tdcs.hits == [[3 + k, 2, big + k] for k in range(2, 12)]
+        assert (hits.kind, hits.packet_idx, hits.previous, hits.timestamp) == ("hit", 17, big + 11, 3) and len(hits.tdcs) == 3
 
 
 def test_source_splits_and_checks_sizes(spark, tmp_path):
@@ -88,6 +127,41 @@ def test_stream_reads_new_files(spark, tmp_path):
     assert sorted(out) == [100, 101, 102]
 
 
+def test_stream_takes_a_file_that_comes_late_under_an_earlier_name(spark, tmp_path):
+    out = []
+
+    def start():
+        return tpx3.stream_packets(spark, str(tmp_path / "in"), 1).writeStream.foreachBatch(lambda df, n: out.extend(r.tof for r in ordering.read_hits(df).collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+
+    (tmp_path / "in").mkdir()
+    add = lambda name, k: tpx3.write_packets(str(tmp_path / "in" / name), [H(0), tdc(1000), hit(1100 + k)])
+    add("b.tpx3", 0)
+    query = start()
+    query.processAllAvailable()
+    add("a.tpx3", 1)
+    query.processAllAvailable()
+    query.stop()
+    assert out == [100, 101]
+    add("0.tpx3", 2)
+    query = start()  # a restart reads only what is new
+    query.processAllAvailable()
+    query.stop()
+    assert out == [100, 101, 102]
+
+
+def test_gap_slices_keep_clusters_whole(spark):
+    rng = random.Random(5)
+    rows = [("f", 1, k, rng.randint(0, 8), rng.randint(0, 8), rng.randint(0, 4000), 10, 0) for k in range(900)]
+    hits = spark.createDataFrame(rows, "file string, ext_tdc long, packet_idx long, x int, y int, tof long, tot int, chip_id int")
+    cut = ordering.gap_slices(hits, 3, 40)
+    ends = cut.groupBy("slice_no").agg(F.min("tof").alias("a"), F.max("tof").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
+    assert len(ends) > 5 and all(y.a - x.b > 3 for x, y in zip(ends, ends[1:]))
+    options = dict(clustering_config=ClusteringConfig(5.0, 75.0), algorithm="dbscan")
+    names = ("x", "y", "tof", "tot", "n_hits", "chip_id")
+    whole, sliced = (sorted(tuple(r) for r in api.neutrons_from(hits, **options, **more).select(*names).collect()) for more in ({}, {"out_of_core": True, "memory_budget_bytes": 1000}))
+    assert whole == sliced and len(whole) > 10
+
+
 def test_slices_cover_and_overlap(spark):
     rows = [("f", 1, k, 0, 0, k, 10, 0) for k in range(10)]
     hits = spark.createDataFrame(rows, "file string, ext_tdc long, packet_idx long, x int, y int, tof long, tot int, chip_id int")
