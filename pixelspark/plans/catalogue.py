@@ -178,9 +178,9 @@ def disorder_rate(spark, sf):
     return d.select("file", "chip_id", "n_tdc", "n_tdc_back", "n_hits", "n_back", F.round("disorder_percent", 6).alias("disorder_percent"), "min_hits", F.round("mean_hits", 6).alias("mean_hits"), "max_hits", text("first_tdcs"), text("tdc_steps"))
 
 
-@query(f"""with {WORDS}, ev as (select file, idx, chip, kind, v, lag(v) over (partition by file, kind order by idx) previous from wd where kind in ('tdc', 'hit')),
-  j as (select * from ev where previous - v > 500000000),
-  ctx as (select j.file, j.idx spot, e.kind, e.idx, e.chip, e.v, row_number() over (partition by j.file, j.idx, e.kind order by e.idx desc) r from j join ev e on e.file = j.file and e.idx < j.idx),
+@query(f"""with {WORDS}, nx as (select file, idx, chip, kind, v, lag(v) over (partition by file, kind order by idx) previous from wd where kind in ('tdc', 'hit')),
+  j as (select * from nx where previous - v > 500000000),
+  ctx as (select j.file, j.idx spot, e.kind, e.idx, e.chip, e.v, row_number() over (partition by j.file, j.idx, e.kind order by e.idx desc) r from j join nx e on e.file = j.file and e.idx < j.idx),
   t as (select file, spot, string_agg(idx || ':' || chip || ':' || v, ' ' order by idx) filter (kind = 'tdc' and r <= 5) tdcs, string_agg(idx || ':' || chip || ':' || v, ' ' order by idx) filter (kind = 'hit' and r <= 10) hits from ctx group by all)
   select j.file, j.idx packet_idx, cast(chip as integer) chip_id, j.kind, previous, v "timestamp", coalesce(tdcs, '') tdcs, coalesce(hits, '') hits from j left join t on t.file = j.file and t.spot = j.idx""")
 def rollover_diag(spark, sf):
