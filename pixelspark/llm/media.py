@@ -41,7 +41,7 @@ from pixelspark.llm.common import dealt_anew, discard, holding, mixed, written
 from pixelspark.llm.near_duplicates import components
 
 AREA, RADIUS, TURNS, BITS = 256, 7, 32, 128
-RUN, PIVOTS, NODE, MIN_VOTES, MIN_SHARE, BIN, CHECK, CHECK_OFF = 24, 3, 4096, 5, 0.2, 12, 22, 6
+RUN, PIVOTS, NODE, PART, MIN_VOTES, MIN_SHARE, BIN, CHECK, CHECK_OFF = 24, 3, 4096, 256, 5, 0.2, 12, 22, 6
 X_AT, Y_AT, SIDE = 8, 36, (1 << 27) - 1  # of a place: turn and octave below
 FLAT, MAX_FLAT = 1.0, 0.25
 
@@ -468,8 +468,8 @@ def candidates(short: DataFrame, long: DataFrame, classes: DataFrame, comps: Dat
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a written table that link, by all matches of their whole descriptors; b's are sent once for every NODE pairs of it."""
-    hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / NODE).alias("parts")).where("parts > 1"), "hot")  # a NODE-th of the pairs at most
+    """The pairs (a, b) of a written table that link, by all matches of their whole descriptors; b's are sent once for every PART pairs of it."""
+    hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"), "hot")  # a PART-th of the pairs at most
     dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     body = classes.select("cls", "places", "words")
     heads = dealt.select("b", "part").distinct().join(body, F.col("b") == F.col("cls")).select("b", "part", F.lit(None).cast("long").alias("a"), "places", "words")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.llm.common import _GOLD, blanks, dealt_anew, discard, fresh, holding, mixed, span_hashes, text_slices, written
 
-WORDS, RARE, BITS, NODE, SEEN = 5, 64, 2048, 4096, 1 << 20
+WORDS, RARE, BITS, NODE, PART, SEEN = 5, 64, 2048, 4096, 256, 1 << 20
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -284,7 +284,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. b's set is sent once for every NODE pairs of it, a's with each pair."""
+    """The pairs (a, b) that link. b's set is sent once for every PART pairs of it, a's with each pair."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -302,8 +302,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     pairs = pairs if hasattr(pairs, "_scratch") else written(pairs, "candidates")
-    # only pivots with more than NODE pairs are split, so this table has at most a NODE-th as many rows as there are pairs
-    hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / NODE).alias("parts")).where("parts > 1"), "hot")
+    # only pivots with more than PART pairs are split, so this table has at most a PART-th as many rows as there are pairs
+    hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"), "hot")
     part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = pairs.join(hot, "b", "left").select("a", "b", part.alias("part"))
     heads = dealt.select("b", "part").distinct().join(sets, F.col("b") == F.col("id")).select("b", "part", F.lit(None).cast("long").alias("a"), "s")

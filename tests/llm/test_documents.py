@@ -339,6 +339,7 @@ def test_texts_under_one_id_are_told_apart(spark):
 def test_frequent_shingles_and_pivots_are_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "RARE", 4)
     monkeypatch.setattr(near_duplicates, "NODE", 8)
+    monkeypatch.setattr(near_duplicates, "PART", 8)
     monkeypatch.setattr(near_duplicates, "SEEN", 5)
     rng = random.Random(12)
     base = [f"b{k}" for k in range(60)]
