@@ -223,7 +223,7 @@ def _described(images: DataFrame, read) -> DataFrame:
 
 def keys_of(words: np.ndarray) -> np.ndarray:
     """Per corner and table, from four words: the table, the word and, in the lowest CHECK bits, bits of the other words."""
-    w = words.reshape(-1, 4).astype(np.int64)
+    w = words.view(np.uint32).reshape(-1, 4).astype(np.int64)
     other = lambda t, k, mask: w[:, (t + k) % 4] & mask
     return np.stack([(t << 32 | w[:, t]) << CHECK | other(t, 1, 0xFF) << 14 | other(t, 2, 0x7F) << 7 | other(t, 3, 0x7F) for t in range(4)], axis=1)
 
@@ -260,25 +260,40 @@ def consensus(pair: np.ndarray, p: np.ndarray, q: np.ndarray, n_pairs: int) -> n
     return best
 
 
-def full_matches(keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two images' corners that match in some table."""
-    found = [np.empty((0, 2), np.int64)]
-    for t in range(4):
-        order = np.argsort(others[:, t], kind="stable")
-        sorted_words, words = others[order, t] >> CHECK, keys[:, t] >> CHECK
-        low, high = np.searchsorted(sorted_words, words), np.searchsorted(sorted_words, words, "right")
-        at = 0
-        while at < len(words):  # as many corners at a time as have a bounded number of partners
-            total = np.cumsum(high[at:] - low[at:])
-            end = at + max(1, int(np.searchsorted(total, 1 << 20, "right")))
+class Head:
+    """One image's descriptors, to be matched with those of many others at once."""
+
+    STEP = 1 << 20  # corner pairs looked at at once
+
+    def __init__(self, places: np.ndarray, words: np.ndarray):
+        keys = keys_of(words)
+        self.places, self.n = places, len(keys)
+        flat = keys.reshape(-1)
+        self.order = np.argsort(flat >> CHECK, kind="stable")
+        self.keys = flat[self.order]
+        self.words = self.keys >> CHECK  # a word has its table's number in it
+
+    def matches(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(corner, own corner): pairs that match in some table, each once, of corners given by the keys of their four words."""
+        flat = keys.reshape(-1)
+        low, high = (np.searchsorted(self.words, flat >> CHECK, side) for side in ("left", "right"))
+        total = np.cumsum(high - low)
+        found, at = [np.empty(0, np.int64)], 0
+        while at < len(flat):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + self.STEP, "right")))
             count = high[at:end] - low[at:end]
             i = np.repeat(np.arange(at, end), count)
-            j = order[np.repeat(low[at:end], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]
-            good = alike(keys[i, t], others[j, t])
-            found.append(np.column_stack([i[good], j[good]]))
+            j = np.repeat(low[at:end], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            good = alike(flat[i], self.keys[j])
+            found.append((i[good] // 4) * self.n + self.order[j[good]] // 4)
             at = end
-    both = np.unique(np.concatenate(found), axis=0)
-    return both[:, 0], both[:, 1]
+        both = np.unique(np.concatenate(found))
+        return both // max(1, self.n), both % max(1, self.n)
+
+    def votes(self, places: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The votes of each of many images, whose corners stand one after another (sizes: how many each has)."""
+        i, j = self.matches(keys_of(words))
+        return consensus(np.repeat(np.arange(len(sizes)), sizes)[i], places[i], self.places[j], len(sizes))
 
 
 def matches(classes: DataFrame) -> DataFrame:
@@ -293,7 +308,7 @@ def matches(classes: DataFrame) -> DataFrame:
 
         for batch in batches:
             n = batch.column("n").to_numpy()
-            keys = keys_of(batch.column("words").flatten().to_numpy().view(np.uint32)).T.reshape(-1)
+            keys = keys_of(batch.column("words").flatten().to_numpy()).T.reshape(-1)
             cls = np.tile(np.repeat(batch.column("cls").to_numpy(), n), 4)
             place = np.tile(batch.column("places").flatten().to_numpy(), 4)
             order = np.argsort(keys, kind="stable")
@@ -480,20 +495,27 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
         head, own = None, None
         for batch in batches:
+            one, two = (batch.column(c).to_pylist() for c in ("a", "b"))
             a, b = [], []
-            for k, (one, two) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                places = batch.column("places")[k].values.to_numpy()
-                keys = keys_of(batch.column("words")[k].values.to_numpy().view(np.uint32))
-                if one is None:
-                    head, own = two, (places.copy(), keys)
-                    continue
-                if two != head:
+            at = 0
+            while at < len(one):
+                if one[at] is None:
+                    head, own = two[at], Head(*(batch.column(c)[at].values.to_numpy() for c in ("places", "words")))
+                    at += 1
                     continue
-                i, j = full_matches(keys, own[1])
-                votes = consensus(np.zeros(len(i), np.int64), places[i], own[0][j], 1)[0]
-                if votes >= max(MIN_VOTES, MIN_SHARE * min(len(places), len(own[0]))):
-                    a.append(one)
-                    b.append(two)
+                end = at + 1  # the next ones of the same head, up to a bounded number of corners
+                corners = len(batch.column("places")[at].values)
+                while end < len(one) and one[end] is not None and two[end] == two[at] and corners < Head.STEP >> 4:
+                    corners += len(batch.column("places")[end].values)
+                    end += 1
+                if two[at] == head:
+                    places, words = (batch.column(c).slice(at, end - at) for c in ("places", "words"))
+                    sizes = places.value_lengths().to_numpy()
+                    votes = own.votes(places.flatten().to_numpy(), words.flatten().to_numpy(), sizes)
+                    good = votes >= np.maximum(MIN_VOTES, MIN_SHARE * np.minimum(sizes, own.n))
+                    a += [one[at + k] for k in np.flatnonzero(good).tolist()]
+                    b += [head] * int(good.sum())
+                at = end
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())

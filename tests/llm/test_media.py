@@ -134,7 +134,7 @@ def test_links_against_comparing_all_descriptors(table, monkeypatch):
             if best >= least:
                 wanted.add((a, b))
             keys = [media.keys_of(rows[c][1]) for c in (a, b)]
-            i, j = media.full_matches(*keys)
+            i, j = media.Head(rows[b][0], rows[b][1]).matches(keys[0])
             assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(x, y) for t in range(4) for x, y in zip(*np.nonzero((keys[0][:, None, t] >> media.CHECK == keys[1][None, :, t] >> media.CHECK) & media.alike(keys[0][:, None, t], keys[1][None, :, t])), strict=True)}
             if media.consensus(np.zeros(len(i), np.int64), rows[a][0][i], rows[b][0][j], 1)[0] >= least:
                 exact.add((a, b))
@@ -142,6 +142,18 @@ def test_links_against_comparing_all_descriptors(table, monkeypatch):
     assert found == exact
 
 
+def test_many_images_against_one_at_once(table, monkeypatch):
+    classes = described(table[0]).collect()
+    one, rest = classes[0], classes[1:20]
+    head = media.Head(np.array(one.places), np.array(one.words, np.int32))
+    sizes = np.array([r.n for r in rest])
+    places, words = np.concatenate([r.places for r in rest]), np.concatenate([np.array(r.words, np.int32) for r in rest])
+    want = [int(head.votes(np.array(r.places), np.array(r.words, np.int32), np.array([r.n]))[0]) for r in rest]
+    for step in (1, 100, 1 << 20):
+        monkeypatch.setattr(media.Head, "STEP", step)
+        assert head.votes(places, words, sizes).tolist() == want
+
+
 def test_votes_against_counting(monkeypatch):
     rng = np.random.default_rng(6)
     place = lambda n: rng.integers(0, 40, n) << media.Y_AT | rng.integers(0, 40, n) << media.X_AT | rng.integers(0, 3, n) << 3 | rng.integers(0, 2, n)
