@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,3 +147,31 @@ def with_metadata(df: DataFrame, values: dict) -> DataFrame:
 
 def metadata_of(df: DataFrame) -> dict:
     return json.loads(df.schema.fields[0].metadata.get(SETTINGS, "{}"))
+
+
+class Job:
+    """Work that can be watched and stopped: `with Job(spark, "name") as job: ...`; another thread asks progress() or calls cancel()."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.context, self.name, self.group = spark.sparkContext, name, f"pixelspark-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Job:
+        self.context.setJobGroup(self.group, self.name, interruptOnCancel=True)
+        return self
+
+    def __exit__(self, *failed) -> None:
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            self.context.setLocalProperty(key, None)
+
+    def cancel(self) -> None:
+        self.context.cancelJobGroup(self.group)
+
+    def progress(self) -> tuple[int, int]:
+        """(tasks done, tasks) of the stages that are known so far."""
+        tracker, done, total = self.context.statusTracker(), 0, 0
+        for number in tracker.getJobIdsForGroup(self.group):
+            job = tracker.getJobInfo(number)
+            for stage in job.stageIds if job else ():
+                if info := tracker.getStageInfo(stage):
+                    done, total = done + info.numCompletedTasks, total + info.numTasks
+        return done, total

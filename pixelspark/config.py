@@ -192,6 +192,21 @@ class OutOfCoreConfig:
         if self.queue_depth is not None and self.queue_depth < 1:
             raise ConfigError("queue_depth must be at least 1")
 
+    def with_memory_fraction(self, fraction: float) -> OutOfCoreConfig:
+        return replace(self, memory_fraction=fraction)
+
+    def with_memory_budget_bytes(self, size: int) -> OutOfCoreConfig:
+        return replace(self, memory_budget_bytes=size)
+
+    def with_parallelism(self, n: int) -> OutOfCoreConfig:
+        return replace(self, parallelism=n)
+
+    def with_queue_depth(self, n: int) -> OutOfCoreConfig:
+        return replace(self, queue_depth=n)
+
+    def with_async_io(self, on: bool) -> OutOfCoreConfig:
+        return replace(self, async_io=on)
+
     @property
     def budget_bytes(self) -> int:
         if self.memory_budget_bytes is not None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.config import U32, AlgorithmParams, ClusteringConfig, ClusteringError, algorithm
 from pixelspark.operators.extraction import prune_small
-from pixelspark.plans.checkpoints import tabled
+from pixelspark.plans.checkpoints import dropped, tabled
 
 PULSE = ("file", "ext_tdc")
 
@@ -246,14 +246,18 @@ def components_sql(hits: DataFrame, radius: float, window: int, keys: tuple[str,
     """
     edges = neighbours(hits, radius, window, keys, order)
     both = tabled(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = hits.select(*keys, F.col(order).alias("a"), F.col(order).alias("l"))
+    labels, before = hits.select(*keys, F.col(order).alias("a"), F.col(order).alias("l")), None
     for _ in range(rounds):
         heard = both.join(labels.withColumnsRenamed({"a": "b", "l": "m"}), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("m").alias("m"))
         moved = labels.join(heard, [*keys, "a"], "left").withColumn("n", F.least("l", F.coalesce("m", "l")))
         jump = moved.select(*keys, F.col("a").alias("n"), F.col("n").alias("j"))
         new = tabled(moved.join(jump, [*keys, "n"]).select(*keys, "a", F.least("n", "j").alias("n"), "l"))
         labels = new.select(*keys, "a", F.col("n").alias("l"))
+        if before is not None:
+            dropped(before)
+        before = new
         if new.where("n <> l").isEmpty():
+            dropped(both)
             return labels.select(*keys, F.col("a").alias(order), F.col("l").alias("cluster"))
     raise ClusteringError(f"not settled after {rounds} rounds")
 

@@ -78,6 +78,10 @@ def crosses_itself(points: list[tuple[float, float]]) -> bool:
     return False
 
 
+#: Fixed value: the distance from 1 to the next double.
+EPSILON = 2.0**-52
+
+
 @dataclass(frozen=True)
 class Roi:
     """A rectangle (two corners) or a polygon, in display coordinates."""
@@ -125,6 +129,28 @@ class Roi:
         dx, dy = max(-x1, min(dx, width - x2)), max(-y1, min(dy, height - y2))
         return replace(self, vertices=tuple((x + dx, y + dy) for x, y in self.vertices))
 
+    def resized(self, dx: float, dy: float, edges: str, least: float, low: float, high: float) -> Roi:
+        """A rectangle with some of its edges (of "left", "right", "bottom", "top", as words) moved, no smaller than `least` and
+        brought within low and high."""
+        (x1, y1), (x2, y2) = self.vertices
+        moved = set(edges.split())
+        x1 = min(x1 + dx, x2 - least) if "left" in moved else x1
+        x2 = max(x2 + dx, x1 + least) if "right" in moved else x2
+        y1 = min(y1 + dy, y2 - least) if "bottom" in moved else y1
+        y2 = max(y2 + dy, y1 + least) if "top" in moved else y2
+        return replace(self, vertices=tuple((max(low, min(high, x)), max(low, min(high, y))) for x, y in ((x1, y1), (x2, y2))))
+
+    def renamed(self, name: str) -> Roi:
+        """A blank name leaves the old one."""
+        return replace(self, name=name.strip() or self.name)
+
+    def shown(self, visible: bool) -> Roi:
+        return replace(self, visible=visible)
+
+    def shape(self) -> tuple:
+        """What a spectrum over the region depends on."""
+        return "rectangle" if self.is_rectangle else "polygon", self.vertices
+
     def with_vertex(self, k: int, point: tuple[float, float]) -> Roi:
         v = list(self.vertices)
         v[k] = point
@@ -151,12 +177,13 @@ class Roi:
         return in_polygon(x, y, self.vertices)
 
 
-def in_polygon(x: Column, y: Column, vertices: tuple[tuple[float, float], ...]) -> Column:
+def in_polygon(x: Column, y: Column, vertices: tuple[tuple[float, float], ...], nudge: float = 0.0) -> Column:
+    """Even-odd. nudge: added to each edge's height, as picking by hand does (EPSILON); 0 for counting."""
     inside = F.lit(False)
     for (xi, yi), (xj, yj) in zip(vertices, vertices[-1:] + vertices[:-1], strict=True):
         if yi == yj:
             continue  # a level edge is never crossed
-        hit = ((F.lit(yi) > y) != (F.lit(yj) > y)) & (x < (xj - xi) * (y - yi) / (yj - yi) + xi)
+        hit = ((F.lit(yi) > y) != (F.lit(yj) > y)) & (x < (xj - xi) * (y - yi) / (yj - yi + nudge) + xi)
         inside = inside != hit
     return inside
 
@@ -211,3 +238,37 @@ def topmost(rois: list[Roi], x: Column, y: Column) -> Column:
         if r.visible:
             found = F.when(r.contains(x, y), r.roi_id).otherwise(found)
     return found
+
+
+def picked(rois: list[Roi], x: float, y: float) -> int | None:
+    """topmost() for one point of the display, with the nudge of picking by hand."""
+
+    def inside(r: Roi) -> bool:
+        if r.is_rectangle:
+            (x1, y1), (x2, y2) = r.vertices
+            return x1 <= x <= x2 and y1 <= y <= y2
+        found = False
+        for (xi, yi), (xj, yj) in zip(r.vertices, r.vertices[-1:] + r.vertices[:-1], strict=True):
+            found ^= ((yi > y) != (yj > y)) and x < (xj - xi) * (y - yi) / (yj - yi + EPSILON) + xi
+        return found
+
+    return next((r.roi_id for r in reversed(rois) if r.visible and inside(r)), None)
+
+
+@dataclass(frozen=True)
+class Regions:
+    """Regions in drawing order. Numbers are not given twice."""
+
+    rois: tuple[Roi, ...] = ()
+    next_id: int = 1
+
+    def added(self, make) -> Regions:
+        """make(number) -> a region, or None for one that is too small."""
+        roi = make(self.next_id)
+        return self if roi is None else Regions((*self.rois, roi), self.next_id + 1)
+
+    def changed(self, roi_id: int, change) -> Regions:
+        return replace(self, rois=tuple(change(r) if r.roi_id == roi_id else r for r in self.rois))
+
+    def without(self, roi_id: int) -> Regions:
+        return replace(self, rois=tuple(r for r in self.rois if r.roi_id != roi_id))

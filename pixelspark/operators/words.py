@@ -8,6 +8,7 @@ the blocks again with the state that holds at their start.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,12 +44,21 @@ class Block:
         self.tdc = ~self.header & ((raw >> 56 & 0xFF) == TDC_BYTE)
         self.hit = ~self.header & ((raw >> 60 & 0xF) == HIT_NIBBLE)
         self.at = np.flatnonzero(self.header)
-        chips = np.append(chip0, raw[self.at] >> 32 & 0xFF).astype(np.int32)
-        sections = np.append(section0, idx[self.at])
-        span = np.diff(np.concatenate([[0], self.at, [len(raw)]]))
-        self.chip, self.section = np.repeat(chips, span), np.repeat(sections, span)
-        self.chips = sorted(set(chips[span > 0].tolist()))
-        self.last_chip, self.last_header = int(chips[-1]), int(sections[-1])
+        self.chips_at = np.append(chip0, raw[self.at] >> 32 & 0xFF).astype(np.int32)  # before the first header, and from each one on
+        self._sections = np.append(section0, idx[self.at])
+        self._span = np.diff(np.concatenate([[0], self.at, [len(raw)]]))
+        self.chips = sorted(set(self.chips_at[self._span > 0].tolist()))
+        self.last_chip, self.last_header = int(self.chips_at[-1]), int(self._sections[-1])
+
+    @functools.cached_property
+    def chip(self) -> np.ndarray:
+        """Of each word."""
+        return np.repeat(self.chips_at, self._span)
+
+    @functools.cached_property
+    def section(self) -> np.ndarray:
+        """The packet_idx of each word's header."""
+        return np.repeat(self._sections, self._span)
 
     def marks(self, chip: int) -> np.ndarray:
         return np.flatnonzero(self.tdc & (self.chip == chip))
@@ -208,31 +218,45 @@ def markers(b: Block, state: State) -> dict[str, np.ndarray]:
 def hits(b: Block, state: State, period: int, late_hits: bool = True) -> dict[str, np.ndarray]:
     """A row per hit that has a pulse: its time, time of flight and the extended marker it belongs to.
 
-    A hit that lies before its chip's current marker belongs to the previous pulse, if there is one.
+    A hit that lies before its chip's current marker belongs to the previous pulse, if there is one. Between one header or
+    marker and the next the chip and its markers stay the same, so they are worked out once per such stretch.
     """
-    out = []
-    for chip in b.chips:
-        if chip == NO_CHIP:
+    cut = np.flatnonzero(b.header | b.tdc)
+    start = np.append(0, cut)
+    chip = np.append(b.chips_at[0], b.chips_at[np.searchsorted(b.at, cut, "right")])
+    is_mark = np.append(False, b.tdc[cut])
+    now_tdc, now_ext, before_tdc, before_ext = (np.zeros(len(start), np.int64) for _ in range(4))
+    known, had = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    for c in np.unique(chip).tolist():
+        if c == NO_CHIP:
             continue
-        h, m, p = b.hits(chip), b.marks(chip), state.pulses.get(chip, Pulse())
-        known = [p.prev_tdc is not None, p.tdc is not None]
-        t = np.concatenate([[p.prev_tdc or 0, p.tdc or 0], b.tdc_time(m)]).astype(np.int64)
-        turned = t[2:] < t[1:-1]
-        if len(turned) and not known[1]:
-            turned[0] = False
-        epoch = np.concatenate([[p.prev_epoch, p.epoch], p.epoch + np.cumsum(turned)]).astype(np.int64)
-        own = np.searchsorted(m, h) + 1
-        valid = np.append(known, np.ones(len(m), bool)).astype(bool)
-        h, own = h[valid[own]], own[valid[own]]
-        if not len(h):
-            continue
-        time = b.hit_time(h)
-        now = corrected(time, t[own])
-        late = (now < t[own]) & valid[own - 1] if late_hits else np.zeros(len(h), bool)
-        own = own - late
-        time = np.where(late, corrected(time, t[own]), now)
-        out.append({"chip_id": np.full(len(h), chip, np.int32), "packet_idx": b.idx[h], "raw": b.raw[h], "ext_tdc": epoch[own] << 30 | t[own], "timestamp": time, "tof": flight(time, t[own], period), "late": late})
-    return {k: np.concatenate([o[k] for o in out]) for k in out[0]} if out else {}
+        own, p = np.flatnonzero(chip == c), state.pulses.get(c, Pulse())
+        m = own[is_mark[own]]
+        t = np.append([p.prev_tdc or 0, p.tdc or 0], b.tdc_time(start[m])).astype(np.int64)
+        valid = np.append([p.prev_tdc is not None, p.tdc is not None], np.ones(len(m), bool)).astype(bool)
+        turned = (t[2:] < t[1:-1]) & valid[1:-1]
+        ext = np.append([p.prev_epoch, p.epoch], p.epoch + np.cumsum(turned)).astype(np.int64) << 30 | t
+        k = np.cumsum(is_mark[own])
+        now_tdc[own], now_ext[own], known[own] = t[k + 1], ext[k + 1], valid[k + 1]
+        before_tdc[own], before_ext[own], had[own] = t[k], ext[k], valid[k]
+    h = np.flatnonzero(b.hit)
+    count = np.diff(np.append(np.searchsorted(h, start), len(h)))
+    if not known.all():
+        h = h[np.repeat(known, count)]
+        count = np.where(known, count, 0)
+    if not len(h):
+        return {}
+    raw, tdc = b.raw[h], np.repeat(now_tdc, count)
+    seen = (raw & 0xFFFF) << 14 | (raw >> 30 & 0x3FFF)
+    time, ext = corrected(seen, tdc), np.repeat(now_ext, count)
+    late = time < tdc
+    late &= np.repeat(had, count) if late_hits else False
+    at = np.flatnonzero(late)
+    if len(at):
+        stretch = np.searchsorted(np.cumsum(count), at, "right")
+        tdc[at], ext[at] = before_tdc[stretch], before_ext[stretch]
+        time[at] = corrected(seen[at], tdc[at])
+    return {"chip_id": np.repeat(chip.astype(np.int32), count), "packet_idx": b.idx[h], "raw": raw, "ext_tdc": ext, "timestamp": time, "tof": flight(time, tdc, period), "late": late}
 
 
 def jumps(b: Block, state: State, jump: int) -> list[dict]:

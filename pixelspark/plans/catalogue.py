@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelspark.config import ClusteringConfig, DetectorConfig, ExtractionConfig
+from pixelspark.config import ClusteringConfig, DataError, DetectorConfig, ExtractionConfig
 from pixelspark.functions import bits, energy
 from pixelspark.operators import clustering, cube, extraction, ordering, roi
 from pixelspark.plans import tables
+from pixelspark.plans.checkpoints import new_folder
 from pixelspark.plans.tables import HITS_SQL, PACKETS_SQL, PERIOD
-from pixelspark.sources import sinks
+from pixelspark.sources import export, sinks, tpx3
 from pixelspark.streaming import pulses as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,6 +241,33 @@ def direct_decode(spark, sf):
     return _assigned(spark, sf, False).select("file", "packet_idx", "ext_tdc", "tof")
 
 
+#: The words numbered as they stand in files.
+NUMBERED_SQL = PACKETS_SQL.replace("packets as (", "unnumbered as (") + ", packets as (select file, row_number() over (partition by file order by packet_idx) - 1 packet_idx, raw from unnumbered)"
+
+
+def _files(spark, sf) -> str:
+    folder = new_folder(spark, "packets")
+    tpx3.write_files(tables.packets(spark, sf), folder).collect()  # a row per file
+    return folder
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """Files by their names."""
+    return df.withColumn("file", F.regexp_extract("file", "([^/]*)[.]tpx3$", 1))
+
+
+@query(f"with {NUMBERED_SQL} select file, packet_idx, raw from packets")
+def packet_files(spark, sf):
+    """Packets to files and back through the data source, in small ranges."""
+    return _named(tpx3.read_packets(spark, _files(spark, sf), split_mb=0.01))
+
+
+@query(f"with {ASSIGNED.replace(PACKETS_SQL, NUMBERED_SQL)} select file, ext ext_tdc, idx packet_idx, ts \"timestamp\", tof, cast(chip as integer) chip_id, cast((raw >> 20) & 1023 as integer) tot from asg")
+def file_hits(spark, sf):
+    """Files to hits, read in place."""
+    return _named(ordering.read_files(spark, _files(spark, sf))).select("file", "ext_tdc", "packet_idx", "timestamp", "tof", "chip_id", "tot")
+
+
 # --- clustering ---------------------------------------------------------------------------------------------------
 
 
@@ -297,6 +325,19 @@ def dbscan_noise(spark, sf):
     return _clustered(spark, sf, "dbscan").where("cluster_id < 0").select("file", "ext_tdc", "packet_idx")
 
 
+@query(f"""with recursive {HITS_SQL}, {EDGES}, sym as (select file, ext_tdc, a, b from edges union all select file, ext_tdc, b, a from edges), core as (select file, ext_tdc, a from sym group by all having count(*) >= 2),
+  rk as (select file, ext_tdc, packet_idx, row_number() over (partition by file, ext_tdc order by tof, chip_id, packet_idx) rn from hits),
+  ce as (select e.* from sym e join core p on p.file = e.file and p.ext_tdc = e.ext_tdc and p.a = e.a join core q on q.file = e.file and q.ext_tdc = e.ext_tdc and q.a = e.b),
+  r(file, ext_tdc, a, b) as (select file, ext_tdc, a, a from core union select r.file, r.ext_tdc, r.a, ce.b from r join ce on ce.file = r.file and ce.ext_tdc = r.ext_tdc and ce.a = r.b),
+  lab as (select r.file, r.ext_tdc, a, min(rn) l from r join rk on rk.file = r.file and rk.ext_tdc = r.ext_tdc and rk.packet_idx = r.b group by all),
+  own as (select file, ext_tdc, a packet_idx, l from lab union all
+    select e.file, e.ext_tdc, e.b, min(l) from sym e join lab on lab.file = e.file and lab.ext_tdc = e.ext_tdc and lab.a = e.a where not exists (select 1 from core c where c.file = e.file and c.ext_tdc = e.ext_tdc and c.a = e.b) group by all)
+  select file, ext_tdc, packet_idx, case when l is null then -1 else min(packet_idx) over (partition by file, ext_tdc, l) end cluster from hits left join own using (file, ext_tdc, packet_idx)""")
+def dbscan_clusters(spark, sf):
+    """Whole clusters, with each border hit in the cluster of the first core hit."""
+    return _least(_clustered(spark, sf, "dbscan"))
+
+
 @query()
 def abs_clusters(spark, sf):
     """Greedy buckets (order dependent, tests hold it against a direct simulation)."""
@@ -637,3 +678,92 @@ def pulse_batches(spark, sf):
     from pixelspark import api
 
     return api.pulse_rows(_hits(spark, sf)).select("file", "ext_tdc", "n")
+
+
+def _neutrons(spark, sf) -> DataFrame:
+    return _rounded(extraction.extract_neutrons(_labelled(spark, sf)))
+
+
+NEUTRONS_BACK = f"with neu as ({_centroid_sql(True)}) select x, y, tof, tot::bigint tot, n_hits::bigint n_hits, chip_id::bigint chip_id from neu"
+
+
+def _as_read(df: DataFrame) -> DataFrame:
+    return df.select("x", "y", *(F.col(c).cast("long").alias(c) for c in ("tof", "tot", "n_hits", "chip_id")))
+
+
+@query(NEUTRONS_BACK)
+def neutrons_csv(spark, sf):
+    """K1, K2: neutrons to one CSV file and back."""
+    path = new_folder(spark, "csv") + "/n.csv"
+    sinks.neutrons_csv(_neutrons(spark, sf), path, one_file=True)
+    return _as_read(spark.read.schema("x double, y double, tof long, tot long, n_hits long, chip_id long").csv(path, header=True))
+
+
+@query(NEUTRONS_BACK)
+def neutrons_file(spark, sf):
+    """Neutrons to one file of records, in pulse order, and back."""
+    path = new_folder(spark, "records") + "/n.bin"
+    sinks.neutrons_binary(_neutrons(spark, sf), path)
+    return sinks.from_records(spark.read.format("binaryFile").load(path).select(F.col("content").alias("bytes")))
+
+
+@query(NEUTRONS_BACK)
+def neutrons_parquet(spark, sf):
+    """K4, K24."""
+    path = new_folder(spark, "parquet") + "/n.parquet"
+    sinks.write_neutrons(_neutrons(spark, sf), path)
+    return _as_read(spark.read.parquet(path))
+
+
+@query(f"""with {HITS_SQL}, g as (select file, ext_tdc, count(*) n from hits group by all), i as (select file, ext_tdc, ext_tdc * 25 event_time_zero, coalesce(sum(n) over (partition by file order by ext_tdc rows between unbounded preceding and 1 preceding), 0)::bigint event_index from g)
+  select file, ext_tdc, cast(y * 64 + x as integer) event_id, tof * 25 event_time_offset, tot * 25 time_over_threshold, event_time_zero, event_index from hits join i using (file, ext_tdc)""")
+def event_layout(spark, sf):
+    """Events and pulses written, and read and joined."""
+    path = new_folder(spark, "events") + "/e"
+    sinks.write_events(sinks.event_columns(sinks.hit_event_ids(_hits(spark, sf), SIDE, SIDE), ("time_over_threshold",)), path)
+    events, pulses, _ = sinks.read_events(spark, path)
+    return events.join(pulses, ["file", "ext_tdc"])
+
+
+@query(f"with neu as ({_centroid_sql(True)}) select cast(round(y / 8)::bigint * 64 + round(x / 8)::bigint as integer) event_id, tof * 25 event_time_offset, tot::bigint * 25 time_over_threshold, n_hits from neu")
+def combined_export(spark, sf):
+    """A combined export, checked, and its neutrons."""
+    path = new_folder(spark, "export") + "/e"
+    options = export.ExportOptions(True, True, chip_id=False, n_hits=True, super_resolution=8.0)
+    _, warnings = export.export(spark, export.ExportData(_hits(spark, sf), _neutrons(spark, sf), size=(SIDE, SIDE)), path, options)
+    if warnings:
+        raise DataError("; ".join(warnings))
+    return spark.read.parquet(f"{path}/neutrons/events").select("event_id", "event_time_offset", "time_over_threshold", "n_hits")
+
+
+@query(f"with {HITS_SQL}, {CUBE} select tof_bin, y, x, (2 * n)::bigint \"count\" from cube")
+def histogram_layout(spark, sf):
+    """A histogram written, added to, and read."""
+    path, c = new_folder(spark, "histogram") + "/h", _cube(spark, sf)
+    sinks.write_histogram(c, path, sinks.histogram_axes(BINS, SIDE, SIDE, 100.0))
+    sinks.add_to_histogram(c, path)
+    return sinks.read_histogram(spark, path)[0]
+
+
+@query(f"with {HITS_SQL}, {CUBE}, {MASKS} select x, y, c \"count\", dead, hot from mask")
+def mask_layout(spark, sf):
+    """Masks written, checked against the detector's size, and read."""
+    path = new_folder(spark, "masks") + "/m"
+    sinks.write_masks(cube.pixel_masks(cube.projection(_cube(spark, sf)), SIDE, SIDE, 2.0), path, {"sigma": 2.0})
+    return sinks.read_masks(spark, path, (SIDE, SIDE))[0]
+
+
+@query(f"with {HITS_SQL}, g as (select file, ext_tdc, count(*) n from hits group by all) select file, ext_tdc, coalesce(sum(n) over (partition by file order by ext_tdc rows between unbounded preceding and 1 preceding), 0)::bigint event_index from g")
+def event_sink(spark, sf):
+    """K7: events that come in two batches, one of them twice."""
+    sink = export.EventSink(spark, new_folder(spark, "sink") + "/s")
+    events = sinks.event_columns(sinks.hit_event_ids(_hits(spark, sf), SIDE, SIDE), ())
+    for number, part in ((0, 0), (1, 1), (1, 1)):
+        sink.write(events.where(F.col("event_id") % 2 == part), number)
+    return sink.pulses().select("file", "ext_tdc", "event_index")
+
+
+@query(f"with neu as ({_centroid_sql(True)}), b as (select cast(round(x / 8) as integer) x, cast(round(y / 8) as integer) y, tof from neu), c2 as (select cast(least(tof * 50 // 64, 49) as integer) tof_bin, count(*) n from b where x between 0 and 63 and y between 0 and 63 group by all) select cast(k as integer) tof_bin, coalesce(n, 0)::bigint \"count\" from range(50) t(k) left join c2 on tof_bin = k")
+def rebin_neutrons(spark, sf):
+    """Neutrons over other bins."""
+    return cube.spectrum(cube.neutron_cube(_neutrons(spark, sf), TOF_MAX, 50, SIDE, SIDE, 8.0), 50)

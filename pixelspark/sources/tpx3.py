@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from pixelspark.config import DataError
-from pixelspark.sources.files import chunks, listed
+from pixelspark.sources.files import chunks, listed, opened
 
 SCHEMA, RANGES = "file string, packet_idx long, raw long", "file string, first long, count long"
 WORD, ROWS = 8, 1 << 18
@@ -172,6 +172,36 @@ def stream_packets(spark: SparkSession, path: str, max_files: int = 16) -> DataF
     return spark.readStream.format("tpx3").option("max_files", str(max_files)).load(path)
 
 
+def write_files(packets: DataFrame, folder: str) -> DataFrame:
+    """Each file of a table of packets to a file of its name in a folder, in packet order; (path, n) of each. A task writes a file."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        path, out, n = None, None, 0
+
+        def closed() -> Iterator:
+            if out is not None:
+                out.close()
+                yield pa.RecordBatch.from_pydict({"path": [path], "n": [n]})
+
+        for batch in batches:
+            names, raw = batch.column("file").to_pylist(), batch.column("raw").to_numpy().astype("<i8")
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                to = f"{folder}/{names[a]}.tpx3"
+                if to != path:
+                    yield from closed()
+                    system, inner, _ = opened(to)
+                    path, out, n = to, system.open_output_stream(inner), 0
+                out.write(raw[a:b].tobytes())
+                n += b - a
+        yield from closed()
+
+    dealt = packets.select("file", "packet_idx", "raw").repartition("file").sortWithinPartitions("file", "packet_idx")
+    return dealt.mapInArrow(run, "path string, n long")
+
+
 def write_packets(path: str, words: list[int]) -> None:
     """Unsigned words to one file, for tests and conversions."""
     np.array(words, dtype="<u8").tofile(path)

@@ -34,6 +34,16 @@ def test_edges_and_bends():
     assert sinks.group_attributes({"a": 1, "b": 2}, {"a": 3, "b": None}) == {"a": 3, "b": 2}
 
 
+def test_regions_are_edited():
+    made = roi.Regions().added(lambda n: roi.Roi.rectangle(n, "a", 0, 0, 10, 10)).added(lambda n: roi.Roi.rectangle(n, "b", 0, 0, 0, 5)).added(lambda n: roi.Roi.polygon(n, "c", [(0, 0), (8, 0), (0, 8)]))
+    assert [r.roi_id for r in made.rois] == [1, 2] and made.next_id == 3
+    one = made.changed(1, lambda r: r.resized(5, -20, "right bottom", 2, -4, 12).renamed(" wide ").shown(False)).rois[0]
+    assert (one.vertices, one.name, one.visible) == (((0, -4), (12, 10)), "wide", False) and one.renamed(" ").name == "wide"
+    assert made.rois[0].resized(50, 0, "left", 2, 0, 100).vertices == ((8, 0), (10, 10))
+    assert roi.picked(list(made.rois), 2, 2) == 2 and roi.picked(list(made.rois), 7, 7) == 1 and roi.picked(list(made.without(1).rois), 7, 7) is None
+    assert made.without(2).rois == made.rois[:1] and made.rois[0].shape() != made.rois[1].shape()
+
+
 def streamed(spark, parts, folder, start):
     """What a stream of PACKETS gives that gets `parts` one batch each."""
     for k, part in enumerate(parts):
@@ -135,3 +145,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["bench-out-of-core", path, "--iterations", "1", "--memory-budget-bytes", "1000"]) == 0 and cli.main(["bench-ordering", path, "--iterations", "1"]) == 0
     said = capsys.readouterr().out
     assert all(w in said for w in ("packet_count", "dbscan", "ratio", "M words/s"))
+
+
+def test_jobs_are_watched_and_stopped(spark):
+    import threading
+
+    ended = []
+
+    def work(job):
+        try:
+            with job:
+                spark.range(4, numPartitions=4).mapInPandas(lambda frames: (time.sleep(60) or f for f in frames), "id long").count()
+            ended.append("done")
+        except Exception:
+            ended.append("stopped")
+
+    job = api.Job(spark, "long")
+    thread = threading.Thread(target=work, args=(job,))
+    thread.start()
+    until = time.time() + 30
+    while job.progress()[1] < 4 and time.time() < until:
+        time.sleep(0.2)
+    assert job.progress() == (0, 4)
+    job.cancel()
+    thread.join(30)
+    assert ended == ["stopped"]
+    with api.Job(spark, "short") as short:
+        assert spark.range(10, numPartitions=2).count() == 10
+    assert short.progress()[0] >= 2

@@ -168,3 +168,14 @@ def test_slices_cover_and_overlap(spark):
     got = ordering.slices(hits, 4, 1).groupBy("slice_no").agg(F.min("tof").alias("a"), F.max("tof").alias("b"), F.max("emit_cutoff_tof").alias("c")).orderBy("slice_no").collect()
     assert [(r.a, r.b, r.c) for r in got] == [(0, 4, 3), (4, 8, 7), (8, 9, 9)]
     assert ordering.slices(hits, 4, 1).where("emits").count() == 10
+
+
+def test_generated_files_hold_pulses_of_clusters(spark, tmp_path):
+    from pixelspark.plans import synthetic
+
+    path = str(tmp_path / "g.tpx3")
+    assert synthetic.write(path, 4 * 42 * 3, hits=40) == 4 * 42 * 3
+    hits = ordering.read_files(spark, path)
+    assert hits.select("ext_tdc").distinct().count() == 3 and 0.85 * 480 < hits.count() <= 480
+    found = api.neutrons_from(hits, ClusteringConfig(5.0, 75.0), algorithm="grid").count()
+    assert 60 < found < 200
