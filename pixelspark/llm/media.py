@@ -396,8 +396,15 @@ def pivot_matches(long: DataFrame) -> DataFrame:
     return met.select("cls", "place", F.col("v.cls").alias("c"), F.col("v.place").alias("l")).select(*_pairs("cls", "c", "place", "l"))
 
 
-def voted(found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a, b, votes: pairs of classes (cls, n) whose matches (a, b, p, q) agree on one turn, scale and move."""
+def met_often(found: DataFrame) -> DataFrame:
+    """a, b, m (the matches p, q), np, nq (different corners): the pairs of classes with two matched corners or more."""
+    per_pair = found.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m"))
+    different = lambda c: F.size(F.array_distinct(F.transform("m", lambda x: x[c]))).alias(f"n{c}")
+    return per_pair.where(F.size("m") >= 2).select("a", "b", "m", different("p"), different("q"))
+
+
+def voted(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a, b, votes: the pairs of met_often, of classes (cls, n), whose matches agree on one turn, scale and move."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -408,10 +415,8 @@ def voted(found: DataFrame, sizes: DataFrame) -> DataFrame:
             flat = lists.flatten()
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(consensus(own, flat.field("p").to_numpy(), flat.field("q").to_numpy(), batch.num_rows))], names=["a", "b", "votes"])
 
-    # pairs with fewer matched corners than votes needed leave before anything is worked out for them
-    per_pair = found.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m"))
-    per_pair = per_pair.where(F.size(F.array_distinct(F.transform("m", lambda x: x["p"]))) >= MIN_VOTES)
-    best = per_pair.mapInArrow(run, "a long, b long, votes long").where(F.col("votes") >= MIN_VOTES)
+    enough = pairs.where((F.col("np") >= MIN_VOTES) & (F.col("nq") >= MIN_VOTES)).select("a", "b", "m")
+    best = enough.mapInArrow(run, "a long, b long, votes long").where(F.col("votes") >= MIN_VOTES)
     both = best.join(sizes.withColumnsRenamed({"cls": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"cls": "b", "n": "nb"}), "b")
     return both.where(F.col("votes") >= MIN_SHARE * F.least("na", "nb")).select("a", "b", "votes")
 
@@ -420,7 +425,7 @@ def needed(n: Column) -> Column:
     return F.greatest(F.lit(MIN_VOTES), F.ceil(MIN_SHARE * n).cast("int"))
 
 
-def candidates(short: DataFrame, long: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+def candidates(short: DataFrame, often: DataFrame, long: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     """a, b: the pairs of different components whose matches pass 1 may not have seen enough of (see above)."""
     own = classes.select("cls", "n").join(comps.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"))
     runs = long.join(own, "cls")
@@ -469,13 +474,16 @@ def candidates(short: DataFrame, long: DataFrame, classes: DataFrame, comps: Dat
 
     tiles = left.unionByName(right).repartition("word", "p", "m").sortWithinPartitions("word", "p", "m", "side")
     met = tiles.mapInArrow(meet, "a long, b long")
-    # pairs that short runs gave some matches, which long runs could bring to as many as are needed
+    # pairs that pass 1 saw some matches of, which corners in long runs could bring to as many as are needed
     held = written(corner.groupBy("cls", "n").agg(F.count("*").alias("z")).join(own.select("cls", "comp"), "cls"), "held")
+    strong = held.where(F.col("z") >= MIN_VOTES - 1)  # one match is only enough to them
+    ends = lambda c: strong.select(F.col("cls").alias(c))
+    once = short.join(ends("a"), "a", "left_semi").join(ends("b"), "b", "left_semi").select("a", "b").distinct()
+    seen = often.select("a", "b", "np", "nq").union(once.select("a", "b", F.lit(1), F.lit(1)))
     x, y = (held.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("z").alias(f"z{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
-    seen = short.join(x, "a").join(y, "b").where("ca <> cb")
-    counted = seen.groupBy("a", "b", "na", "nb", "za", "zb").agg(F.size(F.collect_set("p")).alias("np"), F.size(F.collect_set("q")).alias("nq"))
+    seen = seen.join(x, "a").join(y, "b").where("ca <> cb")
     least = needed(F.least("na", "nb"))
-    few = counted.where((F.col("np") + F.col("za") >= least) & (F.col("nq") + F.col("zb") >= least)).select("a", "b")
+    few = seen.where((F.col("np") + F.col("za") >= least) & (F.col("nq") + F.col("zb") >= least)).select("a", "b")
     out = written(met.union(few).distinct(), "candidates")
     for table in (runs, probing, split, held):
         discard(table)
@@ -529,18 +537,19 @@ def linked_components(classes: DataFrame) -> DataFrame:
     found = written(matches(classes), "matches")
     short = found.where("b is not null")
     long = found.where("b is null").select(F.shiftright("q", CHECK).alias("word"), F.col("a").alias("cls"), F.col("p").alias("place"), F.col("q").alias("key"))
-    links = written(voted(short.union(pivot_matches(long)), classes.select("cls", "n")).select("a", "b"), "image-links")
+    often = written(met_often(short.union(pivot_matches(long))), "often")
+    links = written(voted(often, classes.select("cls", "n")).select("a", "b"), "image-links")
     comps = components(links)
     if not long.isEmpty():
-        pairs = candidates(short, long, classes, comps)
+        pairs = candidates(short, often, long, classes, comps)
         more = verified(pairs, classes)
         discard(pairs)
         if not more.isEmpty():
             discard(comps)
             comps = components(links.union(more))
         discard(more)
-    discard(found)
-    discard(links)
+    for table in (found, often, links):
+        discard(table)
     return comps
 
 

@@ -107,7 +107,7 @@ def test_links_against_comparing_all_descriptors(table, monkeypatch):
     """Every descriptor of an image with every one of another, by Hamming distance, and the same vote."""
     monkeypatch.setattr(media, "RUN", 10**6)
     classes = described(table[0])
-    found = {(r.a, r.b) for r in media.voted(media.matches(classes).where("b is not null"), classes.select("cls", "n")).collect()}
+    found = {(r.a, r.b) for r in media.voted(media.met_often(media.matches(classes).where("b is not null")), classes.select("cls", "n")).collect()}
     rows = {r.cls: (np.array(r.places), np.array(r.words, np.int32).view(np.uint32).reshape(-1, 4)) for r in classes.collect()}
 
     def split(p):
