@@ -9,8 +9,9 @@ broadcast. Everything is DataFrame expressions.
 Base labels come from phrases of consecutive words (PHRASES); the method's labels are the templates' names.
 
 Defined results: null and empty text have no words and no labels (empty strings), null first and last word, score 0; a
-null doc_id stays null; repeated rows get equal results, one row each; an empty table gives no rows; other columns
-are ignored.
+null doc_id stays null; repeated rows get equal results, one row each; a very long text is taken whole, its words being one
+array in a row and its word positions rows of their own; a template that stands in a text several times, or ties with another one, is
+named once each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,30 +23,26 @@ from pyspark.sql import functions as F
 
 GRAM, GAP = 4, 3
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The phrases of the contract, by their last word and the words before it.
+#: The phrases of the contract.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: Well-known sentences of public licenses.
+#: Headers, notices and paragraphs of public licenses, as texts hold them on their own.
 TEMPLATES = {
+    "agpl-text": "GNU Affero General Public License",
     "apache-text": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
     "cc-by-text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-text": "GNU Lesser General Public License",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "mpl-text": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
-
-#: More texts, for scan(docs, WIDER): notices of the Creative Commons family and paragraphs that texts hold on their own.
-#: The registered query stays with TEMPLATES, from which its SQL is made.
-WIDER = TEMPLATES | {f"cc-{kind}-{version}": f"CC {kind} {version}" for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for version in ("1.0", "2.0", "2.5", "3.0", "4.0")}
-WIDER |= {
-    "agpl-text": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
-    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
-    "lgpl-text": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "mit-warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
-}
+#: The short names of the Creative Commons family, by kind and version.
+TEMPLATES |= {f"cc-{kind}-{version}": f"CC {kind} {version}" for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for version in ("1.0", "2.0", "2.5", "3.0", "4.0")}
 
 
 def words_of(text: Column) -> Column:
