@@ -12,7 +12,8 @@ further with the corpus, so it can be sent to every task. Every text is scored w
 
 Defined results: null and empty texts have no evidence and get the curve's lowest score; a null doc_id counts as
 held in (not held out); repeated rows are scored each; an empty table gives no rows; without usable labels every
-score is 0. Other columns pass through score_documents and may have any name but the new one.
+score is 0; a text is scanned whole however long, one at a time; of equal hashes the smaller doc_id is sampled. Other columns
+pass through score_documents; one that has the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -133,7 +134,8 @@ def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: in
     """
     kept = labels.selectExpr("cast(doc_id as long) doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = kept.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # the only read of docs; from here on at most max_rows documents (and repeats of their ids)
+    rows = written(docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sampled")
 
     def minima(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -143,12 +145,14 @@ def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: in
             found = [[int(mixed(s ^ k).min() >> np.uint64(1)) for k in seeds] if len(s) else [] for _, texts in text_slices(batch) for s in shingle_sets(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "minima"])
 
-    one = rows.mapInArrow(minima, "doc_id long, minima array<long>").dropDuplicates(["doc_id"])
+    one = rows.select("doc_id", "text").mapInArrow(minima, "doc_id long, minima array<long>").dropDuplicates(["doc_id"])
     of = Window.partitionBy("toxic", "k", "v").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = one.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.posexplode("minima").alias("k", "v")).withColumn("r", F.row_number().over(of))
-    apart = ranked.groupBy("doc_id", "toxic").agg(F.max("r").alias("r")).where("r = 1").select("doc_id", "toxic")
-    apart = written(apart.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10))), "sample")  # at most max_rows
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(apart), "doc_id").select("text", "toxic", "fold")
+    apart = ranked.groupBy("doc_id", "toxic").agg(F.max("r").alias("r")).where("r = 1")
+    apart = apart.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)).alias("fold"))
+    own = written(rows.join(F.broadcast(apart), "doc_id").select("text", "toxic", "fold"), "sample")
+    discard(rows)
+    return own
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
@@ -176,6 +180,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
     counted = written(counted.where("toxic + other >= 2 or unit = 'n:'"), "units")
     total = counted.where("unit = 'n:'").collect()
     if not total or not total[0].toxic or not total[0].other:
+        discard(rows)
         return Model()
     model = Model(base=total[0].toxic / (total[0].toxic + total[0].other))
     # Units above the base rate, in two toxic documents of the bounded sample at least, and the units below such a prefix.
@@ -187,39 +192,68 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
     model.counts = {r.unit: (r.toxic, r.other) for r in raised.union(below).collect()}
     discard(counted)
     calibrate(rows.where("fold >= 7"), model)
+    discard(rows)
     return model
 
 
+STEP = 1 / 256  # scores are counted to this
+
+
 def calibrate(rows: DataFrame, model: Model) -> None:
-    """Sets rate, scale and curve from documents of the sample that gave no counts."""
+    """Sets rate, scale and curve from documents of the sample that gave no counts.
+
+    Scores of tokens and segments come as counts by score, whatever the texts' length; evidence as one number per document.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out: dict[str, list] = {"toxic": batch.column("toxic").to_pylist(), "n": [], "tokens": [], "segments": []}
-            for text in batch.column("text").to_pylist():
+            found: Counter[tuple[int, int]] = Counter()  # (0: tokens, 1: segments, 2: length, score in steps)
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if toxic:
+                    continue
                 n, events = sent.value.events(text)
-                out["n"].append(n)
-                out["tokens"].append([s for _, s in events])
-                out["segments"].append([s for *_, s in segments(events, sent.value.drift)])
-            yield pa.RecordBatch.from_arrays([pa.array(out["toxic"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["tokens"], pa.list_(pa.float64())), pa.array(out["segments"], pa.list_(pa.float64()))], names=list(out))
-
-    seen = rows.selectExpr("text", "cast(toxic as int) toxic").mapInArrow(measure, "toxic int, n long, tokens array<double>, segments array<double>").collect()
-    clean = [r for r in seen if not r.toxic]
-    tokens = np.array([s for r in clean for s in r.tokens] + [6.0])  # one chance token that looks toxic, as a prior
-    n = sum(r.n for r in clean) + 1
+                found[2, 0] += n
+                found.update((0, round(s / STEP)) for _, s in events)
+                found.update((1, round(s / STEP)) for *_, s in segments(events, sent.value.drift))
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())], names=["kind", "score", "n"])
+
+    rows = rows.selectExpr("text", "cast(toxic as int) toxic")
+    table = rows.mapInArrow(measure, "kind int, score long, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).collect()
+    n = sum(r.n for r in table if r.kind == 2) + 1
+
+    def scores(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, counts), the greatest first, with one chance score that looks toxic as a prior."""
+        own = sorted([(r.score * STEP, r.n) for r in table if r.kind == kind] + [(6.0, 1)], reverse=True)
+        return np.array([s for s, _ in own]), np.array([k for _, k in own])
+
+    tokens, times = scores(0)
     low, high = 1e-3, 20.0
     for _ in range(60):  # sum over tokens of p exp(lambda s) = 1
         mid = (low + high) / 2
-        grown = np.exp(mid * tokens).sum() / n + (n - len(tokens)) / n * math.exp(-mid * model.drift)
+        grown = (np.exp(mid * tokens) * times).sum() / n + (n - times.sum()) / n * math.exp(-mid * model.drift)
         low, high = (mid, high) if grown < 1 else (low, mid)
     model.rate = low
-    own = np.sort(np.array([s for r in clean for s in r.segments] + [6.0]))[::-1]
-    expected = np.exp(np.minimum(model.rate * own, 50.0)) * np.arange(1, len(own) + 1) / n  # K at which each is as rare as seen
-    model.scale = float(np.clip(np.median(expected), 1e-2, 1.0))
-    x = np.log1p([model.evidence(r.n, r.segments) for r in seen] + [0.0, 4.0])
+    own, times = scores(1)
+    above = np.cumsum(times)
+    expected = np.exp(np.minimum(model.rate * own, 50.0)) * (above - (times - 1) / 2) / n  # K at which each is as rare as seen
+    order = np.argsort(expected)
+    middle = np.searchsorted(np.cumsum(times[order]), times.sum() / 2)
+    model.scale = float(np.clip(expected[order][middle], 1e-2, 1.0))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [sent.value.passages(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([sent.value.evidence(k, [s for *_, s in parts]) for k, parts in found], pa.float64())], names=["toxic", "evidence"])
+
+    seen = rows.select("toxic", "text").mapInArrow(weigh, "toxic int, evidence double").collect()  # two numbers for each document of the sample
+    x = np.log1p([r.evidence for r in seen] + [0.0, 4.0])
     y = np.array([float(r.toxic) for r in seen] + [0.0, 1.0])
     a, b = 0.0, 1.0
     for _ in range(50):  # Newton's method, slightly ridged
@@ -234,7 +268,8 @@ def calibrate(rows: DataFrame, model: Model) -> None:
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a score column added, by their text column; one pass, no shuffle."""
+    """docs with a score column added, by their text column; one pass, no shuffle. A column of that name is replaced."""
+    docs = docs.select(*(c for c in docs.columns if c.lower() != name.lower()))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
