@@ -11,9 +11,13 @@ is drawn. So a source's words differ from its target by less than its last docum
 Nodes are dealt by a hash, so a source with a third of all rows is spread over as many nodes as its rows need, and
 only (doc_id, source, size) moves. Draws are hashes of the documents: reruns and lost tasks give the same result.
 
-Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows
-that agree in doc_id, source and size are rounded as one and get the same copies; an empty table gives no rows; other
-columns are ignored by mix().
+Rows that agree in (doc_id, source, size) are n equal rows: as many of them as their fraction says are settled at once, and
+what is left over is the fraction of one row, so their number doesn't make the mix coarser.
+
+Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; repeated
+rows get copies that differ by one at most; a text counts whole however long, and one that holds much of its source makes
+the mix as coarse as it is; of equal draws the smaller doc_id comes first; an empty table gives no rows; other columns are
+ignored by mix().
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelspark.llm.common import WORD_PATTERN, written
+from pixelspark.llm.common import WORD_PATTERN, holding, written
 
 LEAF, FAN, EPS = 2_000, 64, 1e-9
 STATE = "doc_id long, source string, size long, n long, source_size long, target double, whole int, part double, node long, draw double"
@@ -99,7 +103,8 @@ def _round_nodes(rows: DataFrame, last: bool) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, n, source_size, target, copies: one row per distinct (doc_id, source, size), n rows each."""
+    """doc_id, source, size, n, source_size, target, copies: n rows of docs with these copies; up to three such rows per distinct
+    (doc_id, source, size)."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
@@ -115,21 +120,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_share: floa
     state = items.join(renamed, items.source.eqNullSafe(renamed.of)).drop("of").withColumn("want", want)
     state = state.withColumn("whole", F.floor(F.col("want") + EPS).cast("int")).withColumn("part", F.greatest(F.lit(0.0), F.col("want") - F.col("whole")))
     state = state.withColumn("node", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(nodes))).withColumn("draw", draw(0))
-    state = state.select(*(c.split()[0] for c in STATE.split(", ")))
-    done = _settled(state, nodes, draw)
+    state = _apart(state).select(*(c.split()[0] for c in STATE.split(", ")))
+    done, tables = _settled(state, nodes, draw)
     copies = F.col("whole") + F.when(F.col("size") > 0, F.round("part")).otherwise(0).cast("int")
-    return done.select("doc_id", "source", "size", "n", "source_size", "target", copies.alias("copies"))
+    return holding(done.select("doc_id", "source", "size", "n", "source_size", "target", copies.alias("copies")), items, *tables)
+
+
+def _apart(state: DataFrame) -> DataFrame:
+    """n equal rows as rows that are settled and one that has what is left over as its fraction."""
+    mass = F.col("n") * F.col("part")
+    up = F.floor(mass + EPS)
+    rest = F.greatest(F.lit(0.0), mass - up)
+    one = (rest > EPS).cast("long")
+    piece = lambda n, part: F.struct(n.cast("long").alias("n"), part.cast("double").alias("part"))
+    parts = F.array(piece(up, F.lit(1.0)), piece(one, rest), piece(F.col("n") - up - one, F.lit(0.0)))
+    alone = (F.col("n") == 1) | (F.col("size") == 0)  # nothing to part
+    parts = F.when(alone, F.array(piece(F.col("n"), F.col("part")))).otherwise(F.filter(parts, lambda p: p["n"] > 0))
+    return state.withColumn("_p", F.explode(parts)).withColumn("n", F.col("_p.n")).withColumn("part", F.col("_p.part")).drop("_p")
 
 
-def _settled(state: DataFrame, nodes: int, draw) -> DataFrame:
-    """The rows of STATE with integral parts: level by level up the tree, FAN nodes to one."""
-    done, level = [], 0
+def _settled(state: DataFrame, nodes: int, draw) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of STATE with integral parts, level by level up the tree, FAN nodes to one; and the written tables they are in."""
+    done, tables, level = [], [], 0
     fraction = F.col("part").between(EPS, 1 - EPS) & (F.col("size") > 0)
     while True:
         last = nodes == 1
         state = written(_round_nodes(state, last), f"rounded{level}")
+        tables.append(state)
         if last:
-            return reduce(DataFrame.unionByName, [*done, state])
+            return reduce(DataFrame.unionByName, [*done, state]), tables
         done.append(state.where(~fraction))
         nodes, level = math.ceil(nodes / FAN), level + 1
         state = state.where(fraction).withColumn("node", F.floor(F.col("node") / FAN)).withColumn("draw", draw(level))
@@ -147,7 +166,7 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_share: flo
     text, source, doc = (clash[names.index(c)] for c in ("text", "source", "doc_id"))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = docs.toDF(*clash).withColumn("size", size).withColumn("source", F.col(source).cast("string"))
-    goals = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, cap), "goals")
+    shares = goals = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, cap), "goals")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     number = lambda level: F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col(doc), "source", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     goals = goals.select(F.col("source").alias("of"), (F.floor(want + EPS)).cast("int").alias("whole"), F.greatest(F.lit(0.0), want - F.floor(want + EPS)).alias("part"))
@@ -204,11 +223,13 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total_share: flo
     draw = lambda level: F.pmod(F.xxhash64(F.lit(seed), F.lit(level + 1), "doc_id", "source", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     state = rest.select(F.col("rid").alias("doc_id"), "source", "size", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), "whole", "part")
     state = state.withColumn("node", F.pmod(F.xxhash64("doc_id"), F.lit(nodes))).withColumn("draw", draw(0)).select(*(c.split()[0] for c in STATE.split(", ")))
-    decided = _settled(state, nodes, draw).select(F.col("doc_id").alias("rid"), F.round("part").alias("_part"))
+    decided, tables = _settled(state, nodes, draw)
+    tables += [shares, first, rest]
+    decided = decided.select(F.col("doc_id").alias("rid"), F.round("part").alias("_part"))
     rest = rest.join(decided, "rid").withColumn("part", F.col("_part")).select(*first.columns)
     every = first.where(~fraction).unionByName(rest).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.round("part").cast("int")).otherwise(0))
     times = every.where("copies > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return times.select(*(F.col(c).alias(n) for c, n in zip(clash, names, strict=True)))
+    return holding(times.select(*(F.col(c).alias(n) for c, n in zip(clash, names, strict=True))), *tables)
 
 
 def repeat(df: DataFrame, times: str) -> DataFrame:
