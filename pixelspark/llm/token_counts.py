@@ -7,7 +7,8 @@ known pair leave. The surviving symbols of a piece are its token count. Counts o
 No pre-token and no special string has white space in it, so a text's count is the sum over its pieces.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows are counted
-each; an empty table gives no rows; other columns are ignored.
+each; a very long text is cut into its pieces like any other and counted whole; of pairs of equal rank, which are the same
+pair at several places, the leftmost is merged first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

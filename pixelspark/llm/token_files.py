@@ -5,12 +5,14 @@ them need, and the wider differences as exceptions (position, value). A file is
 start of each block, the doc_ids and the token end of each document, and the length of the index. Any document can be
 read by way of the index without decoding the blocks before it.
 
-Documents are range-partitioned by doc_id (skew-free: a range is cut anywhere), sorted within the partition, and
+Documents are range-partitioned by doc_id, by a hash of the text among equal ids and by where a row was read among equal texts,
+so that a range may be cut anywhere, even within many rows of one id or of none. They are sorted within the partition, and
 each task streams its part into one file in the folder of spark.checkpoint.dir. A file's name has the task attempt's
 number, and only names that a successful attempt reports are read, so lost or repeated tasks do no harm.
 
 Defined results: null or empty text is the end id alone; null doc_ids come first; repeated doc_ids keep one entry
-per row, ordered by text; an empty table gives no files and no rows; other columns are ignored.
+per row, ordered by the text's hash, and equal rows have equal entries; a very long text spans as many blocks as it needs, and
+a task holds its ids and those of 128 texts; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pixelspark.llm.common import piece_encoder, scratch, text_slices, tokenizer_path, written
 
@@ -168,7 +171,9 @@ def write_ids(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str | No
     spark = docs.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "same", "text", "read")  # equal hashes of different texts are told apart by the text
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("same"), F.spark_partition_id().alias("read"))
+    ordered = ordered.repartitionByRange("doc_id", "same", "read").sortWithinPartitions(*order).select("doc_id", "text")
     files = written(ordered.mapInArrow(run, "part long, path string, tokens long"), "files")
     return [(r.path, r.tokens) for r in files.orderBy("part").collect()]
 
