@@ -33,6 +33,7 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
+BLOCK = 256
 MIN_RUN = 24
 RUN = f"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
 #: The alphabets in the order of their digits.
@@ -58,14 +59,25 @@ def placed(text: str, pattern: str, kind: int, keep) -> Column:
     lengths = F.zip_with(pieces, found, lambda a, b: F.struct(F.length(a).alias("skip"), F.length(b).alias("long"), b.alias("match")))
     lengths = F.filter(lengths, lambda x: x["long"].isNotNull())
     empty = F.array().cast("array<struct<at:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["pos"] + x["skip"]
         span = F.struct(at.alias("at"), F.lit(kind).alias("kind"), (at + x["long"]).alias("end"))
         return F.struct((at + x["long"]).alias("pos"), F.when(keep(x["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    def block(acc: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(acc["pos"].alias("pos"), empty.alias("out")), step)
+        return F.element_at(F.transform(F.array(own), lambda o: F.struct(o["pos"].alias("pos"), F.concat(acc["out"], F.array(o["out"])).alias("out"))), 1)
+
+    # a text's matches a block at a time: an array that grows by one is copied each time
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<array<struct<at:int,kind:int,end:int>>>").alias("out"))
+    return F.aggregate(in_blocks(lengths), start, block, lambda acc: F.flatten(acc["out"]))
+
+
+def in_blocks(values: Column) -> Column:
+    """An array as an array of arrays of BLOCK values."""
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.element_at(F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(F.array())), 1)
 
 
 def with_base(df: DataFrame, text: str) -> DataFrame:
@@ -228,14 +240,19 @@ def redact(docs: DataFrame, rate: float = 0.01, mask: str = "[SECRET]") -> DataF
     names = docs.columns
     clash = {c: f"_own{k}" for k, c in enumerate(names)}  # the helpers' names may not meet those of the table
     df = with_spans(docs.toDF(*clash.values()), rate, clash["text"])
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    none = F.array().cast("array<string>")
 
     def step(acc: Column, s: Column) -> Column:
-        cut = F.concat(acc["out"], F.substring(F.col("_text"), acc["pos"] + 1, s["at"] - acc["pos"]), F.lit(mask))
+        cut = F.concat(F.substring(F.col("_text"), acc["pos"] + 1, s["at"] - acc["pos"]), F.lit(mask))
         covered = s["at"] < acc["pos"]
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(covered, acc["out"]).otherwise(cut).alias("out"))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(cut))).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(acc["pos"].alias("pos"), none.alias("out")), step)
+        return F.element_at(F.transform(F.array(own), lambda o: F.struct(o["pos"].alias("pos"), F.concat(acc["out"], F.array(F.array_join(o["out"], ""))).alias("out"))), 1)
 
-    clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["pos"] + 1, F.length("_text"))))
+    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+    clean = F.aggregate(in_blocks(F.col("_all")), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["pos"] + 1, F.length("_text"))))
     kept = F.when(F.size("_all") > 0, clean).otherwise(F.col(clash["text"]))
     size = lambda own: F.when(F.size("_all") > 0, F.length(kept).cast("long")).otherwise(F.col(own))
     out = [(kept if c == "text" else size(own) if c == "n_chars" else F.col(own)).alias(c) for c, own in clash.items()]
