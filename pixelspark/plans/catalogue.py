@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelspark.config import ClusteringConfig, DataError, DetectorConfig, ExtractionConfig
+from pixelspark.config import U32, ClusteringConfig, DataError, DetectorConfig, ExtractionConfig
 from pixelspark.functions import bits, energy
+from pixelspark.functions.bits import HALF_STEP, HEADER_MAGIC, HIT_NIBBLE, ROLLOVER, TDC_BYTE
 from pixelspark.operators import clustering, cube, extraction, ordering, roi
 from pixelspark.plans import tables
 from pixelspark.plans.checkpoints import new_folder
@@ -64,8 +65,8 @@ LABELLED = f"{HITS_SQL}, lab as (select *, (x // 8) * 8 + y // 8 cluster_id from
 
 
 @query(f"""with {PACKETS_SQL} select file, packet_idx, (raw >> 56) & 255 packet_type, (raw >> 32) & 255 chip, (raw >> 44) & 65535 address, (raw >> 30) & 16383 toa, (raw >> 20) & 1023 tot,
-  (raw >> 16) & 15 fine_toa, raw & 65535 spidr, (raw >> 12) & 1073741823 tdc, ((raw & 65535) << 14) | ((raw >> 30) & 16383) timestamp,
-  (raw & 4294967295) = 861425748 is_header, ((raw >> 56) & 255) = 111 is_tdc, ((raw >> 60) & 15) = 11 is_hit from packets""")
+  (raw >> 16) & 15 fine_toa, raw & 65535 spidr, (raw >> 12) & {ROLLOVER - 1} tdc, ((raw & 65535) << 14) | ((raw >> 30) & 16383) timestamp,
+  (raw & {U32}) = {HEADER_MAGIC} is_header, ((raw >> 56) & 255) = {TDC_BYTE} is_tdc, ((raw >> 60) & 15) = {HIT_NIBBLE} is_hit from packets""")
 def packet_decode(spark, sf):
     """Every field of every word."""
     raw = F.col("raw")
@@ -73,7 +74,7 @@ def packet_decode(spark, sf):
     return tables.packets(spark, sf).select("file", "packet_idx", *(f(raw).alias(n) for n, f in fields.items()))
 
 
-@query(f"""with {PACKETS_SQL}, a as (select file, packet_idx, (raw >> 44) & 65535 a from packets where ((raw >> 60) & 15) = 11)
+@query(f"""with {PACKETS_SQL}, a as (select file, packet_idx, (raw >> 44) & 65535 a from packets where ((raw >> 60) & 15) = {HIT_NIBBLE})
   select file, packet_idx, cast(((a & 65024) >> 8) + ((a & 7) >> 2) as bigint) x, cast(((a & 504) >> 1) + (a & 3) as bigint) y from a""")
 def pixel_coordinates(spark, sf):
     """P3, P9."""
@@ -82,14 +83,14 @@ def pixel_coordinates(spark, sf):
     return p.select("file", "packet_idx", bits.local_x(a).cast("long").alias("x"), bits.local_y(a).cast("long").alias("y"))
 
 
-TIMES = "t as (select cast(event_id as bigint) id, (cast(event_id as bigint) * 2654435) % 1073741824 ts, (cast(user_id as bigint) * 97654321) % 1073741824 tdc from events), c as (select *, case when ((ts + 4194304) & 4294967295) < tdc then (ts + 1073741824) & 4294967295 else ts end cts from t)"
+TIMES = f"t as (select cast(event_id as bigint) id, (cast(event_id as bigint) * 2654435) % {ROLLOVER} ts, (cast(user_id as bigint) * 97654321) % {ROLLOVER} tdc from events), c as (select *, case when ((ts + {HALF_STEP}) & {U32}) < tdc then (ts + {ROLLOVER}) & {U32} else ts end cts from t)"
 
 
-@query(f"""with {TIMES}, f as (select *, (cts - tdc) & 4294967295 raw from c) select id, cts, case when raw > {PERIOD} then (raw - {PERIOD}) & 4294967295 else raw end tof,
-  round((case when raw > {PERIOD} then (raw - {PERIOD}) & 4294967295 else raw end) * 25.0::double / 1000000.0::double, 6) tof_ms from f""")
+@query(f"""with {TIMES}, f as (select *, (cts - tdc) & {U32} raw from c) select id, cts, case when raw > {PERIOD} then (raw - {PERIOD}) & {U32} else raw end tof,
+  round((case when raw > {PERIOD} then (raw - {PERIOD}) & {U32} else raw end) * 25.0::double / 1000000.0::double, 6) tof_ms from f""")
 def tof_correct(spark, sf):
     """P12, P13, P16."""
-    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("cast(event_id as bigint) id", "(cast(event_id as bigint) * 2654435) % 1073741824 ts", "(cast(user_id as bigint) * 97654321) % 1073741824 tdc")
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("cast(event_id as bigint) id", "(cast(event_id as bigint) * 2654435) % {ROLLOVER} ts", "(cast(user_id as bigint) * 97654321) % {ROLLOVER} tdc")
     e = e.withColumn("cts", bits.rollover_corrected(F.col("ts"), F.col("tdc"))).withColumn("tof", bits.time_of_flight(F.col("cts"), F.col("tdc"), PERIOD))
     return e.select("id", "cts", "tof", F.round(bits.tof_ms(F.col("tof")), 6).alias("tof_ms"))
 
@@ -104,18 +105,18 @@ def chip_map(spark, sf):
 
 # --- ordering -----------------------------------------------------------------------------------------------------
 
-CHIPS = f"""{PACKETS_SQL}, hd as (select *, case when (raw & 4294967295) = 861425748 then 'header' when ((raw >> 56) & 255) = 111 then 'tdc' when ((raw >> 60) & 15) = 11 then 'hit' end kind from packets),
+CHIPS = f"""{PACKETS_SQL}, hd as (select *, case when (raw & {U32}) = {HEADER_MAGIC} then 'header' when ((raw >> 56) & 255) = {TDC_BYTE} then 'tdc' when ((raw >> 60) & 15) = {HIT_NIBBLE} then 'hit' end kind from packets),
   ch as (select file, packet_idx idx, raw, kind, last_value(case when kind = 'header' then (raw >> 32) & 255 end ignore nulls) over w chip, last_value(case when kind = 'header' then packet_idx end ignore nulls) over w sec from hd window w as (partition by file order by packet_idx rows unbounded preceding)),
-  p as (select file, idx, chip, kind, raw, sec, case when kind = 'tdc' then (raw >> 12) & 1073741823 else ((raw & 65535) << 14) | ((raw >> 30) & 16383) end v from ch where kind in ('tdc', 'hit') and chip is not null),
+  p as (select file, idx, chip, kind, raw, sec, case when kind = 'tdc' then (raw >> 12) & {ROLLOVER - 1} else ((raw & 65535) << 14) | ((raw >> 30) & 16383) end v from ch where kind in ('tdc', 'hit') and chip is not null),
   tt as (select file, idx, chip, v tdc, row_number() over w seq, lag(v) over w prev_tdc from p where kind = 'tdc' window w as (partition by file, chip order by idx)),
   uu as (select *, sum(case when prev_tdc is not null and tdc < prev_tdc then 1 else 0 end) over (partition by file, chip order by idx rows unbounded preceding)::bigint epoch from tt),
   pl as (select *, lag(epoch) over (partition by file, chip order by idx) prev_epoch from uu)"""
 ASSIGNED = f"""{CHIPS}, hh as (select *, count(case when kind = 'tdc' then 1 end) over (partition by file, chip order by idx rows unbounded preceding) seq from p),
-  j as (select hh.file, hh.idx, hh.chip, hh.raw, hh.v, pl.tdc, pl.epoch, pl.prev_tdc, pl.prev_epoch, case when ((hh.v+4194304)&4294967295)<pl.tdc then (hh.v+1073741824)&4294967295 else hh.v end ts_c,
-    case when ((hh.v+4194304)&4294967295)<pl.prev_tdc then (hh.v+1073741824)&4294967295 else hh.v end ts_p from hh join pl on pl.file=hh.file and pl.chip=hh.chip and pl.seq=hh.seq where hh.kind='hit'),
+  j as (select hh.file, hh.idx, hh.chip, hh.raw, hh.v, pl.tdc, pl.epoch, pl.prev_tdc, pl.prev_epoch, case when ((hh.v+{HALF_STEP})&{U32})<pl.tdc then (hh.v+{ROLLOVER})&{U32} else hh.v end ts_c,
+    case when ((hh.v+{HALF_STEP})&{U32})<pl.prev_tdc then (hh.v+{ROLLOVER})&{U32} else hh.v end ts_p from hh join pl on pl.file=hh.file and pl.chip=hh.chip and pl.seq=hh.seq where hh.kind='hit'),
   l as (select *, prev_tdc is not null and ts_c < tdc late from j),
   r0 as (select file, idx, chip, raw, late, case when late then (prev_epoch << 30) | prev_tdc else (epoch << 30) | tdc end ext, case when late then ts_p else ts_c end ts, case when late then prev_tdc else tdc end t0 from l),
-  asg as (select file, idx, chip, raw, late, ext, ts, case when ((ts-t0)&4294967295) > {PERIOD} then (((ts-t0)&4294967295)-{PERIOD})&4294967295 else (ts-t0)&4294967295 end tof from r0)"""
+  asg as (select file, idx, chip, raw, late, ext, ts, case when ((ts-t0)&{U32}) > {PERIOD} then (((ts-t0)&{U32})-{PERIOD})&{U32} else (ts-t0)&{U32} end tof from r0)"""
 
 
 def _assigned(spark, sf, late=True):
@@ -159,9 +160,9 @@ def read_hits(spark, sf):
 
 
 #: Words by kind with the chip of the last header, 0 before a file's first one.
-WORDS = f"""{PACKETS_SQL}, hd as (select *, case when (raw & 4294967295) = 861425748 then 'header' when ((raw >> 56) & 255) = 111 then 'tdc' when ((raw >> 60) & 15) = 11 then 'hit' end kind from packets),
+WORDS = f"""{PACKETS_SQL}, hd as (select *, case when (raw & {U32}) = {HEADER_MAGIC} then 'header' when ((raw >> 56) & 255) = {TDC_BYTE} then 'tdc' when ((raw >> 60) & 15) = {HIT_NIBBLE} then 'hit' end kind from packets),
   ch as (select file, packet_idx idx, raw, kind, coalesce(last_value(case when kind = 'header' then (raw >> 32) & 255 end ignore nulls) over (partition by file order by packet_idx rows unbounded preceding), 0) chip from hd),
-  wd as (select *, case when kind = 'tdc' then (raw >> 12) & 1073741823 when kind = 'hit' then ((raw & 65535) << 14) | ((raw >> 30) & 16383) end v from ch)"""
+  wd as (select *, case when kind = 'tdc' then (raw >> 12) & {ROLLOVER - 1} when kind = 'hit' then ((raw & 65535) << 14) | ((raw >> 30) & 16383) end v from ch)"""
 
 
 @query(f"""with {WORDS}, st as (select *, v < lag(v) over (partition by file, chip, kind order by idx) back, row_number() over (partition by file, chip, kind order by idx) rn,
@@ -211,8 +212,8 @@ def pulse_slices(spark, sf):
 
 @query(f"""with {CHIPS}, m as (select file, sec, max_by(v, idx) filter (kind = 'tdc') own, any_value(chip) chip from p group by all),
   f as (select file, sec, last_value(own ignore nulls) over (partition by file, chip order by sec rows unbounded preceding) tdc from m),
-  s as (select p.file, p.idx, p.chip, f.tdc, v raw_ts, case when ((v + 4194304) & 4294967295) < f.tdc then (v + 1073741824) & 4294967295 else v end ts from p join f on f.file = p.file and f.sec = p.sec where kind = 'hit' and f.tdc is not null order by p.file, p.idx limit 1)
-  select file, idx packet_idx, cast(chip as integer) chip_id, tdc, raw_ts, ts, ts - tdc delta, case when ((ts - tdc) & 4294967295) > {PERIOD} then (((ts - tdc) & 4294967295) - {PERIOD}) & 4294967295 else (ts - tdc) & 4294967295 end tof from s""")
+  s as (select p.file, p.idx, p.chip, f.tdc, v raw_ts, case when ((v + {HALF_STEP}) & {U32}) < f.tdc then (v + {ROLLOVER}) & {U32} else v end ts from p join f on f.file = p.file and f.sec = p.sec where kind = 'hit' and f.tdc is not null order by p.file, p.idx limit 1)
+  select file, idx packet_idx, cast(chip as integer) chip_id, tdc, raw_ts, ts, ts - tdc delta, case when ((ts - tdc) & {U32}) > {PERIOD} then (((ts - tdc) & {U32}) - {PERIOD}) & {U32} else (ts - tdc) & {U32} end tof from s""")
 def debug_sample(spark, sf):
     """S21."""
     return ordering.debug_sample(tables.packets(spark, sf), PERIOD)
