@@ -7,6 +7,7 @@ sinks write tables by Spark, so what they move, delete or write beside them goes
 from __future__ import annotations
 
 import fnmatch
+import os
 import posixpath
 import re
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ def listed(path: str, pattern: str = "*.tpx3") -> list[tuple[str, int, int]]:
     """(path, size, time of change in ns) of a file, a folder's files of the pattern, or a glob's, by name."""
     from pyarrow import fs
 
+    if not path:
+        return []
+    if "://" not in path and not path.startswith("file:"):
+        path = os.path.abspath(path)  # workers may stand elsewhere
     wild = WILD.search(path)
     if wild:
         base, pattern = path[: wild.start()].rpartition("/")[0] or ("/" if path.startswith("/") else "."), path

@@ -179,3 +179,16 @@ def test_generated_files_hold_pulses_of_clusters(spark, tmp_path):
     assert hits.select("ext_tdc").distinct().count() == 3 and 0.85 * 480 < hits.count() <= 480
     found = api.neutrons_from(hits, ClusteringConfig(5.0, 75.0), algorithm="grid").count()
     assert 60 < found < 200
+
+
+def test_files_are_listed_by_path_folder_glob_and_uri(tmp_path, monkeypatch):
+    from pixelspark.sources.files import listed
+
+    (tmp_path / "sub").mkdir()
+    for name in ("run_1.tpx3", "run_2.tpx3", "x.txt", "sub/run_3.tpx3"):
+        (tmp_path / name).write_bytes(b"12345678")
+    monkeypatch.chdir(tmp_path)
+    names = lambda path: [p.removeprefix("file://").removeprefix(str(tmp_path) + "/") for p, size, _ in listed(path) if size == 8]
+    assert names("run_*.tpx3") == names(str(tmp_path)) == names(f"file://{tmp_path}/run_?.tpx3") == ["run_1.tpx3", "run_2.tpx3"]
+    assert names(f"{tmp_path}/*/run_*") == ["sub/run_3.tpx3"] and names("x.txt") == ["x.txt"] and listed("none") == []
+    assert all(p.startswith("file:///") for p, *_ in listed(f"file:{tmp_path}"))
