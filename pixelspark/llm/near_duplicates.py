@@ -320,7 +320,9 @@ def components(links: DataFrame) -> DataFrame:
 
     The hub of a star has as many links as its group has members; its join may be split, since the other side is dealt anew.
     """
+    told = lambda df: df.selectExpr("count(*) n", "bit_xor(xxhash64(u, v)) x").first()
     edges = written(links.selectExpr("greatest(a, b) u", "least(a, b) v").where("u <> v").distinct(), "edges")
+    seen = told(edges)
     while True:
         before = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -331,9 +333,9 @@ def components(links: DataFrame) -> DataFrame:
         star = star.join(low, "u")  # small: a node has few smaller neighbours left
         star = star.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = written(star, "edges")
-        same = edges.selectExpr("count(*) n", "bit_xor(xxhash64(u, v)) x").first() == before.selectExpr("count(*) n", "bit_xor(xxhash64(u, v)) x").first()
         discard(before)
-        if same:
+        seen, last = told(edges), seen
+        if seen == last:
             break
     found = written(edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()), "comps")
     discard(edges)

@@ -1,36 +1,110 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+from test_documents import shares
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from pixelspark.llm import near_duplicates
-
-
-def test_stages_keep_columns_and_clean_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, sf)
-        assert after.columns == docs.columns, name
-        if name == "toxicity":
-            assert 0.7 * before.count() < after.count() <= before.count()
-        if name == "ngram_jaccard":
-            found = near_duplicates.join_components(before).collect()
-            assert sorted(r.doc_id for r in after.collect()) == sorted({r.component_id for r in found})
-        if name == "secrets":
-            assert after.count() == before.count()
-        before = after
-    total = corpus_pipeline.STAGES[-1][1](spark, before, sf)
-    assert total.selectExpr("sum(length)").first()[0] > 0
-
-
-def test_repeated_and_null_ids(spark, sf, awkward, nothing):
-    kept = corpus_pipeline.one_of_each_group(spark, awkward, sf)
-    assert kept.columns == awkward.columns
+from pixelspark.llm import mixing, near_duplicates, secrets, toxicity
+from pixelspark.llm.common import tokenizer_path
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf):
+    """What goes into each stage and what comes out of it, by name."""
+    docs, found = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf).cache()
+        found[name] = docs, out
+        docs = out
+    return found
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_stages_keep_columns(stages):
+    assert [len(stages[name][1].columns) for name in list(stages)[:-1]] == [len(stages["toxicity"][0].columns)] * 4
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "secrets", "mixing", "packing"]
+
+
+def test_toxicity_by_scoring_each_text_alone(spark, sf, stages):
+    before, after = stages["toxicity"]
+    model = toxicity.fit(spark, before, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert rows(after) == sorted((tuple(r) for r in before.collect() if model.score(r.text) < 0.7), key=str)
+    assert 0.7 * before.count() < after.count() <= before.count()
+
+
+def test_near_duplicates_by_components(stages):
+    before, after = stages["ngram_jaccard"]
+    found = near_duplicates.join_components(before).collect()
+    assert sorted(r.doc_id for r in after.collect()) == sorted({r.component_id for r in found})
+
+
+def test_secrets_by_cutting_spans(stages):
+    before, after = stages["secrets"]
+    spans = {r.doc_id: r.spans for r in secrets.scan(before).collect()}
+    texts = {}
+    for r in before.collect():
+        out, at = "", 0
+        for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in spans[r.doc_id].split(",") if s):
+            out += "" if a < at else r.text[at:a] + "[SECRET]"
+            at = max(at, b)
+        texts[r.doc_id] = out + r.text[at:]
+    assert {r.doc_id: r.text for r in after.collect()} == texts and any("[SECRET]" in t for t in texts.values())
+
+
+def test_mixing_by_targets(stages):
+    before, after = stages["mixing"]
+    words = lambda t: len([w for w in re.split("[ \t\n\x0b\f\r]+", t or "") if w])
+    sizes, most = defaultdict(int), defaultdict(int)
+    of = {}
+    for r in before.collect():
+        of[r.doc_id] = r.source, words(r.text)
+        sizes[r.source] += of[r.doc_id][1]
+        most[r.source] = max(most[r.source], of[r.doc_id][1])
+    copies, taken = Counter(r.doc_id for r in after.collect()), defaultdict(int)
+    for d, n in copies.items():
+        taken[of[d][0]] += n * of[d][1]
+    assert max(copies.values()) <= 2
+    for s, target in shares(sizes, (3, 1, 2), "3/2", 2).items():
+        assert abs(taken[s] - target) <= most[s]
+    want = {r.doc_id: r.copies for r in mixing.mix(before).collect()}
+    assert set(copies) <= {d for d in want}
+
+
+def test_packing_by_counting_tokens(stages):
+    before, after = stages["packing"]
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want, got = Counter(), Counter()
+    for r in before.collect():
+        want[r.doc_id] += len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+    fill = Counter()
+    for r in after.collect():
+        got[r.doc_id] += r.length
+        fill[r.sequence_id] += r.length
+    assert got == want and all(n == 2048 or n & (n - 1) == 0 for n in fill.values())
+
+
+def test_awkward_rows_through_all_stages(spark, sf, awkward, nothing):
     # 5 (twice) and 7 are one group of equal shingles; the rest stand alone
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 4, 5, 6, 8]
-    mixed = corpus_pipeline.mix_sources(spark, awkward, sf)
-    assert mixed.columns == awkward.columns
-    for _, stage in corpus_pipeline.STAGES:
+    kept = {"toxicity": 9, "ngram_jaccard": 7, "secrets": 9, "mixing": None, "packing": None}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward, sf)
+        if name != "packing":
+            assert out.columns == awkward.columns
+        if kept[name]:
+            assert out.count() == kept[name], name
+        else:
+            assert out.count() > 0
         assert stage(spark, nothing, sf).count() == 0
+    left = corpus_pipeline.one_of_each_group(spark, awkward, sf)
+    assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, 1, 2, 4, 5, 6, 8]
 
 
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
-    assert out.count() > 0 and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+    assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
