@@ -147,46 +147,56 @@ def bucket_labels(x, y, tof, c: ClusteringConfig, p: AlgorithmParams) -> np.ndar
     """Greedy buckets: a hit joins the first open bucket in the 3 x 3 cells around it whose box, grown by the radius, holds it
     and that began no longer than the window ago. The box grows with its hits, its start does not move. Every
     scan interval buckets that are too old leave their cell, the cell's last one taking their place."""
-    cell, reach, window = 32, math.ceil(c.radius), c.window_ticks
-    cells: dict[tuple[int, int], list[int]] = {}
-    box, began, home, alive = [], [], [], []
-    labels = np.empty(len(x), np.int64)
-    for k, (px, py, t) in enumerate(zip(x.tolist(), y.tolist(), tof.tolist(), strict=True)):
-        if k and k % p.abs_scan_interval == 0:
+    reach, window, every = math.ceil(c.radius), c.window_ticks, p.abs_scan_interval
+    row = 1 << 12  # cells of 32 pixels; a row has room for more of them than 16-bit places need
+    around = (-row - 1, -row, 1 - row, -1, 0, 1, row - 1, row, row + 1)
+    cells: dict[int, list[int]] = {}
+    open_in = cells.get
+    left, right, low, high, began, home, alive = [], [], [], [], [], [], []
+    labels = [0] * len(x)
+    at = ((y // 32) * row + x // 32).tolist()
+    for k, (px, py, t, own) in enumerate(zip(x.tolist(), y.tolist(), tof.tolist(), at, strict=True)):
+        if k and k % every == 0:
             stay = []
             for b in alive:
                 if (t - began[b]) & U32 <= window:
                     stay.append(b)
-                else:
-                    own = cells[home[b]]
-                    own[own.index(b)] = own[-1]
-                    own.pop()
+                    continue
+                members = cells[home[b]]
+                members[members.index(b)] = members[-1]
+                members.pop()
+                if not members:
+                    del cells[home[b]]
             alive = stay
-        cx, cy = px // cell, py // cell
         found = -1
-        for gy in (cy - 1, cy, cy + 1):
-            for gx in (cx - 1, cx, cx + 1):
-                for b in cells.get((gx, gy), ()):
-                    lx, hx, ly, hy = box[b]
-                    if lx - reach <= px <= hx + reach and ly - reach <= py <= hy + reach and (t - began[b]) & U32 <= window:
-                        found = b
-                        break
-                if found >= 0:
+        for step in around:
+            for b in open_in(own + step, ()):
+                if left[b] <= px <= right[b] and low[b] <= py <= high[b] and (t - began[b]) & U32 <= window:
+                    found = b
                     break
             if found >= 0:
                 break
-        if found < 0:
-            found = len(box)
-            box.append([px, px, py, py])
+        if found < 0:  # the box with its reach
+            found = len(began)
+            left.append(px - reach)
+            right.append(px + reach)
+            low.append(py - reach)
+            high.append(py + reach)
             began.append(t)
-            home.append((cx, cy))
-            cells.setdefault((cx, cy), []).append(found)
+            home.append(own)
+            cells.setdefault(own, []).append(found)
             alive.append(found)
         else:
-            own = box[found]
-            own[0], own[1], own[2], own[3] = min(own[0], px), max(own[1], px), min(own[2], py), max(own[3], py)
+            if px - reach < left[found]:
+                left[found] = px - reach
+            elif px + reach > right[found]:
+                right[found] = px + reach
+            if py - reach < low[found]:
+                low[found] = py - reach
+            elif py + reach > high[found]:
+                high[found] = py + reach
         labels[k] = found
-    return labels
+    return np.array(labels, np.int64)
 
 
 KERNELS = {"abs": abs_labels, "dbscan": dbscan_labels, "grid": grid_labels}

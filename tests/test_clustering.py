@@ -92,6 +92,37 @@ def test_dbscan_against_definition(hits):
             assert all(found[j] == found[i] for j in n if core[j])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 90), st.integers(0, 90), st.integers(0, 25)), min_size=1, max_size=80), st.integers(1, 9))
+def test_greedy_buckets_against_definition(hits, interval):
+    """Buckets as (hits, cell) in the order in which their cells list them."""
+    hits = sorted(hits, key=lambda h: h[2])
+    cells, want, made = {}, [], []
+    for k, (x, y, t) in enumerate(hits):
+        if k and k % interval == 0:
+            for cell, own in cells.items():
+                for bucket in [b for b in made if b in own and t - hits[b[0]][2] > 4]:  # the last one takes the old one's place
+                    spot = own.index(bucket)
+                    own[spot] = own[-1]
+                    own.pop()
+        found = None
+        for cy in range(y // 32 - 1, y // 32 + 2):
+            for cx in range(x // 32 - 1, x // 32 + 2):
+                for bucket in cells.get((cx, cy), []):
+                    xs, ys = [hits[j][0] for j in bucket], [hits[j][1] for j in bucket]
+                    if found is None and min(xs) - 5 <= x <= max(xs) + 5 and min(ys) - 5 <= y <= max(ys) + 5 and t - hits[bucket[0]][2] <= 4:
+                        found = bucket
+        if found is None:
+            found = []
+            made.append(found)
+            cells.setdefault((x // 32, y // 32), []).append(found)
+        found.append(k)
+        want.append(id(found))
+    x, y, t = (np.array(c, np.int64) for c in zip(*hits, strict=True))
+    got = clustering.bucket_labels(x, y, t, ClusteringConfig(5.0, 100.0), AlgorithmParams(abs_scan_interval=interval)).tolist()
+    assert [want.index(w) for w in want] == [got.index(g) for g in got]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(points, min_size=1, max_size=4), st.integers(1, 50))
 def test_pulses_at_once_as_one_by_one(pulses, candidates):
