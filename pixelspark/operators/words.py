@@ -152,13 +152,12 @@ class State:
         return State(chip, section, {int(c): Pulse(*p) for c, p in pulses.items()}, tdcs, hits)
 
 
-def merged_parts(part: dict, row: dict) -> list[dict]:
-    """The parts of a row with those before its first header under the file's chip (0 before the file's first header)."""
+def merged_parts(chip: int, row: dict) -> list[dict]:
+    """The parts of a row, with the words before its first header under the chip that holds at its start."""
     out: dict[int, dict] = {}
-    for p in sorted(row["parts"], key=lambda p: p["chip"]):
-        chip = part["chip"] if p["chip"] == NO_CHIP else p["chip"]
-        p = p | {"chip": chip}
-        out[chip] = follow(out[chip], p) if chip in out else p
+    for part in sorted(row["parts"], key=lambda p: p["chip"]):
+        own = part | {"chip": chip if part["chip"] == NO_CHIP else part["chip"]}
+        out[own["chip"]] = follow(out[own["chip"]], own) if own["chip"] in out else own
     return list(out.values())
 
 
@@ -194,7 +193,7 @@ def totals(rows: list[dict]) -> list[dict]:
     found: dict[int, dict] = {}
     chip = 0
     for row in sorted(rows, key=lambda r: r["block"]):
-        for part in merged_parts({"chip": chip}, row):
+        for part in merged_parts(chip, row):
             found[part["chip"]] = follow(found[part["chip"]], part) if part["chip"] in found else part
         chip = row["last_chip"] if row["last_header"] >= 0 else chip
     return list(found.values())
