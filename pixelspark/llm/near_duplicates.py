@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.llm.common import _GOLD, blanks, dealt_anew, discard, fresh, holding, mixed, span_hashes, text_slices, written
 
-WORDS, RARE, BITS, NODE, PART, SEEN = 5, 64, 2048, 4096, 256, 1 << 20
+WORDS, RARE, BITS, NODE, PART, SEEN, CHUNK = 5, 64, 2048, 4096, 256, 1 << 20, 1 << 18
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -143,35 +143,43 @@ def classes(docs: DataFrame) -> DataFrame:
 def prefixes(docs: DataFrame) -> DataFrame:
     """h, id, n: the prefix shingles of each class, once or a few times per task and class.
 
-    Of a shingle that RARE or more classes of one Arrow batch send, RARE go to the shingle's task, which is enough to
-    tell that it is frequent; the others' n is negative: they are known to be so and are dealt by themselves. So no shingle
-    brings more than RARE rows per batch to one task, however many texts share it.
+    Of a shingle that RARE or more classes of one chunk send (CHUNK shingles, and the texts read with the last), RARE go to the
+    shingle's task, which is enough to tell that it is frequent; the others' n is negative: they are known to be so and are
+    dealt by themselves. So no shingle brings more than RARE rows per chunk to one task, however many texts share it.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: set[int] = set()
+        parts, ids, sizes = [], [], []
+
+        def chunk():
+            counts = [len(p) for p in parts]
+            h, n = np.concatenate(parts).view(np.int64), np.repeat(np.array(sizes, np.int32), counts)
+            order = np.argsort(h, kind="stable")
+            start = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+            place = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
+            n[order[place >= RARE]] *= -1
+            out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(ids, counts)), pa.array(n)], names=["h", "id", "n"])
+            for held in (parts, ids, sizes):
+                held.clear()
+            return out
+
         for batch in batches:
-            parts, ids, sizes, counts = [], [], [], []
             if len(seen) > SEEN:  # repeats are dropped again where rows meet
                 seen.clear()
             for _, texts in text_slices(batch):
                 for s in shingle_sets(texts):
                     if len(s) and (k := set_id(s)) not in seen:
                         seen.add(k)
-                        parts.append(s[: prefix_of(len(s))])
+                        parts.append(s[: prefix_of(len(s))].copy())
                         ids.append(k)
                         sizes.append(len(s))
-                        counts.append(len(parts[-1]))
-            if not parts:
-                continue
-            h, n = np.concatenate(parts).view(np.int64), np.repeat(np.array(sizes, np.int32), counts)
-            order = np.argsort(h, kind="stable")
-            start = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
-            place = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
-            n[order[place >= RARE]] *= -1
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(ids, counts)), pa.array(n)], names=["h", "id", "n"])
+                if sum(map(len, parts)) >= CHUNK:
+                    yield chunk()
+        if parts:
+            yield chunk()
 
     return docs.select("text").mapInArrow(run, "h long, id long, n int")
 
