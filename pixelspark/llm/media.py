@@ -494,7 +494,9 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of a written table that link, by all matches of their whole descriptors; b's are sent once for every PART pairs of it."""
     hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"), "hot")  # a PART-th of the pairs at most
     dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    body = classes.select("cls", "places", "words")
+    # only the images that are in a pair: a table small enough, or not, for Spark to broadcast by its size
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    body = written(classes.select("cls", "places", "words").join(wanted, "cls", "left_semi"), "bodies")
     heads = dealt.select("b", "part").distinct().join(body, F.col("b") == F.col("cls")).select("b", "part", F.lit(None).cast("long").alias("a"), "places", "words")
     members = dealt.join(body, F.col("a") == F.col("cls")).select("b", "part", "a", "places", "words")
 
@@ -529,6 +531,7 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     found = written(rows.mapInArrow(run, "a long, b long"), "image-links")
     discard(hot)
+    discard(body)
     return found
 
 
