@@ -90,7 +90,7 @@ TIMES = f"t as (select cast(event_id as bigint) id, (cast(event_id as bigint) *
   round((case when raw > {PERIOD} then (raw - {PERIOD}) & {U32} else raw end) * 25.0::double / 1000000.0::double, 6) tof_ms from f""")
 def tof_correct(spark, sf):
     """P12, P13, P16."""
-    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("cast(event_id as bigint) id", "(cast(event_id as bigint) * 2654435) % {ROLLOVER} ts", "(cast(user_id as bigint) * 97654321) % {ROLLOVER} tdc")
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("cast(event_id as bigint) id", f"(cast(event_id as bigint) * 2654435) % {ROLLOVER} ts", f"(cast(user_id as bigint) * 97654321) % {ROLLOVER} tdc")
     e = e.withColumn("cts", bits.rollover_corrected(F.col("ts"), F.col("tdc"))).withColumn("tof", bits.time_of_flight(F.col("cts"), F.col("tdc"), PERIOD))
     return e.select("id", "cts", "tof", F.round(bits.tof_ms(F.col("tof")), 6).alias("tof_ms"))
 
