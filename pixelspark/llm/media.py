@@ -12,10 +12,10 @@ Images of equal pixels are one class and are described once. The search is exact
 1. A word that at most RUN corners have gives all its pairs. The corners of a longer run (a logo, or a large group of copies) meet
    PIVOTS of them, chosen by hashes that are the same for all words, so that a group of copies is tied by a few pairs per image.
 2. What is left are pairs of different components that may share long runs. Of a link's corners, the smaller image needs t (MIN_VOTES or its
-   share), so one of them is not among the t - 1 that stand in the longest runs; only corners beyond those look for partners, only
-   in runs that hold several components, and only among images that are not smaller. Runs are cut into tiles of bounded size, and
-   a pair that turns up is verified on both images' whole descriptors. So are pairs that pass 1 saw too few
-   matches of, if their corners in long runs could make up for it.
+   share). If none of them matched in pass 1, two of them are not among the t - 2 that stand in the longest runs; only corners beyond those
+   look for partners, only in runs that hold several components, and only among images that are not smaller. Runs are cut into tiles of
+   bounded size, and a pair of which two corners turn up is verified on both images' whole descriptors. So are pairs that pass 1 saw
+   too few matches of, if their corners in long runs could make up for it.
 
 A link within a component changes nothing, so links are not counted; each image's class and component are the result.
 tests/llm holds the components against comparing all descriptors.
@@ -42,6 +42,7 @@ from pixelspark.llm.near_duplicates import components
 
 AREA, RADIUS, TURNS, BITS = 256, 7, 32, 128
 RUN, PIVOTS, NODE, PART, MIN_VOTES, MIN_SHARE, BIN, CHECK, CHECK_OFF = 24, 3, 4096, 256, 5, 0.2, 12, 22, 6
+HELD = 1 << 20  # matches that a task holds to pack them
 X_AT, Y_AT, SIDE = 8, 36, (1 << 27) - 1  # of a place: turn and octave below
 FLAT, MAX_FLAT = 1.0, 0.25
 
@@ -290,10 +291,17 @@ class Head:
         both = np.unique(np.concatenate(found))
         return both // max(1, self.n), both % max(1, self.n)
 
-    def votes(self, places: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The votes of each of many images, whose corners stand one after another (sizes: how many each has)."""
+    def votes(self, places: np.ndarray, words: np.ndarray, sizes: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+        """The votes of each of many images, whose corners stand one after another (sizes: how many each has).
+
+        They are moved onto this one or, where back is set, this one onto them: at the edges of bins that can differ.
+        """
         i, j = self.matches(keys_of(words))
-        return consensus(np.repeat(np.arange(len(sizes)), sizes)[i], places[i], self.places[j], len(sizes))
+        pair = np.repeat(np.arange(len(sizes)), sizes)[i]
+        p, q = places[i], self.places[j]
+        if back is not None:
+            p, q = np.where(back[pair], q, p), np.where(back[pair], p, q)
+        return consensus(pair, p, q, len(sizes))
 
 
 def matches(classes: DataFrame) -> DataFrame:
@@ -396,11 +404,91 @@ def pivot_matches(long: DataFrame) -> DataFrame:
     return met.select("cls", "place", F.col("v.cls").alias("c"), F.col("v.place").alias("l")).select(*_pairs("cls", "c", "place", "l"))
 
 
+def _sorted_rows(columns: list[np.ndarray]) -> np.ndarray:
+    """The different rows of columns, sorted by the first, then the second and so on: a column per line."""
+    rows = np.stack(columns)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.append(True, (np.diff(rows, axis=1) != 0).any(axis=0))[: rows.shape[1]]]
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Sorted rows of longs as few bytes: the first column's steps, and equal bytes of the longs side by side, which compresses well."""
+    import pyarrow as pa
+
+    steps = np.concatenate([np.diff(rows[:1], axis=1, prepend=0), rows[1:]])
+    raw = np.ascontiguousarray(steps, "<i8").view(np.uint8).reshape(len(rows), -1, 8)
+    return pa.compress(raw.transpose(0, 2, 1).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int, columns: int) -> np.ndarray:
+    import pyarrow as pa
+
+    raw = np.frombuffer(pa.decompress(blob, n * columns * 8, "zstd", asbytes=True), np.uint8)
+    rows = np.ascontiguousarray(raw.reshape(columns, 8, n).transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    return np.concatenate([np.cumsum(rows[:1], axis=1), rows[1:]])
+
+
 def met_often(found: DataFrame) -> DataFrame:
-    """a, b, m (the matches p, q), np, nq (different corners): the pairs of classes with two matched corners or more."""
-    per_pair = found.groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("m"))
-    different = lambda c: F.size(F.array_distinct(F.transform("m", lambda x: x[c]))).alias(f"n{c}")
-    return per_pair.where(F.size("m") >= 2).select("a", "b", "m", different("p"), different("q"))
+    """a, b, m (the matches p, q), np, nq (different corners): the pairs of classes with two matched corners or more.
+
+    Most pairs have one match, so rows are many and say little: they are dealt by pairs in packed lots, not one by one.
+    """
+    lots = 4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(held: list) -> Iterator:
+            a, b, p, q = (np.concatenate(c) for c in zip(*held, strict=True))
+            lot = (mixed(a.view(np.uint64) ^ mixed(b.view(np.uint64))) % np.uint64(lots)).astype(np.int64)
+            rows = _sorted_rows([lot, a, b, p, q])
+            cuts = np.flatnonzero(np.append(True, np.diff(rows[0]) != 0))
+            ends = np.append(cuts[1:], rows.shape[1])
+            for at in range(0, len(cuts), 256):
+                some = list(zip(cuts[at : at + 256].tolist(), ends[at : at + 256].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0, [x for x, _ in some]], pa.int32()), pa.array([y - x for x, y in some], pa.int32()), pa.array([packed(rows[1:, x:y]) for x, y in some], pa.binary())], names=["lot", "n", "blob"])
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy() for c in ("a", "b", "p", "q")])
+                n += batch.num_rows
+            if n >= HELD:
+                yield from out(held)
+                held, n = [], 0
+        if held:
+            yield from out(held)
+
+    def gather(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(held: list) -> pa.RecordBatch:
+            rows = _sorted_rows([np.concatenate(c) for c in zip(*held, strict=True)])
+            a, b, p, q = rows
+            new = np.append(True, (np.diff(rows[:2], axis=1) != 0).any(axis=0))
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(a)))
+            pair = np.cumsum(new) - 1
+            order = np.lexsort((q, pair))
+            different = [np.add.reduceat((new | np.append(True, np.diff(c) != 0)).astype(np.int32), start) for c in (p, q[order])]
+            often = size >= 2
+            kept = often[pair]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[often])), pa.int32()), pa.StructArray.from_arrays([pa.array(p[kept]), pa.array(q[kept])], ["p", "q"]))
+            return pa.RecordBatch.from_arrays([pa.array(a[start[often]]), pa.array(b[start[often]]), lists, *(pa.array(c[often], pa.int32()) for c in different)], names=["a", "b", "m", "np", "nq"])
+
+        held, lot = [], None
+        for batch in batches:
+            for now, n, blob in zip(*(batch.column(c).to_pylist() for c in ("lot", "n", "blob")), strict=True):
+                if now != lot and held:
+                    yield out(held)
+                    held = []
+                lot = now
+                held.append(unpacked(blob, n, 4))
+        if held:
+            yield out(held)
+
+    dealt = found.select("a", "b", "p", "q").mapInArrow(pack, "lot int, n int, blob binary").repartition("lot").sortWithinPartitions("lot")
+    return dealt.mapInArrow(gather, "a long, b long, m array<struct<p:long,q:long>>, np int, nq int")
 
 
 def voted(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -426,14 +514,14 @@ def needed(n: Column) -> Column:
 
 
 def candidates(short: DataFrame, often: DataFrame, long: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """a, b: the pairs of different components whose matches pass 1 may not have seen enough of (see above)."""
+    """a, b (the one with less corners first): the pairs of different components whose matches pass 1 may not have seen enough of (see above)."""
     own = classes.select("cls", "n").join(comps.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"))
     runs = long.join(own, "cls")
     apart = runs.groupBy("word").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("word", "k")
     runs = written(runs.join(dealt_anew(apart, "word"), "word"), "runs")
     corner = runs.groupBy("cls", "n", "place").agg(F.max("k").alias("k"))  # as many as an image has corners
     rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.col("k").desc(), "place"))
-    probes = corner.withColumn("r", rank).where(F.col("r") >= needed(F.col("n"))).select("cls", "place")
+    probes = corner.withColumn("r", rank).where(F.col("r") >= needed(F.col("n")) - 1).select("cls", "place")
     probing = written(runs.join(probes, ["cls", "place"]), "probing")
     split = probing.groupBy("word").agg(F.ceil(F.count("*") / NODE).alias("pn"), F.ceil(F.max("k") / NODE).alias("mn"))
     split = written(split, "split")
@@ -452,7 +540,7 @@ def candidates(short: DataFrame, often: DataFrame, long: DataFrame, classes: Dat
             if not batch.num_rows:
                 continue
             cuts = np.flatnonzero((np.diff(cols["word"]) != 0) | (np.diff(cols["p"]) != 0) | (np.diff(cols["m"]) != 0) | (np.diff(cols["side"]) != 0)) + 1
-            found = [np.empty((0, 2), np.int64)]
+            found = [np.empty((0, 3), np.int64)]
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 now = tuple(int(cols[c][a]) for c in ("word", "p", "m"))
                 if now != tile:
@@ -465,15 +553,18 @@ def candidates(short: DataFrame, often: DataFrame, long: DataFrame, classes: Dat
                 for x in probe:
                     for at in range(a, b, 256):
                         y = {c: cols[c][at : min(b, at + 256)] for c in rows}
-                        good = alike(x["key"][:, None], y["key"][None, :]) & (x["comp"][:, None] != y["comp"][None, :]) & (x["n"][:, None] <= y["n"][None, :])
-                        i, j = np.nonzero(good)
-                        c, d = x["cls"][i], y["cls"][j]
-                        found.append(np.unique(np.column_stack([np.minimum(c, d), np.maximum(c, d)]), axis=0))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                        good = alike(x["key"][:, None], y["key"][None, :]) & (x["comp"][:, None] != y["comp"][None, :])
+                        less = (x["n"][:, None] < y["n"][None, :]) | (x["n"][:, None] == y["n"][None, :]) & (x["cls"][:, None] < y["cls"][None, :])
+                        i, j = np.nonzero(good & less)
+                        found.append(np.column_stack([x["cls"][i], y["cls"][j], x["place"][i]]))
+            a, b, place = _sorted_rows(list(np.concatenate(found).T))
+            start = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0)))[: len(a)]
+            last = np.append(start[1:], len(a))[: len(start)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[start], b[start], place[start], place[last])], names=["a", "b", "lo", "hi"])
 
     tiles = left.unionByName(right).repartition("word", "p", "m").sortWithinPartitions("word", "p", "m", "side")
-    met = tiles.mapInArrow(meet, "a long, b long")
+    met = tiles.mapInArrow(meet, "a long, b long, lo long, hi long").groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    met = met.where("lo < hi").select("a", "b")  # two corners
     # pairs that pass 1 saw some matches of, which corners in long runs could bring to as many as are needed
     held = written(corner.groupBy("cls", "n").agg(F.count("*").alias("z")).join(own.select("cls", "comp"), "cls"), "held")
     strong = held.where(F.col("z") >= MIN_VOTES - 1)  # one match is only enough to them
@@ -483,7 +574,9 @@ def candidates(short: DataFrame, often: DataFrame, long: DataFrame, classes: Dat
     x, y = (held.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("z").alias(f"z{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
     seen = seen.join(x, "a").join(y, "b").where("ca <> cb")
     least = needed(F.least("na", "nb"))
-    few = seen.where((F.col("np") + F.col("za") >= least) & (F.col("nq") + F.col("zb") >= least)).select("a", "b")
+    few = seen.where((F.col("np") + F.col("za") >= least) & (F.col("nq") + F.col("zb") >= least))
+    less = F.struct("na", "a") < F.struct("nb", "b")
+    few = few.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("b"))
     out = written(met.union(few).distinct(), "candidates")
     for table in (runs, probing, split, held):
         discard(table)
@@ -491,11 +584,12 @@ def candidates(short: DataFrame, often: DataFrame, long: DataFrame, classes: Dat
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a written table that link, by all matches of their whole descriptors; b's are sent once for every PART pairs of it."""
+    """The pairs (a, b) of a written table that link, by all matches of their whole descriptors; b's are sent once for every PART pairs of it,
+    so that b should be the one with more of them."""
     hot = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"), "hot")  # a PART-th of the pairs at most
     dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    # only the images that are in a pair: a table small enough, or not, for Spark to broadcast by its size
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    # only the images that are in a pair: a table that is written, so that Spark knows beforehand whether it is small enough to broadcast
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "wanted")
     body = written(classes.select("cls", "places", "words").join(wanted, "cls", "left_semi"), "bodies")
     heads = dealt.select("b", "part").distinct().join(body, F.col("b") == F.col("cls")).select("b", "part", F.lit(None).cast("long").alias("a"), "places", "words")
     members = dealt.join(body, F.col("a") == F.col("cls")).select("b", "part", "a", "places", "words")
@@ -521,7 +615,7 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 if two[at] == head:
                     places, words = (batch.column(c).slice(at, end - at) for c in ("places", "words"))
                     sizes = places.value_lengths().to_numpy()
-                    votes = own.votes(places.flatten().to_numpy(), words.flatten().to_numpy(), sizes)
+                    votes = own.votes(places.flatten().to_numpy(), words.flatten().to_numpy(), sizes, np.array(one[at:end]) > head)  # as in voted
                     good = votes >= np.maximum(MIN_VOTES, MIN_SHARE * np.minimum(sizes, own.n))
                     a += [one[at + k] for k in np.flatnonzero(good).tolist()]
                     b += [head] * int(good.sum())
@@ -530,8 +624,8 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     rows = heads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     found = written(rows.mapInArrow(run, "a long, b long"), "image-links")
-    discard(hot)
-    discard(body)
+    for table in (hot, wanted, body):
+        discard(table)
     return found
 
 
@@ -556,14 +650,26 @@ def linked_components(classes: DataFrame) -> DataFrame:
     return comps
 
 
+def classes_of(described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The described images (row: a number of each), one of each class with corners; and cls, least (image_id) of each class. Both written.
+
+    The further rows of a class are found without moving descriptors, and mostly are few enough to be broadcast.
+    """
+    seen = described.where("seen").select("cls", "image_id", "row")
+    named = written(seen.groupBy("cls").agg(F.min("image_id").alias("least"), F.min("row").alias("first"), F.count("*").alias("k")), "named")
+    spare = written(seen.join(dealt_anew(named.where("k > 1").select("cls", "first"), "cls"), "cls").where("row <> first").select("row"), "spare")
+    classes = written(described.where("n > 0").join(spare, "row", "left_anti").select("cls", "n", "places", "words"), "image-classes")
+    discard(spare)
+    return classes, named
+
+
 def copies(images: DataFrame, read=decode) -> DataFrame:
     """image_id, n_corners, class_id, component_id (least image_id of the linked images) of each image."""
-    described = written(_described(images, read), "corners")
-    classes = written(described.where("n > 0").dropDuplicates(["cls"]).drop("image_id", "seen"), "image-classes")
+    described = written(_described(images, read).withColumn("row", F.monotonically_increasing_id()), "corners")
+    own = described.select("image_id", "n", "seen", F.col("cls").alias("class_id"))
+    classes, named = classes_of(described)
     comps = linked_components(classes)
     discard(classes)
-    own = described.select("image_id", "n", "seen", F.col("cls").alias("class_id"))
-    named = own.where("seen").groupBy(F.col("class_id").alias("cls")).agg(F.min("image_id").alias("least"))
     # classes without links are their own components, so only those with links meet their component's least image
     tied = named.join(comps, named.cls == comps.id).select("cls", "comp", "least")
     least = tied.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -571,7 +677,7 @@ def copies(images: DataFrame, read=decode) -> DataFrame:
     table = named.join(tied, named.cls == tied.id, "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
     out = own.join(dealt_anew(table, "cls"), (F.col("class_id") == F.col("cls")) & F.col("seen"), "left")
     out = out.select("image_id", F.col("n").cast("long").alias("n_corners"), "class_id", F.when(F.col("seen"), F.col("component_id")).otherwise(F.col("image_id")).alias("component_id"))
-    return holding(out, described, comps)
+    return holding(out, described, named, comps)
 
 
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

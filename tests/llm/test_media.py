@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelspark.llm import media
 
@@ -198,3 +199,97 @@ def test_small_and_blank_images_meet_their_copies(spark):
     got = {r.image_id: r for r in media.copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()}
     assert [got[k].component_id for k in range(1, 10)] == [1, 1, 1, 4, 4, 6, 7, 8, 9]
     assert got[1].n_corners > 0 and got[4].n_corners == 0
+
+
+@pytest.fixture(scope="module")
+def marked(spark):
+    """Small pictures with six marks of 24 each, so that most pairs share one or two, and a few edited copies."""
+    rng, rows = np.random.default_rng(8), []
+    grain = lambda h, w: media._box(rng.integers(0, 255, (h, w)).astype(np.float32), 1) / 9
+    y, x = np.mgrid[:26, :26]
+    marks = [np.where((y >= 13) & (x >= 13), 255 - grain(26, 26) / 4, grain(26, 26) / 2) for _ in range(24)]  # with a sharp corner
+    for k in range(60):
+        a = grain(96, 72) / 2 + 60
+        for cell, mark in enumerate(rng.choice(24, 6, replace=False)):
+            y, x = cell // 2 * 32 + rng.integers(0, 6), cell % 2 * 36 + rng.integers(0, 10)
+            a[y : y + 26, x : x + 26] = marks[mark]
+        a = a.astype(np.uint8)
+        rows += [a] if k % 6 else [a, a[3:94, 2:71], np.clip(a * 0.9 + 9, 0, 255).astype(np.uint8)]
+    return spark.createDataFrame([(k, pgm(a)) for k, a in enumerate(rows)], "image_id long, media binary").repartition(3).cache()
+
+
+def matched(classes):
+    """Of each pair of classes (least first): the number of matches, and whether they link."""
+    rows = {r.cls: (np.array(r.places), np.array(r.words, np.int32)) for r in classes.collect()}
+    out = {}
+    for a, b in ((a, b) for a in rows for b in rows if a < b):
+        i, j = media.Head(*rows[b]).matches(media.keys_of(rows[a][1]))
+        votes = media.consensus(np.zeros(len(i), np.int64), rows[a][0][i], rows[b][0][j], 1)[0]
+        link = votes >= max(media.MIN_VOTES, media.MIN_SHARE * min(len(rows[a][0]), len(rows[b][0])))
+        out[a, b] = len(i), link
+    return out
+
+
+def test_one_common_corner_makes_no_candidate(marked, monkeypatch):
+    """The second pass alone (every run is long, no pivots' links): it tries no pair with one common corner, and finds all links."""
+    monkeypatch.setattr(media, "RUN", 1)
+    classes = described(marked)
+    found = media.matches(classes).cache()
+    short, long = found.where("b is not null"), found.where("b is null").selectExpr("shiftright(q, 22) word", "a cls", "p place", "q key")
+    assert short.isEmpty()
+    no_links = classes.where("false").selectExpr("cls id", "cls comp")
+    tried = media.candidates(short, media.met_often(short), long, classes, no_links)
+    pairs = [(r.a, r.b) for r in tried.collect()]
+    sizes = {r.cls: r.n for r in classes.select("cls", "n").collect()}
+    truth = matched(classes)
+    assert all(truth[tuple(sorted(p))][0] >= 2 for p in pairs)
+    assert len(pairs) == len({tuple(sorted(p)) for p in pairs}) and all(sizes[a] <= sizes[b] for a, b in pairs)
+    links = {p for p in truth if truth[p][1]}
+    assert len(links) >= 20 and sum(m == 1 for m, _ in truth.values()) > 20
+    assert {tuple(sorted((r.a, r.b))) for r in media.verified(tried, classes).collect()} == links
+
+
+def test_pairs_met_often_against_their_definition(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ends = rng.integers(-(1 << 63), (1 << 63) - 1, 30)
+    rows = [(int(ends[x]), int(ends[y]), int(p), int(q)) for x, y, p, q in zip(*(rng.integers(0, k, 3000) for k in (30, 30, 4, 4)), strict=True)]
+    rows += [(5, 6, k, 1 << 62) for k in range(300)]
+    want = {}
+    for a, b, p, q in rows:
+        want.setdefault((a, b), set()).add((p, q))
+    want = {k: (m, len({p for p, _ in m}), len({q for _, q in m})) for k, m in want.items() if len(m) >= 2}
+    found = spark.createDataFrame(rows, "a long, b long, p long, q long").repartition(3)
+    for held in (1, 1 << 20):
+        monkeypatch.setattr(media, "HELD", held)
+        got = media.met_often(found).collect()
+        assert len(got) == len(want) and all(len(r.m) == len(set(r.m)) for r in got)
+        assert {(r.a, r.b): ({tuple(x) for x in r.m}, r.np, r.nq) for r in got} == want
+    assert media.met_often(found.where("false")).count() == 0
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 500):
+        rows = media._sorted_rows([rng.integers(-(1 << 63), (1 << 63) - 1, n), *(rng.integers(0, 1 << k, n) for k in (3, 40))])
+        assert np.array_equal(media.unpacked(media.packed(rows), rows.shape[1], 3), rows)
+
+
+def shuffled(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_descriptors_stay_where_they_are_read(marked):
+    """Finding the images of a class, and the bodies of the few pairs to be verified, moves less than the descriptors are."""
+    spark = marked.sparkSession
+    before = shuffled(spark)
+    classes = media.classes_of(media._described(marked, media.decode).withColumn("row", F.monotonically_increasing_id()).cache())[0]
+    classes = classes.cache()
+    size = classes.selectExpr("sum(24 * n)").first()[0]
+    assert classes.count() == 80 and shuffled(spark) - before < size / 10
+    a, b = sorted(r.cls for r in classes.select("cls").take(2))
+    pairs = media.written(spark.createDataFrame([(a, b)], "a long, b long"), "one-pair")
+    before = shuffled(spark)
+    media.verified(pairs, classes)
+    assert shuffled(spark) - before < size / 10
