@@ -12,10 +12,10 @@ Images of equal pixels are one class and are described once. The search is exact
 1. A word that at most RUN corners have gives all its pairs. The corners of a longer run (a logo, or a large group of copies) meet
    PIVOTS of them, chosen by hashes that are the same for all words, so that a group of copies is tied by a few pairs per image.
 2. What is left are pairs of different components that may share long runs. Of a link's corners, the smaller image needs t (MIN_VOTES or its
-   share). If none of them matched in pass 1, two of them are not among the t - 2 that stand in the longest runs; only corners beyond those
-   look for partners, only in runs that hold several components, and only among images that are not smaller. Runs are cut into tiles of
-   bounded size, and a pair of which two corners turn up is verified on both images' whole descriptors. So are pairs that pass 1 saw
-   too few matches of, if their corners in long runs could make up for it.
+   share), so two of them are not among the t - 2 that stand in the longest runs; only corners beyond those look for partners, only in runs
+   that hold several components, and only among images that are not smaller. Runs are cut into tiles of bounded size. A pair of which
+   two corners turn up is verified on both images' whole descriptors; if pass 1 saw some match, but too few, they count as turned up
+   where its corners in long runs could make up for what lacks.
 
 A link within a component changes nothing, so links are not counted; each image's class and component are the result.
 tests/llm holds the components against comparing all descriptors.
@@ -564,7 +564,7 @@ def candidates(short: DataFrame, often: DataFrame, long: DataFrame, classes: Dat
 
     tiles = left.unionByName(right).repartition("word", "p", "m").sortWithinPartitions("word", "p", "m", "side")
     met = tiles.mapInArrow(meet, "a long, b long, lo long, hi long").groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    met = met.where("lo < hi").select("a", "b")  # two corners
+    met = met.select("a", "b", F.when(F.col("lo") < F.col("hi"), 2).otherwise(1).alias("k"), F.lit(0).alias("s"))
     # pairs that pass 1 saw some matches of, which corners in long runs could bring to as many as are needed
     held = written(corner.groupBy("cls", "n").agg(F.count("*").alias("z")).join(own.select("cls", "comp"), "cls"), "held")
     strong = held.where(F.col("z") >= MIN_VOTES - 1)  # one match is only enough to them
@@ -576,8 +576,11 @@ def candidates(short: DataFrame, often: DataFrame, long: DataFrame, classes: Dat
     least = needed(F.least("na", "nb"))
     few = seen.where((F.col("np") + F.col("za") >= least) & (F.col("nq") + F.col("zb") >= least))
     less = F.struct("na", "a") < F.struct("nb", "b")
-    few = few.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("b"))
-    out = written(met.union(few).distinct(), "candidates")
+    pick = lambda x, y, name: F.when(less, F.col(x)).otherwise(F.col(y)).alias(name)
+    few = few.select(pick("a", "b", "a"), pick("b", "a", "b"), F.lit(0).alias("k"), pick("np", "nq", "s"))
+    # corners of a that look for partners and found b's, and those that pass 1 saw match
+    both = met.union(few).groupBy("a", "b").agg(F.max("k").alias("k"), F.max("s").alias("s"))
+    out = written(both.where("k + s >= 2").select("a", "b"), "candidates")
     for table in (runs, probing, split, held):
         discard(table)
     return out
